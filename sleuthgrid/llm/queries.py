@@ -21,8 +21,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(read_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op9_simhash": op9_simhash}
+    return {"op2_substring_dedup": op2_substring_dedup, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
