@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import edited_fingerprints
 
@@ -27,8 +34,20 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import token_files
+
+    return token_files(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_spans import encode_pieces
+
+    return encode_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash}
+    return {"op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op6_pieces": op6_pieces, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
