@@ -22,12 +22,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import query
 
     return query(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, predict
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return predict(docs, fit(docs, tokenizer("piece_bpe_32k.model")))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -47,7 +61,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op6_pieces": op6_pieces, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash}
+    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op6_pieces": op6_pieces, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
