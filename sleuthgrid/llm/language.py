@@ -64,19 +64,20 @@ class LanguageModel:
     def __init__(self, vocab: dict[str, int], languages: list[str], table: np.ndarray, prior: np.ndarray):
         self.vocab, self.languages, self.table, self.prior = vocab, languages, table, prior
         self.longest = max(map(len, vocab), default=1)
+        self.rows = table.tolist()
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> list[float]:
         """Log-likelihood of a word in each language: the forward sum."""
-        total = np.zeros(len(self.languages))
+        total = [0.0] * len(self.languages)
+        each = range(len(total))
         for part in parts_of(word):
-            rows = cuts(part, self.vocab, self.longest)
-            p = self.table[[k for _, _, k in rows]]
-            ahead = [None] * (len(part) + 1)
-            ahead[0] = np.ones(len(self.languages))
-            for (i, j, _), q in zip(rows, p, strict=True):
-                step = ahead[i] * q
-                ahead[j] = step if ahead[j] is None else ahead[j] + step
-            total += np.log(ahead[-1])
+            ahead = [[1.0] * len(total), *[[0.0] * len(total) for _ in part]]
+            for i, j, k in cuts(part, self.vocab, self.longest):
+                start, end, p = ahead[i], ahead[j], self.rows[k]
+                for x in each:
+                    end[x] += start[x] * p[x]
+            for x in each:
+                total[x] += math.log(ahead[-1][x])
         return total
 
 
@@ -84,36 +85,38 @@ def learn(words: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int =
     """languages and a table [piece, language] of probabilities; its last row is for characters outside the vocabulary."""
     languages = sorted(words)
     longest = max(map(len, vocab), default=1)
-    every: dict[str, list[int]] = {}
-    for n, lang in enumerate(languages):
+    lattices: dict[str, list[tuple[int, int, int]]] = {}
+    seen = np.zeros((len(vocab) + 1, len(languages)))
+    for number, lang in enumerate(languages):
+        counts: dict[str, int] = {}
         for w, c in words[lang].items():
             for part in parts_of(w):
-                every.setdefault(part, [0] * len(languages))[n] += c
-    lattice = [(part, cuts(part, vocab, longest), np.array(c, float)) for part, c in every.items()]
-    table = np.full((len(vocab) + 1, len(languages)), 1.0 / max(1, len(vocab)))
-    # shorter cuts have fewer factors, so the first round would favour whole words too much; start from a flat table
+                counts[part] = counts.get(part, 0) + c
+        p = [1.0 / max(1, len(vocab))] * len(vocab) + [RARE]
+        own = [0.0] * len(p)
+        for _ in range(rounds):
+            own = [0.0] * len(p)
+            for part, c in counts.items():
+                rows = lattices.get(part) or lattices.setdefault(part, cuts(part, vocab, longest))
+                n = len(part)
+                ahead, back = [1.0, *[0.0] * n], [*[0.0] * n, 1.0]
+                for i, j, k in rows:
+                    ahead[j] += ahead[i] * p[k]
+                for i, j, k in reversed(rows):
+                    back[i] += p[k] * back[j]
+                share = c / ahead[n]
+                for i, j, k in rows:
+                    own[k] += ahead[i] * p[k] * back[j] * share
+            total = sum(own) + 1.0
+            p = [*[(x + 1.0 / len(own)) / total for x in own[:-1]], RARE]
+        seen[:, number] = own
+    seen[-1] = 0
+    # what a language hasn't shown is shared out as in all languages together
+    pooled = seen.sum(axis=1, keepdims=True)
+    pooled = (pooled + 0.1) / (pooled.sum() + 0.1 * len(pooled))
+    strength = np.maximum(50.0, 0.01 * seen.sum(axis=0))
+    table = (seen + strength * pooled) / (seen.sum(axis=0) + strength)
     table[-1] = RARE
-    for _ in range(rounds):
-        seen = np.zeros_like(table)
-        for part, rows, count in lattice:
-            numbers = [k for _, _, k in rows]
-            p = table[numbers]
-            n = len(part)
-            ahead, back = np.zeros((n + 1, len(languages))), np.zeros((n + 1, len(languages)))
-            ahead[0] = back[n] = 1
-            for (i, j, _), q in zip(rows, p, strict=True):
-                ahead[j] += ahead[i] * q
-            for (i, j, _), q in zip(reversed(rows), p[::-1], strict=True):
-                back[i] += q * back[j]
-            share = count / np.maximum(ahead[n], 1e-300)
-            for (i, j, k), q in zip(rows, p, strict=True):
-                seen[k] += ahead[i] * q * back[j] * share
-        seen[-1] = 0
-        pooled = seen.sum(axis=1, keepdims=True)
-        pooled = (pooled + 0.1) / (pooled.sum() + 0.1 * len(pooled))
-        strength = np.maximum(50.0, 0.01 * seen.sum(axis=0))
-        table = (seen + strength * pooled) / (seen.sum(axis=0) + strength)
-        table[-1] = RARE
     return languages, table
 
 

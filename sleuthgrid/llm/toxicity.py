@@ -4,7 +4,8 @@ Learning. For each word and each of its prefixes of 4 to 6 letters (words are
 inflected), the share of toxic and of clean training texts that hold it, each
 under a Dirichlet prior centred on the share in both together. A token's score
 is the largest log-odds of its word and prefixes, less a number of standard
-errors, so that rare words don't count; every other token costs DRIFT.
+errors, so that rare words don't count, and less LEAST; a token that has none
+over that costs DRIFT.
 
 Scanning. One linear pass finds all maximal segments of a positive score:
 segments that no longer one with a better score contains and no shorter one
@@ -36,8 +37,9 @@ PREFIXES = (4, 5, 6)
 PRIOR = 100.0
 ERRORS = 1.5
 DRIFT = 0.5
+LEAST = 1.0
 #: Bounds of the training sample (texts of each label) and of the model (scored words and prefixes).
-MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 2500, 5000, 50_000
+MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 2000, 4000, 50_000
 
 
 def features(word: str) -> list[str]:
@@ -113,9 +115,9 @@ def _presence(batches):
 
 
 def _log_odds(a, b, n1, n0):
-    """Lower bound of the log-odds of toxic and clean share, as columns."""
+    """Lower bound of the log-odds of toxic and clean share, less LEAST, as columns."""
     q = PRIOR * (a + b) / (n1 + n0)
-    return F.log((a + q) / (n1 + PRIOR)) - F.log((b + q) / (n0 + PRIOR)) - ERRORS * F.sqrt(1 / (a + q) + 1 / (b + q))
+    return F.log((a + q) / (n1 + PRIOR)) - F.log((b + q) / (n0 + PRIOR)) - ERRORS * F.sqrt(1 / (a + q) + 1 / (b + q)) - LEAST
 
 
 def _scan(models: dict[int, Model]):
