@@ -34,8 +34,8 @@ from .common import schema_of, texts
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
-PRIOR = 100.0
-ERRORS = 1.5
+PRIOR = 20.0
+ERRORS = 2.0
 DRIFT = 0.5
 LEAST = 1.0
 #: Bounds of the training sample (texts of each label) and of the model (scored words and prefixes).
