@@ -54,6 +54,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import passages
+
+    return passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_revisit import query
+
+    return query(read_table(spark, sf_dir, "pages"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_spans import encode_pieces
 
@@ -61,8 +73,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op6_pieces": op6_pieces, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash}
+    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op4_benchmark_passages": op4_benchmark_passages, "op5_revisits": op5_revisits, "op6_pieces": op6_pieces, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import warc_revisit
+
+    return {"op5_revisits": warc_revisit.SQL}
