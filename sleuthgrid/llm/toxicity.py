@@ -242,3 +242,22 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     out = base.mapInArrow(_score(model), schema_of(f"doc_id {kind}, score double, n_segments long, first_token long, last_token long"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_segments", "first_token", "last_token")
+
+
+def _clean(model: Model, threshold: float):
+    def run(batches):
+        cache: dict[str, float] = {}
+        for batch in batches:
+            keep = []
+            for i, text in enumerate(texts(batch, "text")):
+                places, scores, n = model.positives(text.decode(), cache)
+                if model.probability(model.evidence(segments(places, scores), n)) < threshold:
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score under threshold, as they are."""
+    return docs.mapInArrow(_clean(model, threshold), docs.schema)
