@@ -163,7 +163,7 @@ def own_features(node: Node) -> list[str]:
         return [f"k:{node.kind}", *[f"n:{x}" for x in node.names]]
     n = len(node.text)
     ends = node.text[-1] in ".!?…:;\"'”»)"
-    return [f"size:{min(6, n.bit_length() // 2)}", f"link:{min(4, 4 * node.links // max(1, n))}", f"end:{ends}", f"stops:{min(3, sum(node.text.count(c) for c in '.,!?'))}", f"mark:{any(c in node.text for c in '©®|»·')}"]
+    return [f"size:{min(6, n.bit_length() // 2)}", f"link:{min(4, 4 * node.links // max(1, n))}", f"end:{ends}", f"stops:{min(3, sum(node.text.count(c) for c in '.,!?'))}", f"mark:{any(c in node.text for c in '©®')}"]
 
 
 class TreeModel:
@@ -224,6 +224,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         return (" ".join(s) + ("." if rng.random() < 0.9 else "")).capitalize()
 
     def para() -> str:
+        if rng.random() < 0.1:  # rows of a table or a list of words as text
+            return rng.choice((" | ", ", ", " ")).join(word() for _ in range(rng.randrange(2, 60)))
         return " ".join(sentence() for _ in range(rng.choice((1, 1, 1, 2, 3, 6))))
 
     name = lambda family: rng.choice(FAMILIES[family].split()) + rng.choice(("", "-box", " wide", "_1"))
