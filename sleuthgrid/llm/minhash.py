@@ -48,17 +48,6 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * _UNIT
 
 
-def _poisson_cuts(mean: float) -> list[float]:
-    """Cumulative probabilities of 0, 1, 2 ... darts in a region, until what remains is below 1e-12."""
-    p, total, out, n = math.exp(-mean), 0.0, [], 0
-    while total < 1 - 1e-12 and n < 60:
-        total += p
-        out.append(total)
-        n += 1
-        p *= mean / n
-    return out
-
-
 def signature(elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.ndarray:
     """The k darts of a weighted set of hashed elements (distinct, weights over 0); at least one element."""
     if weights is None:
@@ -72,36 +61,39 @@ def signature(elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.nd
     best_rank, best_dart = np.full(k, np.inf), np.zeros(k, np.uint64)
     done = 0.0
     while True:
-        edges = [0.0, *[2.0**e for e in _LOW_RANKS]]
-        edges += list(range(2, math.ceil(limit) + 2))
-        regions = [(a, b) for a, b in zip(edges, edges[1:]) if a < limit and b > done]
+        edges = np.array([0.0, *[2.0**e for e in _LOW_RANKS], *range(2, math.ceil(limit) + 2)])
+        pick = (edges[:-1] < limit) & (edges[:-1] >= done)
+        left, right = edges[:-1][pick], edges[1:][pick]
         for number, (low, high, mask) in enumerate(levels):
             own = elements if mask is None else elements[mask]
-            height = None if weights is None else weights[mask]
-            for a, b in regions:
-                if a < done:
-                    continue
-                seed = np.uint64((int(b * 4096) * 64 + number) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-                h = mix(own ^ seed)
-                u = _uniform(h)
-                for i, cut in enumerate(_poisson_cuts((high - low) * (b - a))):
-                    at = np.flatnonzero(u > cut)
-                    if not len(at):
-                        break
-                    dart = mix(h[at] + np.uint64((i + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
-                    if height is not None:
-                        below = low + (high - low) * _uniform(mix(dart + np.uint64(1))) < height[at]
-                        dart = dart[below]
-                    rank = a + (b - a) * _uniform(mix(dart + np.uint64(2)))
-                    place = (mix(dart + np.uint64(3)) % np.uint64(k)).astype(np.int64)
-                    order = np.lexsort((rank, place))
-                    place, rank, dart = place[order], rank[order], dart[order]
-                    head = np.ones(len(place), bool)
-                    head[1:] = place[1:] != place[:-1]
-                    place, rank, dart = place[head], rank[head], dart[head]
-                    less = rank < best_rank[place]
-                    best_rank[place[less]], best_dart[place[less]] = rank[less], dart[less]
-        done = regions[-1][1] if regions else done
+            seeds = ((right * 4096).astype(np.uint64) * np.uint64(64) + np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15)
+            h = mix(own[None, :] ^ seeds[:, None]).reshape(-1)
+            u, row = _uniform(h), np.repeat(np.arange(len(left)), len(own))
+            # a region's number of darts is Poisson; all regions at once, then those with a second dart, and so on
+            area = (high - low) * (right - left)
+            p, cut, at, n = np.exp(-area), np.exp(-area), np.arange(len(h)), 0
+            found = []
+            while len(at := at[u[at] > np.minimum(cut, 1 - 1e-12)[row[at]]]):
+                n += 1
+                found.append((mix(h[at] + np.uint64(n * 0xD1B54A32D192ED03 & (1 << 64) - 1)), at))
+                p = p * area / n
+                cut = cut + p
+            if not found:
+                continue
+            dart, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            if weights is not None:
+                below = low + (high - low) * _uniform(mix(dart + np.uint64(1))) < weights[mask][at % len(own)]
+                dart, at = dart[below], at[below]
+            at = row[at]
+            rank = left[at] + (right - left)[at] * _uniform(mix(dart + np.uint64(2)))
+            place = (mix(dart + np.uint64(3)) % np.uint64(k)).astype(np.int64)
+            order = np.argsort(-rank, kind="stable")
+            place, rank, dart = place[order], rank[order], dart[order]
+            ranks, darts = np.full(k, np.inf), np.zeros(k, np.uint64)
+            ranks[place], darts[place] = rank, dart  # of equal places the last, of lowest rank, stays
+            less = ranks < best_rank
+            best_rank[less], best_dart[less] = ranks[less], darts[less]
+        done = max(done, float(right[-1])) if len(right) else done
         # every region that begins below done has been looked at whole
         if np.all(best_rank <= done):
             return best_dart
