@@ -81,6 +81,15 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return (int(cost[best]), int(start[best]), int(low + len(item) + best)) if cost[best] <= most else None
 
 
+def whole(item: np.ndarray, text: np.ndarray) -> int:
+    """Where text holds item without an edit; -1 if nowhere."""
+    data, raw = text.tobytes(), item.tobytes()
+    at = data.find(raw)
+    while at >= 0 and at % 4:
+        at = data.find(raw, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 class Items:
     """The q-grams of a block of items."""
 
@@ -159,7 +168,10 @@ class Items:
             low, high = b * k1, b * k1 + 2 * k1
             item = self.points[i]
             a, z = max(0, low), min(len(p), high + len(item) + self.edits[i])
-            best = align(item, p[a:z], low - a - self.edits[i], high - a, self.edits[i])
+            if any(e == 0 and a <= s and t <= z for e, s, t in found.get(i, [])):
+                continue
+            at = whole(item, p[a:z])
+            best = (0, at, at + len(item)) if at >= 0 else align(item, p[a:z], low - a - self.edits[i], high - a, self.edits[i])
             if best is not None:
                 found.setdefault(i, []).append((best[0], best[1] + a, best[2] + a))
         for i, rows in found.items():

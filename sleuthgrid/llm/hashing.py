@@ -20,8 +20,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def odd_powers(n: int, seed: int) -> np.ndarray:
     """1, m, m**2 ... for an odd multiplier drawn from seed."""
+    if n <= 64:
+        if seed not in _POWERS:
+            _POWERS[seed] = _powers(64, seed)
+        return _POWERS[seed][: max(1, n)]
+    return _powers(n, seed)
+
+
+def _powers(n: int, seed: int) -> np.ndarray:
     m = int(mix(np.array([seed * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1], np.uint64))[0]) | 1
     out = np.full(max(1, n), m, np.uint64)
     out[0] = 1
@@ -42,10 +53,22 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _byte_table(seed: int) -> np.ndarray:
+    """A random number for each byte; 0 for those between words."""
+    if seed not in _TABLES:
+        table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        table[_SEPARATOR] = 0
+        _TABLES[seed] = table
+    return _TABLES[seed]
+
+
 def word_hashes(data: bytes, seed: int = 1) -> np.ndarray:
     """A hash of each word, in order; long texts are worked in blocks."""
     out, at, n = [], 0, len(data)
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    table = _byte_table(seed)
     while at < n:
         end = min(n, at + BLOCK)
         while end < n and not _SEPARATOR[data[end]]:
@@ -57,7 +80,6 @@ def word_hashes(data: bytes, seed: int = 1) -> np.ndarray:
             continue
         raw = np.frombuffer(part, np.uint8)
         values = table[raw]
-        values[_SEPARATOR[raw]] = 0
         values = values[starts[0] :]
         spans = np.diff(np.append(starts, len(raw)))
         place = np.arange(len(values)) - np.repeat(starts - starts[0], spans)
