@@ -1,0 +1,298 @@
+"""A query for each operator, over the star-schema, event and document tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import graph as g
+from ..operators import profile as pf
+from ..operators import retrieval as rt
+from .catalog import query
+from .model import ENTITIES, RELATIONSHIPS, assertions, entities, relationships, table
+
+WITH = f"WITH ent AS ({ENTITIES}), rel AS ({RELATIONSHIPS}), und AS (SELECT source_id AS anchor, target_id AS other, rel_type FROM rel UNION ALL SELECT target_id, source_id, rel_type FROM rel WHERE source_id <> target_id)"
+
+
+@query("p1_name_search", f"{WITH} SELECT id, name, entity_type FROM ent WHERE contains(lower(name), 'a') AND contains(lower(name), 'er') ORDER BY name, id LIMIT 50 OFFSET 5")
+def p1(spark, d):
+    return entities(spark, d).filter(tx.matches_all(F.col("name"), "A er")).orderBy("name", "id").offset(5).limit(50)
+
+
+@query("p2_count", f"{WITH} SELECT entity_type, count(*) AS n FROM ent WHERE contains(lower(name), '1') GROUP BY 1")
+def p2(spark, d):
+    return entities(spark, d).filter(tx.matches_all(F.col("name"), "1")).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p3_exact_name", f"{WITH} SELECT id, name, entity_type FROM ent WHERE lower(name) = lower((SELECT min(name) FROM ent WHERE entity_type = 'Organization')) AND entity_type = 'Organization' ORDER BY id LIMIT 1")
+def p3(spark, d):
+    e = entities(spark, d).filter("entity_type = 'Organization'")
+    least = F.broadcast(e.agg(F.min("name").alias("least")))
+    return e.join(least, F.lower("name") == F.lower("least")).drop("least").orderBy("id").limit(1)
+
+
+@query("p7_area", "SELECT user_id, count(*) AS n FROM (SELECT user_id, (event_id % 180) - 90 AS lat, (event_id % 360) - 180 AS lng FROM events) WHERE lat BETWEEN -10 AND 40 AND lng BETWEEN 0 AND 90 GROUP BY 1")
+def p7(spark, d):
+    e = table(spark, d, "events").select("user_id", (F.col("event_id") % 180 - 90).alias("lat"), (F.col("event_id") % 360 - 180).alias("lng"))
+    return e.filter(F.col("lat").between(-10, 40) & F.col("lng").between(0, 90)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p8_heavy_fields", "SELECT doc_id, lang, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview FROM documents")
+def p8(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", tx.shorten(F.col("text")).alias("preview"))
+
+
+@query("p9_junk_names", "SELECT doc_id, NOT regexp_matches(substr(text, 1, 20), '[\\p{L}\\p{N}]') OR contains(substr(text, 1, 20), chr(10)) OR contains(substr(text, 1, 20), chr(13)) AS junk FROM documents")
+def p9(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.junk_name(F.substring("text", 1, 20)).alias("junk"))
+
+
+@query(
+    "p13_clean_lines",
+    """SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
+    lambda l: length(l) >= 15 AND length(regexp_replace(l, '[^\\p{L}]', '', 'g')) >= 0.4 * length(l) AND length(regexp_replace(l, '[^|•]', '', 'g')) <= 2 AND NOT contains(lower(l), 'license')), chr(10))) AS cleaned FROM documents""",
+)
+def p13(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.clean_lines(F.col("text"), ("license",))).alias("cleaned"))
+
+
+@query("p15_safe_urls", r"""SELECT page_id, contains(h, '.') AND NOT regexp_matches(h, '(^|\.)localhost$') AS safe FROM (SELECT page_id, regexp_extract(lower(url), '^https?://(?:[^/@]*@)?([^/?#:]*)', 1) AS h FROM pages)""")
+def p15(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.safe_url(F.col("url")).alias("safe"))
+
+
+@query("p17_since", "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
+def p17(spark, d):
+    return table(spark, d, "events").filter("ts > TIMESTAMP_NTZ'2024-01-15 00:00:00'").select("event_id", "event_type")
+
+
+@query("j1_neighbours", f"{WITH} SELECT anchor, other, rel_type, name, entity_type FROM und JOIN ent ON ent.id = other WHERE anchor IN ('S1', 'N3', 'P7')")
+def j1(spark, d):
+    return g.neighbours(relationships(spark, d), entities(spark, d), ["S1", "N3", "P7"]).select("anchor", "other", "rel_type", "name", "entity_type")
+
+
+@query("j3_k_hop", f"{WITH}, h1 AS (SELECT DISTINCT other AS id FROM und WHERE anchor = 'S1'), h2 AS (SELECT DISTINCT other AS id FROM und JOIN h1 ON anchor = h1.id) SELECT id, min(hop) AS hop FROM (SELECT 'S1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY 1")
+def j3(spark, d):
+    return g.k_hop(relationships(spark, d), "S1", 2)
+
+
+@query("j5_induced", f"{WITH}, keep AS (SELECT id FROM ent WHERE entity_type <> 'Person') SELECT * FROM rel WHERE source_id IN (SELECT id FROM keep) AND target_id IN (SELECT id FROM keep)")
+def j5(spark, d):
+    return g.induced(relationships(spark, d), entities(spark, d).filter("entity_type <> 'Person'"))
+
+
+@query("j8_corroborating", "SELECT a.l_orderkey AS doc, count(DISTINCT b.l_orderkey) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_orderkey <> b.l_orderkey GROUP BY 1")
+def j8(spark, d):
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()  # noqa: E741
+    a, b = l.alias("a"), l.alias("b")
+    pairs = a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_suppkey") == F.col("b.l_suppkey")) & (F.col("a.l_orderkey") != F.col("b.l_orderkey")))
+    return pairs.groupBy(F.col("a.l_orderkey").alias("doc")).agg(F.count_distinct("b.l_orderkey").alias("n"))
+
+
+@query("j9_shared_links", "WITH e AS (SELECT DISTINCT o_custkey AS s, n_nationkey AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey) SELECT a.t AS a, b.t AS b, count(*) AS connection_count, array_to_string(list_sort(list(a.s))[1:10], ',') AS shared FROM e a JOIN e b ON a.s = b.s AND a.t < b.t GROUP BY 1, 2")
+def j9(spark, d):
+    t = lambda n: table(spark, d, n)
+    e = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    out = g.shared_entity_links(e.select(F.col("o_custkey").alias("source_id"), F.col("s_nationkey").alias("target_id")))
+    return out.withColumn("shared", F.array_join(F.col("shared").cast("array<string>"), ","))
+
+
+@query("j11_document_counts", "SELECT o_orderkey AS doc, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag <> 'R' GROUP BY 1")
+def j11(spark, d):
+    counts = table(spark, d, "lineitem").filter("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc")).join(counts, "doc", "left").fillna(0, ["n"])
+
+
+@query("j15_overlap", "WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey <= 2000) SELECT l_suppkey, count(*) AS shared, round(count(*) / (SELECT count(*) FROM o), 4) AS coverage FROM s JOIN o USING (l_partkey) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def j15(spark, d):
+    l = table(spark, d, "lineitem")  # noqa: E741
+    seen = l.filter("l_orderkey <= 2000").select("l_partkey").distinct()
+    total = seen.agg(F.count(F.lit(1)).alias("total"))
+    shared = l.select("l_suppkey", "l_partkey").distinct().join(seen, "l_partkey").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.crossJoin(F.broadcast(total)).select("l_suppkey", "shared", F.round(F.col("shared") / F.col("total"), 4).alias("coverage")).orderBy(F.desc("shared"), "l_suppkey").limit(10)
+
+
+@query("j19_unmapped", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+def j19(spark, d):
+    hit = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").join(hit, "p_partkey", "left_anti").select("p_partkey", "p_name")
+
+
+_RANKS = "a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents)"
+
+
+@query("j21_rank_fusion", f"WITH {_RANKS} SELECT coalesce(a.id, b.id) AS id, round(coalesce(0.4 / (60 + a.r), 0) + coalesce(0.6 / (60 + b.r), 0), 9) AS score FROM (SELECT * FROM a WHERE r <= 100) a FULL JOIN (SELECT * FROM b WHERE r <= 100) b ON a.id = b.id")
+def j21(spark, d):
+    from pyspark.sql import Window
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    top = lambda *o: docs.orderBy(*o).limit(100).withColumn("rank", F.row_number().over(Window.orderBy(*o)))
+    return rt.fuse(top(F.desc("n_chars"), "id"), top("n_chars", "id")).withColumn("score", F.round("score", 9))
+
+
+@query("a1_counts", f"{WITH} SELECT rel_type, count(*) AS n FROM rel GROUP BY 1")
+def a1(spark, d):
+    return relationships(spark, d).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a4_coverage", f"{WITH}, deg AS (SELECT anchor AS id, count(*) AS n FROM und GROUP BY 1) SELECT entity_type, count(*) AS total, count(*) FILTER (n IS NULL) AS isolated, count(*) FILTER (n = 1) AS single_link, array_to_string(list_sort(list(name) FILTER (n IS NULL))[1:10], '; ') AS isolated_names FROM ent LEFT JOIN deg USING (id) GROUP BY 1")
+def a4(spark, d):
+    deg = g.degree(relationships(spark, d)).select("id", F.col("degree").alias("n"))
+    alone = F.col("n").isNull()
+    names = F.array_join(F.slice(F.sort_array(F.collect_list(F.when(alone, F.col("name")))), 1, 10), "; ")
+    out = entities(spark, d).join(deg, "id", "left").groupBy("entity_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(alone).alias("isolated"), F.count_if(F.col("n") == 1).alias("single_link"), names.alias("isolated_names"))
+    return out.withColumn("isolated_names", F.when(F.col("isolated") > 0, F.col("isolated_names")))
+
+
+_FOLD = """WITH r AS (SELECT l_suppkey AS s, l_partkey AS t, round(1 - l_discount * 5, 2) AS c, l_orderkey AS doc, CASE WHEN l_returnflag = 'R' THEN 'denied' ELSE 'asserted' END AS pol, l_shipdate AS seen, l_orderkey * 10 + l_linenumber AS id FROM lineitem),
+o AS (SELECT *, first_value(pol) OVER w AS pol1, first_value(doc) OVER w AS doc1 FROM r WINDOW w AS (PARTITION BY s, t ORDER BY seen, id)),
+p AS (SELECT *, bool_or(pol <> pol1) OVER (PARTITION BY s, t ORDER BY seen, id ROWS UNBOUNDED PRECEDING) AS dissent FROM o)
+SELECT s AS source_id, t AS target_id, 'SUPPLIES' AS rel_type, CAST(count(DISTINCT doc) AS INTEGER) AS corroboration_count,
+CASE WHEN bool_or(dissent) THEN 'CONFLICT' WHEN count(DISTINCT doc) > 1 THEN 'CORROBORATED' ELSE 'SINGLE' END AS agreement,
+CASE WHEN bool_or(dissent) THEN least(max(c) FILTER (NOT dissent), min(c) FILTER (dissent)) ELSE max(c) END AS confidence,
+CAST(min(doc1) AS VARCHAR) AS source_doc_id, min(seen) AS first_seen, max(seen) AS last_seen FROM p GROUP BY s, t"""
+
+
+@query("a6_corroboration", _FOLD)
+def a6(spark, d):
+    return g.corroborate(assertions(spark, d))
+
+
+@query(
+    "a7_profile",
+    """SELECT 'o_orderkey' AS "column", count(*) AS total, count(*) - count(o_orderkey) AS null_count, round((count(*) - count(o_orderkey)) / count(*), 4) AS null_rate, count(DISTINCT o_orderkey) AS unique_count, CAST(min(o_orderkey) AS DOUBLE) AS min, CAST(max(o_orderkey) AS DOUBLE) AS max, round(avg(o_orderkey), 4) AS mean FROM orders
+    UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), round((count(*) - count(o_orderstatus)) / count(*), 4), count(DISTINCT o_orderstatus), NULL, NULL, NULL FROM orders""",
+)
+def a7(spark, d):
+    return pf.column_profile(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
+
+
+@query("a8_inferred_type", "SELECT 'v' AS \"column\", 'integer' AS inferred")
+def a8(spark, d):
+    return pf.infer_type(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("v")), "v")
+
+
+@query("a9_histogram", "SELECT strftime(ts, '%Y-%m-%d') AS bucket, event_type AS kind, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def a9(spark, d):
+    return pf.histogram(table(spark, d, "events"), "ts", "event_type")
+
+
+_NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@query("a17_run_state", "WITH m AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS e, max(ts) AS seen FROM events GROUP BY 1) SELECT user_id, CASE WHEN e IN ('purchase') THEN e WHEN m.now - seen > INTERVAL 600 SECOND THEN 'stalled' ELSE 'running' END AS state, e AS last_event FROM l, m")
+def a17(spark, d):
+    e = table(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    joined = e.crossJoin(F.broadcast(now))
+    last = joined.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("l"), F.max("now").alias("now"))
+    old = F.col("now") - F.col("l.ts") > F.expr("INTERVAL 600 SECOND")
+    return last.select("user_id", F.when(F.col("l.event_type") == "purchase", "purchase").when(old, "stalled").otherwise("running").alias("state"), F.col("l.event_type").alias("last_event"))
+
+
+@query("a18_current_run", "WITH n AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM events) SELECT event_id, user_id, CAST(run AS BIGINT) AS run FROM n QUALIFY run = max(run) OVER (PARTITION BY user_id)")
+def a18(spark, d):
+    return pf.current_run(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", ("purchase",)).select("event_id", "user_id", "run")
+
+
+@query("a24_degree", f"{WITH} SELECT id, count(*) AS degree, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT source_id AS id, 0 AS i, 1 AS o FROM rel UNION ALL SELECT target_id, 1, 0 FROM rel) GROUP BY 1")
+def a24(spark, d):
+    return g.degree(relationships(spark, d))
+
+
+@query("a25_keyword_counts", "SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS n FROM documents")
+def a25(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.keyword_count(F.col("text"), "The").alias("n"))
+
+
+@query("w3_first_occurrence", "SELECT l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1, 2")
+def w3(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
+
+
+@query("w4_packing", "SELECT lang, doc_id, CAST(used AS BIGINT) AS used FROM (SELECT lang, doc_id, sum(n_chars + 2) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 100000")
+def w4(spark, d):
+    docs = table(spark, d, "documents").select("lang", "doc_id", "n_chars")
+    return rt.pack(docs, "lang", [F.desc("n_chars"), F.col("doc_id")], F.col("n_chars") + 2, 100_000).select("lang", "doc_id", "used")
+
+
+@query("l2_most_connected", f"{WITH}, deg AS (SELECT anchor AS id, count(*) AS degree FROM und GROUP BY 1) SELECT id, name, entity_type, coalesce(degree, 0) AS degree FROM ent LEFT JOIN deg USING (id) ORDER BY 4 DESC, 1 LIMIT 50")
+def l2(spark, d):
+    return g.most_connected(entities(spark, d), relationships(spark, d), 50)
+
+
+_Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+
+
+@query("l3_vector_top_k", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]) DESC, vec_id LIMIT 20")
+def l3(spark, d):
+    base = table(spark, d, "embeddings")
+    q = base.filter("vec_id = 0").head()["embedding"]
+    return rt.vector_top_k(base, list(q), 20, -1.0).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("u1_intersection", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 2 = 0 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 2 = 1")
+def u1(spark, d):
+    l = table(spark, d, "lineitem")  # noqa: E741
+    return l.filter("l_suppkey % 2 = 0").select("l_partkey").intersect(l.filter("l_suppkey % 2 = 1").select("l_partkey"))
+
+
+@query("u3_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def u3(spark, d):
+    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+
+
+@query("f2_defang", "SELECT page_id, replace(replace(regexp_replace(url, '(?i)http', 'hxxp', 'g'), '.', '[.]'), '@', '[at]') AS defanged, regexp_replace(url, '(?i)hxxp', 'http', 'g') AS refanged FROM pages")
+def f2(spark, d):
+    safe = tx.defang(F.col("url"))
+    return table(spark, d, "pages").select("page_id", safe.alias("defanged"), tx.refang(safe).alias("refanged"))
+
+
+@query("f3_observables", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d{1,3}(?:\.\d{1,3}){3}')) AS v FROM documents) SELECT doc_id, v, CASE WHEN regexp_matches(v, '^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$') THEN 'IPAddress' ELSE '' END AS kind FROM w")
+def f3(spark, d):
+    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:\.\d{1,3}){3})"), 1)).alias("v"))
+    return found.withColumn("kind", tx.classify_observable(F.col("v")))
+
+
+@query("f7_hosts", r"SELECT regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/?#:]*)', 1), '^www\.', '') AS host, count(*) AS n FROM pages GROUP BY 1")
+def f7(spark, d):
+    return table(spark, d, "pages").groupBy(tx.host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f11_tokens", r"SELECT t AS token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))) AS t FROM documents WHERE lang = 'en') WHERE t NOT IN ('the', 'and') GROUP BY 1 HAVING count(*) > 5")
+def f11(spark, d):
+    t = table(spark, d, "documents").filter("lang = 'en'").select(F.explode(tx.tokens(F.col("text"), ("the", "and"))).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 5")
+
+
+@query("d13_probability", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax * 12.5 < 0.05 THEN 'Remote' WHEN l_tax * 12.5 < 0.2 THEN 'Very unlikely' WHEN l_tax * 12.5 < 0.45 THEN 'Unlikely' WHEN l_tax * 12.5 < 0.55 THEN 'Even chance' WHEN l_tax * 12.5 < 0.8 THEN 'Likely' WHEN l_tax * 12.5 < 0.95 THEN 'Very likely' WHEN l_tax * 12.5 <= 1 THEN 'Almost certain' ELSE 'Unknown' END AS label FROM lineitem")
+def d13(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.probability_label(F.col("l_tax") * 12.5).alias("label"))
+
+
+@query("k18_guarded_cells", r"SELECT doc_id, CASE WHEN regexp_matches(ltrim(c), '^[=+\-@|\\]') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || lang ELSE lang END AS c FROM documents)")
+def k18(spark, d):
+    c = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "lang")).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", tx.guard_cell(c).alias("cell"))
+
+
+@query(
+    "m1_tf_idf",
+    r"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}')) AS ts FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n FROM t),
+    f AS (SELECT doc_id, len(ts) AS size, unnest(ts) AS term FROM t), c AS (SELECT doc_id, size, term, count(*) AS k FROM f GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+    w AS (SELECT doc_id, term, k / size * ln(n / df) AS w FROM c JOIN df USING (term), n WHERE df >= 2 AND df <= greatest(2, CAST(floor(0.85 * n) AS BIGINT)))
+    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
+)
+def m1(spark, d):
+    docs = table(spark, d, "documents").filter("lang = 'en'")
+    return rt.tf_idf(docs, tx.tokens(F.col("text"))).withColumn("weight", F.round("weight", 6))
+
+
+@query("g4_page_rank")
+def g4(spark, d):
+    return g.page_rank(relationships(spark, d), entities(spark, d), 5)
+
+
+@query("t1_rate_limit", "SELECT event_id, recent, recent > 3 AS rejected FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS recent FROM events)")
+def t1(spark, d):
+    return pf.rate_exceeded(table(spark, d, "events"), "user_id", "ts", 3600, 3).select("event_id", "recent", "rejected")
