@@ -11,7 +11,7 @@ about (k ln k + 2k) / total weight, where most elements have no dart at all.
 
 Bands of a signature are joined on equality. Inside a band every text is
 compared with leaders, not with every other; what leaders leave in different
-groups is compared by a blocked join that yields only pairs whose bit sketches
+groups is compared by a join inside the band that yields only pairs whose bit sketches
 are close. All pairs are verified by the exact likeness of the whole sets.
 """
 
@@ -34,6 +34,9 @@ BANDS, ROWS = 26, 5
 #: The rank axis is cut at these powers of two, then into unit steps.
 _LOW_RANKS = (-12, -10, -8, -6, -4, -2, 0)
 _UNIT = float(2.0**-53)
+#: Darts of the finer sketch, which only texts that leaders leave apart get, and its columns.
+FINE = 1024
+BITS = [f"b{i}" for i in range(FINE // 32)]
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -100,35 +103,37 @@ def signature(elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.nd
         limit = max(limit, done) * 2
 
 
-def sketch_arrays(text: bytes, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Band keys, and 128 bits (two longs) that agree with probability (1 + likeness) / 2; None if there are no words."""
-    own = shingles(text)
-    if not len(own):
-        return None
+def band_keys(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key for each band of the signature of a set of shingles."""
     sig = signature(own, None, bands * rows)
     keys = np.zeros(bands, np.uint64)
     for r in range(rows):
         keys = mix(keys * np.uint64(3) + sig.reshape(bands, rows)[:, r])
-    keys = mix(keys + np.arange(bands, dtype=np.uint64))
-    bits = (mix(sig + np.uint64(77)) >> np.uint64(63)).astype(np.uint8)[:128]
-    bits = np.pad(bits, (0, 128 - len(bits)))
-    return keys.view(np.int64), np.packbits(bits).view(np.int64)
+    return mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def _sketch(bands: int, rows: int):
+def fine_bits(own: np.ndarray) -> np.ndarray:
+    """Two bits of each of FINE darts, low bits first: they differ for a dart with probability 3/4 (1 - likeness)."""
+    two = (mix(signature(own, None, FINE) + np.uint64(77)) >> np.uint64(62)).astype(np.uint8)
+    return np.packbits(np.stack([two & 1, two >> 1]), axis=1).view(np.int64).reshape(-1)
+
+
+def _per_set(function, names: list[str], as_list: bool):
+    """id and the function of the shingles of each text that has a word."""
+
     def run(batches):
         for batch in batches:
-            keep, keys, bits = [], [], []
+            keep, out = [], []
             for i, text in enumerate(texts(batch, "text")):
-                if (s := sketch_arrays(text, bands, rows)) is not None:
+                if len(own := shingles(text)):
                     keep.append(i)
-                    keys.append(s[0])
-                    bits.append(s[1])
+                    out.append(function(own))
             if not keep:
                 continue
-            own = batch.take(pa.array(keep))
-            b = np.stack(bits)
-            yield pa.record_batch([own.column("id"), pa.array(list(keys), pa.list_(pa.int64())), pa.array(b[:, 0]), pa.array(b[:, 1])], names=["id", "bands", "b0", "b1"])
+            ids = batch.take(pa.array(keep)).column("id")
+            table = np.stack(out)
+            columns = [pa.array(list(table), pa.list_(pa.int64()))] if as_list else [pa.array(table[:, i]) for i in range(table.shape[1])]
+            yield pa.record_batch([ids, *columns], names=["id", *names])
 
     return run
 
@@ -180,19 +185,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     members = ws.write(keyed.select("doc_id", "id", "sha").join(classes.select("sha", F.col("id").alias("class_id"), "key"), "sha").drop("sha"), "members")
     unique = keyed.withColumn("key", F.xxhash64("sha", "id")).join(classes.select("key"), "key", "left_semi").select(F.col("key").alias("id"), "text")
     reps = ws.write(unique.groupBy("id").agg(F.first("text").alias("text")), "texts")
-    sketch = ws.write(reps.mapInArrow(_sketch(bands, rows), schema_of("id long, bands array<long>, b0 long, b1 long")), "sketch")
+    sketch = ws.write(reps.mapInArrow(_per_set(lambda own: band_keys(own, bands, rows), ["bands"], True), schema_of("id long, bands array<long>")), "sketch")
     in_bands = sketch.select("id", F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     buckets = ws.write(in_bands.join(shared, "band"), "buckets")
+    # the text that shares most bands with others is likest to all: the source of copies leads its buckets
+    fame = ws.write(buckets.join(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").groupBy("id").agg(F.sum("n").alias("fame")), "fame")
     edges, seen = None, None
     comp = buckets.select("id").distinct().withColumn("comp", F.col("id"))
     comp = ws.write(comp, "comp-start")
     for number in range(rounds):
-        now = buckets.join(comp, "id")
-        # leaders of a later round come from another order, and only those in other groups are compared with them
-        rank = F.struct(F.xxhash64("id", F.lit(number)).alias("r"), "id", "comp")
-        leaders = now.groupBy("band").agg(F.min(rank).alias("leader"))
-        pairs = now.join(leaders, "band").filter(F.col("comp") != F.col("leader.comp"))
+        now = buckets.join(comp.join(fame, "id"), "id")
+        first = now.groupBy("band").agg(F.max(F.struct("fame", "id", "comp")).alias("leader"))
+        if number:  # the leader comes from those that the first leader's group has left
+            rest = now.join(first, "band").filter(F.col("comp") != F.col("leader.comp"))
+            first = rest.groupBy("band").agg(F.max(F.struct("fame", "id", "comp")).alias("leader"))
+        pairs = now.join(first, "band").filter(F.col("comp") != F.col("leader.comp"))
         pairs = pairs.select(F.least("id", "leader.id").alias("x"), F.greatest("id", "leader.id").alias("y"), F.col("leader.id").alias("a"), F.col("id").alias("b"))
         pairs = pairs.groupBy("x", "y").agg(F.max("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "x", "y")
         if seen is not None:
@@ -203,16 +211,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         edges = linked if edges is None else edges.unionByName(linked)
         seen = tried if seen is None else seen.unionByName(tried)
         comp = _labels(ws, comp, connected(ws, edges, f"round-{number}"), f"comp-{number}")
-    # what is still apart in a band: all pairs of different groups, of which only those with close bit sketches leave the join
-    now = buckets.join(comp, "id").join(sketch.select("id", "b0", "b1"), "id")
+    # what is still apart in a band: all pairs of different groups, of which only those with close finer sketches leave the join, once
+    now = buckets.join(comp, "id")
     mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("band")
-    left = ws.write(now.join(mixed, "band").select("band", "id", "comp", "b0", "b1"), "apart")
-    used = min(128, bands * rows)
-    mean = (1 - threshold) / 2 * used
-    most = math.ceil(mean + 6 * math.sqrt(mean))
+    apart = ws.write(now.join(mixed, "band").select("band", "id", "comp"), "apart")
+    fine = reps.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_per_set(fine_bits, BITS, False), schema_of("id long, " + ", ".join(f"{c} long" for c in BITS)))
+    left = apart.join(ws.write(fine, "fine"), "id").join(sketch, "id")
+    mean = (1 - threshold) * 3 / 4 * FINE
+    most = math.ceil(mean + 4.5 * math.sqrt(mean * (1 - mean / FINE)))
     a, b = left.alias("a"), left.alias("b")
-    close = (F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))) + F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1")))) <= most
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & close).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    once = F.col("a.band") == F.array_min(F.array_intersect("a.bands", "b.bands"))  # of the bands that two texts share, one yields the pair
+    half = len(BITS) // 2
+    differ = lambda i, j: F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}")).bitwiseOR(F.col(f"a.b{j}").bitwiseXOR(F.col(f"b.b{j}"))))
+    close = sum((differ(i, i + half) for i in range(1, half)), differ(0, half)) <= most
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & close & once).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
     pairs = pairs.join(seen, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
     done = verify(ws, ws.write(pairs, "pairs-rest"), reps, "likeness-rest")
     edges = edges.unionByName(done.filter(F.col("likeness") >= threshold).select(F.col("a").alias("x"), F.col("b").alias("y")))
