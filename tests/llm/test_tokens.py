@@ -7,7 +7,7 @@ import pytest
 
 tokens = pytest.importorskip("public_tokenizers")
 from sleuthgrid.llm.piece_spans import Normalizer, PieceEncoder, encode_pieces  # noqa: E402
-from sleuthgrid.llm.token_output import ShardReader, ShardWriter, from_planes, to_planes, token_files  # noqa: E402
+from sleuthgrid.llm.token_output import ShardReader, ShardWriter, from_planes, to_planes, token_files, word_encoder  # noqa: E402
 
 TEXTS = [
     "", " ", "  two  spaces ", "a\nb\n\nc", "\n", "tab\tand\x0bvt \x0c", "It's we'll THEY'RE 'tis O'Neil", "naïve café ÀÉ é İstanbul ΣΑΣ σας",
@@ -43,6 +43,10 @@ def test_token_files_round_trip(spark):
 
     path = tokens.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    some = ["".join(rng.choice("aBé'sTÀß½²_-.,!<|>\xa0\x85\x1c \n1") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for x, ids in zip(some, word_encoder(path, 2)(some)):
+        assert ids.tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], repr(x)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = {r.doc_id: r for r in token_files(df, path).collect()}
     start = 0
