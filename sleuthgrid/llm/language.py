@@ -63,23 +63,58 @@ def parts_of(word: str) -> list[str]:
 class LanguageModel:
     def __init__(self, vocab: dict[str, int], languages: list[str], table: np.ndarray, prior: np.ndarray):
         self.vocab, self.languages, self.table, self.prior = vocab, languages, table, prior
-        self.longest = max(map(len, vocab), default=1)
-        self.rows = table.tolist()
+        #: every piece and every start of one; a start that isn't a piece has no number
+        self.starts: dict[str, int | None] = {p[:i]: None for p in vocab for i in range(1, len(p))} | vocab
 
     def word(self, word: str) -> list[float]:
-        """Log-likelihood of a word in each language: the forward sum."""
-        total = [0.0] * len(self.languages)
-        each = range(len(total))
-        for part in parts_of(word):
-            ahead = [[1.0] * len(total), *[[0.0] * len(total) for _ in part]]
-            for i, j, k in cuts(part, self.vocab, self.longest):
-                start, end, p = ahead[i], ahead[j], self.rows[k]
-                for x in each:
-                    end[x] += start[x] * p[x]
-            for x in each:
-                total[x] += math.log(ahead[-1][x])
+        """Log-likelihood of a word in each language."""
+        return self.words([word])[0].tolist()
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word in each language: the forward sum, over parts of one length at a time."""
+        total = np.zeros((len(words), len(self.languages)))
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for at, w in enumerate(words):
+            for part in parts_of(w):
+                by_length.setdefault(len(part), []).append((at, part))
+        for n, group in by_length.items():
+            step = max(1, 2_000_000 // ((n + 1) * max(1, len(self.languages))))
+            for first in range(0, len(group), step):
+                some = group[first : first + step]
+                np.add.at(total, [at for at, _ in some], np.log(self._forward([part for _, part in some], n)))
         return total
 
+    def _forward(self, parts: list[str], n: int) -> np.ndarray:
+        """Likelihoods of parts that all have n characters."""
+        find, width = self.starts.get, n + 1
+        place, row, piece = [], [], []
+        for r, part in enumerate(parts):
+            for i in range(n):
+                alone = True
+                for j in range(i + 1, width):
+                    k = find(part[i:j], -1)
+                    if k == -1:
+                        break
+                    if k is not None:
+                        alone &= j > i + 1
+                        place.append(i * width + j)
+                        row.append(r)
+                        piece.append(k)
+                if alone:
+                    place.append(i * width + i + 1)
+                    row.append(r)
+                    piece.append(-1)
+        place, row, piece = (np.array(x, np.int32) for x in (place, row, piece))
+        order = np.argsort(place, kind="stable")
+        place, row, piece = place[order], row[order], piece[order]
+        ahead = np.zeros((width, len(parts), len(self.languages)))
+        ahead[0] = 1.0
+        bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            i, j = divmod(int(place[lo]), width)
+            ahead[j, row[lo:hi]] += ahead[i, row[lo:hi]] * self.table[piece[lo:hi]]
+        return ahead[n]
+
 
 def learn(words: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """languages and a table [piece, language] of probabilities; its last row is for characters outside the vocabulary."""
@@ -164,32 +199,41 @@ def fit(docs: DataFrame, model_path: str, held_out: int = 1) -> LanguageModel:
     return LanguageModel(vocab, languages, table, prior)
 
 
-def _predict(model: LanguageModel, most: int = 200_000):
+def _predict(model: LanguageModel, most: int = 200_000, run_length: int = 200_000):
+    """Words are numbered as they come; new ones are scored together, after texts of run_length words."""
+
     def run(batches):
         known: dict[str, int] = {}
         table = np.zeros((1024, len(model.languages)))
         for batch in batches:
-            pred, score = [], []
-            for text in texts(batch, "text"):
-                words = LETTERS.findall(text.decode().lower())
-                if not words or not model.languages:
-                    pred.append("und")
-                    score.append(0.0)
+            pred, score = ["und"] * len(batch), [0.0] * len(batch)
+            new: list[str] = []
+            waiting: list[tuple[int, np.ndarray]] = []
+            n_waiting = 0
+            for at, text in enumerate(texts(batch, "text")):
+                words = LETTERS.findall(text.decode().lower()) if model.languages else []
+                for w in set(words):
+                    if w not in known:
+                        known[w] = len(known)
+                        new.append(w)
+                if words:
+                    waiting.append((at, np.array([known[w] for w in words], np.int32)))
+                    n_waiting += len(words)
+                if n_waiting < run_length and at < len(batch) - 1:
                     continue
+                if len(known) > len(table):
+                    table = np.concatenate([table, np.zeros((max(len(table), len(known) - len(table)), table.shape[1]))])
+                if new:
+                    table[len(known) - len(new) : len(known)] = model.words(new)
+                for i, own in waiting:
+                    total = model.prior + table[own].sum(axis=0)
+                    total = np.exp(total - total.max())
+                    total /= total.sum()
+                    best = int(total.argmax())
+                    pred[i], score[i] = model.languages[best], float(total[best])
+                new, waiting, n_waiting = [], [], 0
                 if len(known) > most:
                     known.clear()
-                for w in set(words):
-                    if w not in known:
-                        k = known[w] = len(known)
-                        if k >= len(table):
-                            table = np.concatenate([table, np.zeros_like(table)])
-                        table[k] = model.word(w)
-                total = model.prior + table[[known[w] for w in words]].sum(axis=0)
-                total = np.exp(total - total.max())
-                total /= total.sum()
-                best = int(total.argmax())
-                pred.append(model.languages[best])
-                score.append(float(total[best]))
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([*[batch.column(c) for c in names], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
