@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -112,3 +113,46 @@ def probability_label(p: Column) -> Column:
     for top, label in PROBABILITY[:-1]:
         out = out.when(p < top, label)
     return out.otherwise(PROBABILITY[-1][1])
+
+
+def occurrences(text: Column, term: str) -> Column:
+    """Offsets from 0 of every occurrence of term, overlapping ones too, with case; an empty term has none."""
+    if not term:
+        return F.array().cast("array<int>")
+    # every piece but the first begins at an occurrence
+    pieces = F.split(text, "(?=" + re.escape(term) + ")", -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when((acc["at"] > 0) | text.startswith(term), F.concat(acc["found"], F.array(acc["at"]))).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+
+
+def file_name(c: Column) -> Column:
+    """A name in which every character but letters, digits, underscores, hyphens and dots is an underscore."""
+    return F.regexp_replace(c, r"[^\p{L}\p{N}_\-.]", "_")
+
+
+def csv_name(c: Column) -> Column:
+    """A name that needs no quotes in a CSV file."""
+    return F.translate(c, ',"', ";'")
+
+
+def record_text(*columns: str) -> Column:
+    """A record as "key: value." sentences; nulls are left out."""
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string"), F.lit(".")) for c in columns])
+
+
+def period_bounds(at: Column, precision: Column) -> tuple[Column, Column]:
+    """First and last microsecond of the day, month or year around a time; null for any other precision."""
+    start, end = F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp")
+    for unit, months, days in (("day", 0, 1), ("month", 1, 0), ("year", 12, 0)):
+        first = F.date_trunc(unit, at)
+        start = F.when(precision == unit, first).otherwise(start)
+        end = F.when(precision == unit, first + F.make_interval(months=F.lit(months), days=F.lit(days)) - F.expr("INTERVAL 1 MICROSECOND")).otherwise(end)
+    return start, end
+
+
+def bucket_key(at: Column, bucket: str) -> Column:
+    return F.date_format(at, {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}[bucket])
