@@ -50,9 +50,10 @@ def j24(spark, d):
     return watched.join(g.degree(relationships(spark, d)).select("id", "degree"), "id", "left").fillna(0, ["degree"])
 
 
-@query("w8_co_occurrence", "WITH l AS (SELECT l_orderkey AS o, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM lineitem) SELECT x.s AS a, y.s AS b, count(*) AS n FROM l x JOIN l y ON x.o = y.o AND y.p - x.p BETWEEN 1 AND 2 AND x.s <> y.s GROUP BY 1, 2")
+@query("w8_co_occurrence", "WITH l AS (SELECT l_orderkey AS o, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS p FROM lineitem) SELECT x.s AS a, y.s AS b, count(*) AS n FROM l x JOIN l y ON x.o = y.o AND y.p - x.p BETWEEN 1 AND 2 AND x.s <> y.s GROUP BY 1, 2")
 def w8(spark, d):
-    return nw.co_occurrence(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_suppkey")
+    lines = table(spark, d, "lineitem").withColumn("place", F.struct("l_linenumber", "l_suppkey"))  # line numbers repeat in an order
+    return nw.co_occurrence(lines, "l_orderkey", "place", "l_suppkey")
 
 
 @query("w10_survivors", "SELECT o_custkey, lower(o_orderpriority) AS label, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS kept FROM orders GROUP BY 1, 2")
