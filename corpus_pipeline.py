@@ -26,10 +26,14 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near duplicates."""
-    groups = minhash.near_duplicates(docs)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near duplicates: of its smallest doc_id, a null one first, and of several texts of that id the first class's.
+
+    Rows are matched by id and text: different texts may share a doc_id or have none.
+    """
+    keep = minhash.near_duplicates(docs).select(F.col("group_key").alias("key")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("key", minhash.text_key(F.col("doc_id"), F.col("text"))).join(keep, "key", "left_semi")
+    others = [c for c in COLUMNS if c != "text"]  # of rows that share id and text, the first by the other columns
+    return rows.groupBy("key").agg(F.min(F.struct(*others, "text")).alias("row")).select(*[F.col(f"row.{c}") for c in COLUMNS])
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

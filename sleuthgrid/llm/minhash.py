@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, schema_of, texts
@@ -162,23 +162,38 @@ def verify(ws: Workspace, pairs: DataFrame, reps: DataFrame, name: str) -> DataF
     return out
 
 
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+
+
+def _sha(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A number for each pair of doc_id and text; a class has that of its text and smallest doc_id."""
+    return F.xxhash64(_sha(text), _id(doc_id))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
-    """Group documents whose word 5-shingle sets are alike: doc_id, class_id, group_id, n_links.
+    """Group documents whose word 5-shingle sets are alike: doc_id, class_id, group_id, group_key, n_links.
 
     class_id: smallest doc_id of the documents with the same text. group_id:
     smallest class_id among those joined by chains of pairs with likeness of
-    threshold or more. n_links: verified links of the class, which join its
-    group and need not be all pairs in it. A null text counts as empty; a text
-    without words has no links, but empty texts are one class; a text of under
-    five words is one shingle. A null doc_id counts as the smallest. Rows that
-    share a doc_id must share a text (else each gets its text's class); rows
-    repeat in the result as in the table. Other columns are ignored; an empty
-    table gives no rows.
+    threshold or more. group_key: the text_key of the group's first class, by
+    class_id and then by text; it tells groups apart whose group_id is the same,
+    as null or repeated doc_ids make them. n_links: verified links of the class,
+    which join its group and need not be all pairs in it. A null text counts as
+    empty; a text without words has no links, but empty texts are one class; a
+    text of under five words is one shingle. A null doc_id counts as the
+    smallest. Rows that share a doc_id may differ in text, and each gets its
+    text's class; rows repeat in the result as in the table. Other columns are
+    ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = base.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("sha", F.unhex(F.md5(F.col("text").cast("binary"))))
+    keyed = base.withColumn("id", _id(F.col("doc_id"))).withColumn("sha", _sha(F.col("text")))
     classes = ws.write(keyed.groupBy("sha").agg(F.min("id").alias("id")), "classes")
     # a text's class has its own number: documents of one id may differ in text
     classes = classes.withColumn("key", F.xxhash64("sha", "id"))
@@ -230,10 +245,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     edges = edges.unionByName(done.filter(F.col("likeness") >= threshold).select(F.col("a").alias("x"), F.col("b").alias("y")))
     comp = _labels(ws, comp, connected(ws, edges, "last"), "comp-last")
     links = edges.select(F.explode(F.array("x", "y")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    least = classes.select("key", F.col("id").alias("class_id")).join(comp.select(F.col("id").alias("key"), "comp"), "key")
-    named = ws.write(least.join(least.groupBy("comp").agg(F.min("class_id").alias("group_id")), "comp").select("key", "group_id").join(links, "key", "left"), "groups")
-    null = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
-    return members.join(named, "key", "left").select("doc_id", null("class_id").alias("class_id"), F.coalesce(null("group_id"), null("class_id")).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = classes.select("key", F.col("id").alias("class_id"), "sha").join(comp.select(F.col("id").alias("key"), "comp"), "key")
+    lead = least.groupBy("comp").agg(F.min(F.struct("class_id", "sha", "key")).alias("lead"))
+    named = least.join(lead, "comp").select("key", F.col("lead.class_id").alias("group_id"), F.col("lead.key").alias("group_key"))
+    named = ws.write(named.join(links, "key", "left"), "groups")
+    null = lambda c: F.when(c != F.lit(-(2**63)), c)
+    # a class that shares no band is a group of its own
+    group = [null(F.coalesce("group_id", "class_id")).alias("group_id"), F.coalesce("group_key", "key").alias("group_key")]
+    return members.join(named, "key", "left").select("doc_id", null(F.col("class_id")).alias("class_id"), *group, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _labels(ws: Workspace, comp: DataFrame, found: DataFrame, name: str) -> DataFrame:
