@@ -97,6 +97,11 @@ def g7_components(spark, d):
     return nw.components(e, nodes).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("g7_components_graph")
+def g7_components_graph(spark, d):
+    return nw.components(relationships(spark, d), entities(spark, d).select("id")).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("g12_collapse", f"{WITH}, m AS (SELECT source_id AS id, target_id AS comp FROM rel WHERE rel_type = 'LOCATED_IN' UNION SELECT id, id FROM ent WHERE entity_type = 'Product') SELECT least(x.comp, y.comp) AS a, greatest(x.comp, y.comp) AS b, count(*) AS weight FROM rel JOIN m x ON x.id = source_id JOIN m y ON y.id = target_id WHERE x.comp <> y.comp GROUP BY 1, 2")
 def g12(spark, d):
     e, n = relationships(spark, d), entities(spark, d)
