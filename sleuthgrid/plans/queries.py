@@ -265,6 +265,12 @@ def f11(spark, d):
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 5")
 
 
+@query("f11_all_tokens", r"SELECT t AS token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))) AS t FROM documents) WHERE t NOT IN ('the', 'and') GROUP BY 1")
+def f11_all(spark, d):
+    t = table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"), ("the", "and"))).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("d13_probability", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax * 12.5 < 0.05 THEN 'Remote' WHEN l_tax * 12.5 < 0.2 THEN 'Very unlikely' WHEN l_tax * 12.5 < 0.45 THEN 'Unlikely' WHEN l_tax * 12.5 < 0.55 THEN 'Even chance' WHEN l_tax * 12.5 < 0.8 THEN 'Likely' WHEN l_tax * 12.5 < 0.95 THEN 'Very likely' WHEN l_tax * 12.5 <= 1 THEN 'Almost certain' ELSE 'Unknown' END AS label FROM lineitem")
 def d13(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.probability_label(F.col("l_tax") * 12.5).alias("label"))
@@ -288,6 +294,18 @@ def m1(spark, d):
     return rt.tf_idf(docs, tx.tokens(F.col("text")), let_in=False).withColumn("weight", F.round("weight", 6))  # its SQL lets none in
 
 
+@query(
+    "m1_all_languages",
+    r"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}')) AS ts FROM documents), n AS (SELECT count(*) AS n, greatest(2, CAST(floor(0.85 * count(*)) AS BIGINT)) AS top FROM t),
+    f AS (SELECT doc_id, len(ts) AS size, unnest(ts) AS term FROM t), c AS (SELECT doc_id, size, term, count(*) AS k FROM f GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+    s AS (SELECT bool_and(ok) AS covered, min(rarest) AS rarest FROM (SELECT doc_id, bool_or(df BETWEEN 2 AND top) AS ok, min(df) AS rarest FROM c JOIN df USING (term), n GROUP BY 1)),
+    w AS (SELECT doc_id, term, k / size * ln(n / df) AS w FROM c JOIN df USING (term), n, s WHERE df BETWEEN 2 AND top OR NOT covered AND (df <= top OR rarest > top))
+    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
+)
+def m1_all(spark, d):
+    return rt.tf_idf(table(spark, d, "documents"), tx.tokens(F.col("text"))).withColumn("weight", F.round("weight", 6))
+
+
 @query("g4_page_rank")
 def g4(spark, d):
     return g.page_rank(relationships(spark, d), entities(spark, d), 5)
