@@ -9,17 +9,20 @@ folder made.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Drops the shuffle files of a finished execution, so that a chain of written
-#: steps needs the disk of its largest step and not of all of them.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a written step. The shuffle files of a finished execution are
+#: dropped, so that a chain of steps needs the disk of its largest one and not
+#: of all. Only sides that an operator marks are broadcast: it knows their bound.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 _LOCAL: dict[str, str] = {}
 
 
@@ -45,12 +48,14 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and return it as read back."""
         path = f"{self.folder}/{name}"
-        was = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
+        was = {c: self.spark.conf.get(c, None) for c in _WRITING}
+        for c, value in _WRITING.items():
+            self.spark.conf.set(c, value)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(_CLEANUP, was)
+            for c, value in was.items():
+                self.spark.conf.set(c, value) if value is not None else self.spark.conf.unset(c)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -76,6 +81,37 @@ def texts(batch, column: str) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def released(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """function over Arrow batches, after which the worker hands free memory back, as it lives on and serves other tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, most: int = 1000, least: int = 10_000) -> DataFrame:
+    """left joined with right, which has a row for each key and, in n, how many rows of left have it (or more).
+
+    A key with more than 1/most of these rows, of which there can't be more
+    than most, is joined by broadcast, so its rows stay where they are; all
+    others by merging. left is read twice then and should be a written table.
+    """
+    size = right.agg(F.sum(n).alias("total"), F.max(n).alias("top")).head()
+    limit = max(least, (size["total"] or 0) // most)
+    if (size["top"] or 0) <= limit:
+        return left.join(right.hint("merge"), keys)
+    hot, rest = F.broadcast(right.filter(F.col(n) > limit)), right.filter(F.col(n) <= limit)
+    common = left.join(F.broadcast(right.filter(F.col(n) > limit).select(*keys)), keys, "left_anti")
+    return common.join(rest.hint("merge"), keys).unionByName(left.join(hot, keys))
+
+
 def order_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most 1024 values of key, ascending, that cut the rows into runs of about equal size; the first is the smallest."""
     parts = max(1, min(1024, parts))

@@ -8,7 +8,11 @@ more are regions, and each region is verified by an alignment that looks only
 at the band. Texts are compared in lower case, by code points.
 
 Before hits are spread to all items that hold a q-gram, places with too few
-hits near them for any item are left out, which the same lemma allows.
+hits near them for any item are left out, which the same lemma allows. Hits
+are spread some at a time, and of bands with enough of them those that follow
+each other are one region, so that q-grams which repeat within an item or a
+text cost neither memory nor an alignment for each band. A region is searched
+for its best passage, and then before and after it.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import schema_of, texts
+from .common import released, schema_of, texts
 from .hashing import mix, odd_powers
 
 Q, RATE = 10, 0.08
 #: Characters of items that one pass over the documents looks for.
 BLOCK_CHARS = 1_000_000
 TABLE_BITS = 22
+#: Hits that are spread to items at once.
+SPREAD = 500_000
 
 
 def points(text: str) -> np.ndarray:
@@ -97,15 +104,18 @@ class Items:
         self.q = q
         self.ids, self.points, self.edits, self.least, self.short = [], [], [], [], []
         hashes, owner, place = [], [], []
+        same: dict[bytes, list[int]] = {}  # items of equal text are looked for once
         for item_id, text in items:
-            p = points(text)
+            same.setdefault(points(text).astype("<u4").tobytes(), []).append(item_id)
+        for raw, item_ids in same.items():
+            p = np.frombuffer(raw, "<u4")
             if len(p) < q:
                 if len(p):
-                    self.short.append((item_id, p.astype("<u4").tobytes(), len(p)))
+                    self.short.append((item_ids, raw, len(p)))
                 continue
             k = min(int(rate * len(p)), (len(p) - q) // q)
             n = len(self.ids)
-            self.ids.append(item_id)
+            self.ids.append(item_ids)
             self.points.append(p)
             self.edits.append(k)
             self.least.append(len(p) - q + 1 - k * q)
@@ -129,11 +139,11 @@ class Items:
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """item_id, start, end, edits of every passage; of passages of an item that overlap, the one of fewest edits."""
         p = points(text)
-        for item_id, raw, n in self.short:
+        for item_ids, raw, n in self.short:
             data, at = p.tobytes(), -1
             while (at := data.find(raw, at + 1)) >= 0:
                 if at % 4 == 0:
-                    yield item_id, at // 4, at // 4 + n, 0
+                    yield from ((item_id, at // 4, at // 4 + n, 0) for item_id in item_ids)
         h = gram_hashes(p, self.q)
         if not len(h) or not len(self.keys):
             return
@@ -149,41 +159,63 @@ class Items:
             around = np.searchsorted(pos, pos + wide, "right") - np.searchsorted(pos, pos - wide)
             dense |= around >= least
         pos, k = pos[dense], k[dense]
-        if not len(pos):
-            return
-        n = self.count[k]
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
-        owner = self.owner[flat].astype(np.int64)
-        diagonal = np.repeat(pos, n) - self.place[flat]
-        edits = np.array(self.edits)[owner]
-        step = np.maximum(edits, 1)
-        band = diagonal // step
-        shift = np.int64(1) << np.int64(40)
-        keys, counts = np.unique(np.concatenate([owner * shift + band + (shift >> 1), owner * shift + band - 1 + (shift >> 1)]), return_counts=True)
-        least = np.array(self.least)[keys // shift]
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for key in keys[counts >= least].tolist():
-            i, b = key // int(shift), key % int(shift) - int(shift >> 1)
-            k1 = max(self.edits[i], 1)
-            low, high = b * k1, b * k1 + 2 * k1
-            item = self.points[i]
-            a, z = max(0, low), min(len(p), high + len(item) + self.edits[i])
-            if any(e == 0 and a <= s and t <= z for e, s, t in found.get(i, [])):
-                continue
-            at = whole(item, p[a:z])
-            best = (0, at, at + len(item)) if at >= 0 else align(item, p[a:z], low - a - self.edits[i], high - a, self.edits[i])
-            if best is not None:
-                found.setdefault(i, []).append((best[0], best[1] + a, best[2] + a))
+        for i, low, high in self._regions(pos, k):
+            found.setdefault(i, []).extend(self._passages(p, self.points[i], low, high, self.edits[i]))
         for i, rows in found.items():
             kept: list[tuple[int, int, int]] = []
             for e, s, t in sorted(rows):
                 if all(t <= s2 or s >= t2 for _, s2, t2 in kept):
                     kept.append((e, s, t))
             for e, s, t in kept:
-                yield self.ids[i], s, t, e
+                yield from ((item_id, s, t, e) for item_id in self.ids[i])
+
+    def _regions(self, pos: np.ndarray, k: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, first and last diagonal of bands with enough hits, those that follow each other together."""
+        shift = np.int64(1) << np.int64(40)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        ends = np.cumsum(self.count[k])
+        first = 0
+        while first < len(pos):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SPREAD, "right")))
+            n = self.count[k[first:last]]
+            flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k[first:last]], n)
+            owner = self.owner[flat].astype(np.int64)
+            band = (np.repeat(pos[first:last], n) - self.place[flat]) // np.maximum(np.array(self.edits)[owner], 1)
+            key = owner * shift + band + (shift >> 1)
+            some, times = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, times]), len(keys)).astype(np.int64)
+            first = last
+        keys = keys[counts >= np.array(self.least)[keys // shift]] if len(keys) else keys
+        cuts = np.flatnonzero(np.diff(keys) > 1) + 1
+        for chain in np.split(keys, cuts) if len(keys) else []:
+            i = int(chain[0] // shift)
+            step = max(self.edits[i], 1)
+            bands = (chain % shift - (shift >> 1)).tolist()
+            most = max(2, len(self.points[i]) // (4 * step))  # an alignment's width is then about the item's length at most
+            for j in range(0, len(bands), most):
+                yield i, bands[j] * step, bands[min(j + most, len(bands)) - 1] * step + 2 * step
+
+    @staticmethod
+    def _passages(p: np.ndarray, item: np.ndarray, low: int, high: int, edits: int) -> Iterator[tuple[int, int, int]]:
+        """edits, start, end of passages of item in p on diagonals low to high (and as far before as the edits reach)."""
+        todo = [(max(0, low), min(len(p), high + len(item) + edits))]
+        while todo:
+            a, z = todo.pop()
+            first, last = max(low - a - edits, -edits), min(high, z) - a
+            if z - a < len(item) - edits or first > last:
+                continue
+            part = p[a:z]
+            at = whole(item, part)
+            best = (0, at, at + len(item)) if at >= 0 else align(item, part, first, last, edits)
+            if best is not None:
+                e, s, t = best
+                yield e, s + a, t + a
+                todo += [(a, a + s), (a + t, z)]
 
 
-def _find(items: Items, others: list[str]):
+def _find(items: Items, others: list[str], made: list[str]):
     def run(batches):
         for batch in batches:
             rows = [[], [], [], [], []]
@@ -193,9 +225,9 @@ def _find(items: Items, others: list[str]):
                         x.append(y)
             if rows[0]:
                 own = batch.take(pa.array(rows[0]))
-                yield pa.record_batch([*[own.column(c) for c in others], *[pa.array(x, pa.int64()) for x in rows[1:]]], names=[*others, "item_id", "start", "stop", "edits"])
+                yield pa.record_batch([*[own.column(c) for c in others], *[pa.array(x, pa.int64()) for x in rows[1:]]], names=[*others, *made])
 
-    return run
+    return released(run)
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -216,14 +248,20 @@ def passages(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("do
 
     Up to rate of an item's characters may be edited (fewer in items so short
     that the lemma would ask for no hit); items under q characters must match
-    exactly; empty and null items and texts match nothing. The result has no
-    row for clean documents; rows that repeat in docs repeat in it.
+    exactly; empty and null items and texts match nothing; items of equal text
+    match alike, and long texts are read whole. The result has no row for clean
+    documents; rows that repeat in docs repeat in it. A column whose name is
+    that of a key column gets a line below after it.
     """
+    made = []
+    for name in ("item_id", "start", "stop", "edits"):
+        while name in {k.lower() for k in keys}:
+            name += "_"
+        made.append(name)
     base = docs.select(*keys, F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys).schema.fields)
-    schema = schema_of(fields + ", item_id long, start long, stop long, edits long")
+    schema = T.StructType([*base.select(*keys).schema.fields, *schema_of(", ".join(f"{c} long" for c in made)).fields])
     out = None
     for block in blocks(benchmark):
-        part = base.mapInArrow(_find(Items(block, q, rate), list(keys)), schema)
+        part = base.mapInArrow(_find(Items(block, q, rate), list(keys), made), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)

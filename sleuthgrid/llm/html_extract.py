@@ -17,22 +17,28 @@ import html
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_of, texts
+from .common import released, schema_of, texts
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag's attributes up to its end, in one pass: only a quote after an equals sign opens a value. All parts are possessive, so nothing is read twice.
+ATTRIBUTES = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+""")
+TAG = re.compile(r"[a-zA-Z][^\s/>]*+")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECE = re.compile(r"[a-z]+")
-#: Elements whose text is never shown as page text.
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select option datalist".split())
+#: Elements whose text is never shown as page text. Inside RAW ones there are no tags but the end tag; HIDDEN ones nest.
+RAW = frozenset("script style noscript iframe title textarea xmp noembed noframes".split())
+HIDDEN = frozenset("template object svg canvas audio video select datalist".split())
+#: Elements that may stand in a head; any other ends it.
+IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that run inside a line; all others start a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose semantics annotation".split())
 #: Elements that an opening tag of the same list closes, up to the parent named.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
 KINDS = {k: kind for kind, names in {"article": "article main", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "para": "p blockquote pre figure figcaption address", "list": "ul ol dl menu", "item": "li dt dd", "table": "table tbody thead tfoot tr td th caption", "nav": "nav", "head": "header", "foot": "footer", "side": "aside dialog", "form": "form fieldset button input", "body": "body html"}.items() for k in names.split()}
@@ -65,12 +71,53 @@ def families(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+def tags(page: str):
+    """(text, tag, closing, attributes) in page order: the text before a tag, and the tag in lower case; the last has none.
+
+    Each character is read once: comments, declarations and tags that never
+    end are read to the end of the page, and a "<" before anything else is text.
+    Text in RAW elements is left out.
+    """
+    at = begin = 0
+    n, held = len(page), []
+    while (i := page.find("<", at)) >= 0:
+        head = page[i + 1 : i + 2]
+        if head in ("!", "?"):
+            mark = "-->" if page.startswith("<!--", i) else "]]>" if page.startswith("<![CDATA[", i) else ">"
+            held.append(page[begin:i])
+            end = page.find(mark, i + 2)
+            at = begin = n if end < 0 else end + len(mark)
+            continue
+        closing = head == "/"
+        m = TAG.match(page, i + 1 + closing)
+        if m is None:
+            at = i + 1
+            continue
+        held.append(page[begin:i])
+        rest = ATTRIBUTES.match(page, m.end())
+        tag, end = m[0].lower(), rest.end()
+        at = begin = min(n, end + 1)
+        if end >= n:
+            break
+        yield "".join(held), tag, closing, rest[0]
+        held = []
+        if tag in RAW and not closing:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = begin = end.start() if end else n
+    held.append(page[begin:])
+    yield "".join(held), "", False, ""
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; leaves have a text with character references decoded and white space in one space each."""
     nodes = [Node("body", frozenset(), -1)]
     stack = [("", 0)]
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    links = at = in_link = 0
+    links = in_link = 0
+    hidden: list[str] = []
+    left = {tag: page.lower().count(f"</{tag}") for tag in HIDDEN if f"<{tag}" in page or f"<{tag.upper()}" in page}
+    in_head = False
 
     def flush() -> None:
         nonlocal links
@@ -82,48 +129,47 @@ def parse(page: str) -> list[Node]:
 
     def pop_to(place: int) -> None:
         flush()
+        opened.subtract(t for t, _ in stack[place:])
         del stack[place:]
 
-    n, in_head = len(page), False
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None or m.start() > at:
-            piece = page[at : m.start() if m else n]
+    for piece, tag, closing, attributes in tags(page):
+        if piece and not hidden:
+            if in_head and not piece.isspace():
+                in_head = False
             if not in_head:
                 piece = html.unescape(piece)
                 held.append(piece)
                 if in_link:
                     links += len(piece.strip())
-        if m is None:
+        if not tag:
             break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "a":
-                in_link = 0
-            if tag == "head":
-                in_head = False
-            elif tag not in INLINE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        pop_to(i)
-                        break
-                else:
-                    flush()
+        if tag in HIDDEN:
+            # an element that is never closed hides nothing
+            if closing:
+                left[tag] = left.get(tag, 0) - 1
+                if tag in hidden:
+                    while hidden.pop() != tag:
+                        pass
+            elif not attributes.endswith("/") and left.get(tag, 0) > hidden.count(tag):
+                hidden.append(tag)
             continue
-        if tag in SILENT:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+        if hidden or tag in RAW or tag in ("option", "optgroup", "html", "meta", "link", "base"):
             continue
         if tag == "head":
-            in_head = True
+            in_head = not closing
             continue
-        if tag == "body":
+        if tag not in IN_HEAD:
             in_head = False
-        if in_head or tag in ("html", "body", "meta", "link", "base"):
+        if tag == "body":
+            continue
+        if closing:
+            if tag == "a":
+                in_link = 0
+            if tag not in INLINE:
+                if opened[tag]:
+                    pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
+                else:
+                    flush()
             continue
         if tag == "br" or tag == "wbr":
             held.append(" " if tag == "br" else "")
@@ -138,7 +184,7 @@ def parse(page: str) -> list[Node]:
         flush()
         if stack[-1][0] == "p":
             pop_to(len(stack) - 1)
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag][0]):
             closes, stops = CLOSES[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in stops:
@@ -147,8 +193,9 @@ def parse(page: str) -> list[Node]:
                     pop_to(i)
                     if tag != "tr":
                         break
-        nodes.append(Node(KINDS.get(tag, "box"), families(m[3]) if m[3] else frozenset(), stack[-1][1]))
+        nodes.append(Node(KINDS.get(tag, "box"), families(attributes) if attributes else frozenset(), stack[-1][1]))
         stack.append((tag, len(nodes) - 1))
+        opened[tag] += 1
     flush()
     return nodes
 
@@ -347,15 +394,16 @@ def _extract(model: TreeModel, others: list[str]):
             out = [model.extract(t.decode()) for t in texts(batch, "html")]
             yield pa.record_batch([*[batch.column(c) for c in others], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*others, "text", "n_chars"])
 
-    return run
+    return released(run)
 
 
 def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """The columns of pages without html, then text and n_chars.
 
     A null or empty page, or one without a block that is likelier content than
-    not, has an empty text. Markup that never ends is read to the end of the
-    page. Columns named text or n_chars are replaced; rows repeat as they are;
+    not, has an empty text; a long page is read whole, each character once.
+    Markup that never ends is read to the end of the page; select, svg and other
+    hidden elements that are never closed hide nothing. Columns named text or n_chars are replaced; rows repeat as they are;
     an empty table gives no rows.
     """
     others = [c for c in pages.columns if c.lower() not in {"html", "text", "n_chars"}]

@@ -5,7 +5,8 @@ likelihood is the sum, over all ways to cut it into pieces, of the product of
 their probabilities: the forward algorithm adds it up in one pass. The
 probabilities are learned by expectation-maximisation over the same cuts. A
 character outside the vocabulary is a piece of its own with a small fixed
-probability.
+probability. Sums are kept in range by a factor for each character, which the
+logarithm takes out again.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, schema_of, texts
+from .common import Workspace, released, schema_of, texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACE = "▁"
-#: Bounds of what is learned from: texts, and different words, of each language.
-MOST_TEXTS, MOST_WORDS, ROUNDS = 1500, 6000, 3
+#: Bound of what is learned from, texts of each language, and rounds of learning.
+MOST_TEXTS, ROUNDS = 1500, 3
 RARE = 1e-9
 LONGEST = 40
+#: A piece's probability is multiplied by this for each of its characters: (1e-10 * FACTOR)**LONGEST and FACTOR**LONGEST are both in range.
+FACTOR = 1e3
 
 
 def vocabulary(model_path: str) -> dict[str, int]:
@@ -39,53 +42,31 @@ def vocabulary(model_path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(found)}
 
 
-def cuts(word: str, vocab: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
-    """start, end, piece number of every piece inside a word; -1 for a character that isn't a piece."""
-    out = []
-    for i in range(len(word)):
-        one = False
-        for j in range(i + 1, min(len(word), i + longest) + 1):
-            k = vocab.get(word[i:j])
-            if k is not None:
-                out.append((i, j, k))
-                one |= j == i + 1
-        if not one:
-            out.append((i, i + 1, -1))
-    return out
-
-
 def parts_of(word: str) -> list[str]:
     """A word with its mark of a start, in parts of at most LONGEST characters, so that sums can't underflow."""
     marked = SPACE + word
     return [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
 
 
-class LanguageModel:
-    def __init__(self, vocab: dict[str, int], languages: list[str], table: np.ndarray, prior: np.ndarray):
-        self.vocab, self.languages, self.table, self.prior = vocab, languages, table, prior
-        #: every piece and every start of one; a start that isn't a piece has no number
-        self.starts: dict[str, int | None] = {p[:i]: None for p in vocab for i in range(1, len(p))} | vocab
+def _by_length(words: list[str]) -> dict[int, list[tuple[int, str]]]:
+    """Parts of words, with the word's number, by length."""
+    out: dict[int, list[tuple[int, str]]] = {}
+    for at, w in enumerate(words):
+        for part in parts_of(w):
+            out.setdefault(len(part), []).append((at, part))
+    return out
 
-    def word(self, word: str) -> list[float]:
-        """Log-likelihood of a word in each language."""
-        return self.words([word])[0].tolist()
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood of each word in each language: the forward sum, over parts of one length at a time."""
-        total = np.zeros((len(words), len(self.languages)))
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for at, w in enumerate(words):
-            for part in parts_of(w):
-                by_length.setdefault(len(part), []).append((at, part))
-        for n, group in by_length.items():
-            step = max(1, 2_000_000 // ((n + 1) * max(1, len(self.languages))))
-            for first in range(0, len(group), step):
-                some = group[first : first + step]
-                np.add.at(total, [at for at, _ in some], np.log(self._forward([part for _, part in some], n)))
-        return total
+class Vocabulary:
+    def __init__(self, pieces: dict[str, int]):
+        self.pieces = pieces
+        #: every piece and every start of one; a start that isn't a piece has no number
+        self.starts: dict[str, int | None] = {p[:i]: None for p in pieces for i in range(1, len(p))} | pieces
+        #: FACTOR for each character of a piece; the last is for a character that is none
+        self.factors = FACTOR ** np.array([*[len(p) for p in pieces], 1.0])
 
-    def _forward(self, parts: list[str], n: int) -> np.ndarray:
-        """Likelihoods of parts that all have n characters."""
+    def lattice(self, parts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces inside parts of n characters: place (start * (n + 1) + end) in order, row, number (-1 for a character that isn't a piece)."""
         find, width = self.starts.get, n + 1
         place, row, piece = [], [], []
         for r, part in enumerate(parts):
@@ -106,44 +87,68 @@ class LanguageModel:
                     piece.append(-1)
         place, row, piece = (np.array(x, np.int32) for x in (place, row, piece))
         order = np.argsort(place, kind="stable")
-        place, row, piece = place[order], row[order], piece[order]
-        ahead = np.zeros((width, len(parts), len(self.languages)))
-        ahead[0] = 1.0
-        bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            i, j = divmod(int(place[lo]), width)
-            ahead[j, row[lo:hi]] += ahead[i, row[lo:hi]] * self.table[piece[lo:hi]]
-        return ahead[n]
-
-
-def learn(words: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """languages and a table [piece, language] of probabilities; its last row is for characters outside the vocabulary."""
-    languages = sorted(words)
-    longest = max(map(len, vocab), default=1)
-    lattices: dict[str, list[tuple[int, int, int]]] = {}
-    seen = np.zeros((len(vocab) + 1, len(languages)))
+        return place[order], row[order], piece[order]
+
+
+def forward(lattice, rows: int, n: int, table: np.ndarray) -> np.ndarray:
+    """Sums over all ways to reach each character: [character, row, language]."""
+    place, row, piece = lattice
+    ahead = np.zeros((n + 1, rows, table.shape[1]))
+    ahead[0] = 1.0
+    bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        i, j = divmod(int(place[lo]), n + 1)
+        ahead[j, row[lo:hi]] += ahead[i, row[lo:hi]] * table[piece[lo:hi]]
+    return ahead
+
+
+class LanguageModel:
+    def __init__(self, vocab: Vocabulary, languages: list[str], table: np.ndarray, prior: np.ndarray):
+        self.vocab, self.languages, self.table, self.prior = vocab, languages, table, prior
+        self.scaled = table * vocab.factors[:, None]
+
+    def word(self, word: str) -> list[float]:
+        """Log-likelihood of a word in each language."""
+        return self.words([word])[0].tolist()
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word in each language: the forward sum, over parts of one length at a time."""
+        total = np.zeros((len(words), len(self.languages)))
+        for n, group in _by_length(words).items():
+            step = max(1, 2_000_000 // ((n + 1) * max(1, len(self.languages))))
+            for first in range(0, len(group), step):
+                some = group[first : first + step]
+                ahead = forward(self.vocab.lattice([part for _, part in some], n), len(some), n, self.scaled)
+                np.add.at(total, [at for at, _ in some], np.log(ahead[n]) - n * math.log(FACTOR))
+        return total
+
+
+def learn(words: dict[str, dict[str, int]], vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """languages and a table [piece, language] of probabilities, by rounds of expectation-maximisation; its last row is for characters outside the vocabulary."""
+    languages, size = sorted(words), len(vocab.pieces)
+    seen = np.zeros((size + 1, len(languages)))
     for number, lang in enumerate(languages):
-        counts: dict[str, int] = {}
-        for w, c in words[lang].items():
-            for part in parts_of(w):
-                counts[part] = counts.get(part, 0) + c
-        p = [1.0 / max(1, len(vocab))] * len(vocab) + [RARE]
-        own = [0.0] * len(p)
+        names, counts = list(words[lang]), np.array(list(words[lang].values()), float)
+        groups = []
+        for n, group in _by_length(names).items():
+            for first in range(0, len(group), 20_000):
+                some = group[first : first + 20_000]
+                groups.append((n, len(some), counts[[at for at, _ in some]], vocab.lattice([part for _, part in some], n)))
+        p = np.append(np.full(size, 1.0 / max(1, size)), RARE)
+        own = np.zeros(size + 1)
         for _ in range(rounds):
-            own = [0.0] * len(p)
-            for part, c in counts.items():
-                rows = lattices.get(part) or lattices.setdefault(part, cuts(part, vocab, longest))
-                n = len(part)
-                ahead, back = [1.0, *[0.0] * n], [*[0.0] * n, 1.0]
-                for i, j, k in rows:
-                    ahead[j] += ahead[i] * p[k]
-                for i, j, k in reversed(rows):
-                    back[i] += p[k] * back[j]
-                share = c / ahead[n]
-                for i, j, k in rows:
-                    own[k] += ahead[i] * p[k] * back[j] * share
-            total = sum(own) + 1.0
-            p = [*[(x + 1.0 / len(own)) / total for x in own[:-1]], RARE]
+            own, scaled = np.zeros(size + 1), (p * vocab.factors)[:, None]
+            for n, rows, times, (place, row, piece) in groups:
+                ahead, back = forward((place, row, piece), rows, n, scaled)[:, :, 0], np.zeros((n + 1, rows))
+                back[n] = 1.0
+                i, j = np.divmod(place, n + 1)
+                bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+                for lo, hi in zip(bounds[-2::-1], bounds[:0:-1], strict=True):
+                    back[i[lo], row[lo:hi]] += scaled[piece[lo:hi], 0] * back[j[lo], row[lo:hi]]
+                share = ahead[i, row] * scaled[piece, 0] * back[j, row] * (times / ahead[n])[row]
+                own += np.bincount(piece % (size + 1), share, size + 1)
+            total = own.sum() + 1.0
+            p = np.append((own[:-1] + 1.0 / len(own)) / total, RARE)
         seen[:, number] = own
     seen[-1] = 0
     # what a language hasn't shown is shared out as in all languages together
@@ -170,16 +175,16 @@ def fit(docs: DataFrame, model_path: str, held_out: int = 1) -> LanguageModel:
     """Learn from text and non-null lang of documents whose crc32(doc_id) mod 3 is not held_out.
 
     At most MOST_TEXTS texts of each language are used, in the order of a hash
-    of doc_id, and their MOST_WORDS most frequent words. Priors are the shares
-    of all training rows. Without training rows every text with a letter gets
+    of doc_id, with all of their words. Priors are the shares of all training
+    rows. Without training rows every text with a letter gets
     ``und``.
     """
     ws = Workspace(docs.sparkSession, "language")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter((F.crc32(F.col("doc_id").cast("string")) % 3 != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    vocab = vocabulary(model_path)
+    vocab = Vocabulary(vocabulary(model_path))
     if not sizes:
-        return LanguageModel(vocab, [], np.full((len(vocab) + 1, 0), RARE), np.zeros(0))
+        return LanguageModel(vocab, [], np.full((len(vocab.pieces) + 1, 0), RARE), np.zeros(0))
     # rows are chosen by a share of the hash's range, a little wider than needed, before the exact cut
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share = F.lit(None)
@@ -189,9 +194,8 @@ def fit(docs: DataFrame, model_path: str, held_out: int = 1) -> LanguageModel:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = near.withColumn("r", rank).filter(F.col("r") <= MOST_TEXTS).select("lang", "text")
     counts = picked.mapInArrow(_count, schema_of("lang string, word string, n long")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = ws.write(counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= MOST_WORDS), "words")
     words: dict[str, dict[str, int]] = {k: {} for k in sizes}
-    for r in top.collect():  # at most MOST_WORDS for each language
+    for r in ws.write(counts, "words").sort("lang", "word").collect():  # the words of at most MOST_TEXTS texts of each language
         words[r.lang][r.word] = r.n
     languages, table = learn(words, vocab)
     ws.drop("words")
@@ -237,14 +241,15 @@ def _predict(model: LanguageModel, most: int = 200_000, run_length: int = 200_00
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([*[batch.column(c) for c in names], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return run
+    return released(run)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score (posterior of the predicted language).
 
-    A text that is null or has no letter gets ``und`` and 0. A null doc_id isn't
-    held out. Rows repeat in the result as in the table; other columns are
+    A text that is null or has no letter gets ``und`` and 0; however long, a text
+    is scored whole, and so is a word, in parts of LONGEST characters. A null
+    doc_id isn't held out. Rows repeat in the result as in the table; other columns are
     ignored; an empty table gives no rows.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import schema_of, texts
+from .common import Workspace, released, schema_of, texts
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -38,8 +39,8 @@ PRIOR = 20.0
 ERRORS = 2.0
 DRIFT = 0.5
 LEAST = 1.0
-#: Bounds of the training sample (texts of each label) and of the model (scored words and prefixes).
-MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 2000, 4000, 50_000
+#: Bounds of the training sample: texts of each label.
+MOST_TOXIC, MOST_CLEAN = 2000, 4000
 
 
 def features(word: str) -> list[str]:
@@ -49,37 +50,40 @@ def features(word: str) -> list[str]:
 def segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last token) of tokens that cost drift but for those at places, which have scores over 0.
 
-    One pass: each new positive stretch looks back over candidates in order of
-    their left sums; joined ones are never looked at again.
+    Linear in the number of places: every candidate holds the number of the
+    nearest one before it with a smaller left sum, and a search steps from one
+    of these to the next, so what it passes over is never looked at again.
     """
-    held: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
+    held: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, last, nearest with a smaller sum before
     total, at = 0.0, 0
     for place, score in zip(places, scores, strict=True):
         total -= drift * (place - at)
-        left, right, first = total, total + score, place
-        while held:
-            j = len(held) - 1
+        left, right, first, j = total, total + score, place, len(held) - 1
+        while True:
             while j >= 0 and held[j][0] >= left:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][1] >= right:
                 break
-            left, first = held[j][0], held[j][2]
+            # joined with j, which takes in all between; its own link leads on
+            left, first, link = held[j][0], held[j][2], held[j][4]
             del held[j:]
-        held.append((left, right, first, place))
+            j = link
+        held.append((left, right, first, place, j))
         total, at = right, place + 1
-    return [(b - a, i, j) for a, b, i, j in held]
+    return [(b - a, i, j) for a, b, i, j, _ in held]
 
 
 class Model:
     def __init__(self, weights: dict[str, float], decay: float = 1.0, scale: float = 1.0, slope: float = 1.0, offset: float = 0.0):
         self.weights, self.decay, self.scale, self.slope, self.offset = weights, decay, scale, slope, offset
+        self.loss = math.nan
 
     def positives(self, text: str, cache: dict[str, float]) -> tuple[list[int], list[float], int]:
         """Places and scores of the tokens with a score over 0, and the number of tokens."""
         words = WORD.findall(text.lower())
         for w in set(words):
             if w not in cache:
-                if len(cache) > 500_000:
+                if len(cache) > 200_000:
                     cache.clear()
                 cache[w] = max(self.weights.get(f, 0.0) for f in features(w))
         places, scores = [], []
@@ -114,28 +118,41 @@ def _presence(batches):
             yield pa.record_batch([pa.array([k[0] for k in out]), pa.array([k[1] for k in out], pa.int32()), pa.array([k[2] for k in out], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["f", "toxic", "fold", "n"])
 
 
-def _log_odds(a, b, n1, n0):
-    """Lower bound of the log-odds of toxic and clean share, less LEAST, as columns."""
-    q = PRIOR * (a + b) / (n1 + n0)
-    return F.log((a + q) / (n1 + PRIOR)) - F.log((b + q) / (n0 + PRIOR)) - ERRORS * F.sqrt(1 / (a + q) + 1 / (b + q)) - LEAST
+def _log_odds(a, b, n1, n0, prior: float, errors: float, least: float):
+    """Lower bound of the log-odds of toxic and clean share, less least, as columns."""
+    q = prior * (a + b) / (n1 + n0)
+    return F.log((a + q) / (n1 + prior)) - F.log((b + q) / (n0 + prior)) - errors * F.sqrt(1 / (a + q) + 1 / (b + q)) - least
 
 
-def _scan(models: dict[int, Model]):
-    """Per training text, under the model that hasn't seen it: best segments' scores and token score histogram."""
+def _clean_scores(models: dict[int, Model]):
+    """Of clean training texts, each under the model that hasn't seen it: tenths of token scores with their counts, and best segments (score, n) with a tenth of -1."""
 
     def run(batches):
         caches = {k: {} for k in models}
         for batch in batches:
-            label, fold = batch.column("toxic").to_pylist(), batch.column("fold").to_pylist()
-            rows = [[], [], [], []]
+            fold, out, best = batch.column("fold").to_pylist(), Counter(), []
             for i, text in enumerate(texts(batch, "text")):
                 places, scores, n = models[fold[i]].positives(text.decode(), caches[fold[i]])
-                found = segments(places, scores)
-                for x, y in zip(rows, (label[i], n, sorted((s for s, _, _ in found), reverse=True)[:50], [round(s * 10) for s in scores][:2000]), strict=True):
-                    x.append(y)
-            yield pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.float64())), pa.array(rows[3], pa.list_(pa.int32()))], names=["toxic", "n", "found", "hits"])
+                out.update(round(s * 10) for s in scores)
+                best.append((max((s for s, _, _ in segments(places, scores)), default=0.0), n))
+            yield pa.record_batch([pa.array([*out, *[-1] * len(best)], pa.int32()), pa.array([*out.values(), *[n for _, n in best]], pa.int64()), pa.array([*[0.0] * len(out), *[s for s, _ in best]], pa.float64())], names=["tenth", "n", "best"])
+
+    return released(run)
+
+
+def _evidence(models: dict[int, Model]):
+    """Of training texts, each under the model that hasn't seen it: label and evidence."""
 
-    return run
+    def run(batches):
+        caches = {k: {} for k in models}
+        for batch in batches:
+            fold, out = batch.column("fold").to_pylist(), []
+            for i, text in enumerate(texts(batch, "text")):
+                places, scores, n = models[fold[i]].positives(text.decode(), caches[fold[i]])
+                out.append(models[fold[i]].evidence(segments(places, scores), n))
+            yield pa.record_batch([batch.column("toxic"), pa.array(out, pa.float64())], names=["toxic", "evidence"])
+
+    return released(run)
 
 
 def _decay(counts: Counter, clean_tokens: int) -> float:
@@ -173,12 +190,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return max(0.0, float(beta[0])), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, prior: float = PRIOR, errors: float = ERRORS, least: float = LEAST) -> Model:
     """Learn from rows of docs with a label whose crc32(doc_id) mod 4 is not held_out.
 
     At most MOST_TOXIC and MOST_CLEAN different texts are used, taken in the
-    order of a hash of doc_id. Without rows of both labels the model knows no
-    word and gives every text the same low score.
+    order of a hash of doc_id; all their words, segments and scores count.
+    Without rows of both labels the model knows no word and gives every text
+    the same low score. The model's loss is the mean log loss of training
+    texts, scored by models that haven't seen them.
     """
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(F.crc32(F.col("doc_id").cast("string")) % 4 != held_out)
@@ -187,8 +206,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Model:
     ids = picked.collect()  # at most MOST_TOXIC + MOST_CLEAN pairs of numbers
     small = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int"))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(small, "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    from .common import Workspace
-
     ws = Workspace(spark, "toxicity")
     sample = ws.write(sample.select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("fold")), "sample")
     size = {(r.toxic, r.fold): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
@@ -197,18 +214,24 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Model:
         return Model({}, offset=-4.0)
     part = lambda t, f: F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == f), F.col("n")).otherwise(0))
     counts = sample.mapInArrow(_presence, schema_of("f string, toxic int, fold int, n long")).groupBy("f").agg(part(1, 0).alias("a0"), part(1, 1).alias("a1"), part(0, 0).alias("b0"), part(0, 1).alias("b1")).filter("a0 + a1 >= 2")
-    w = counts.select("f", _log_odds(F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"), n1, n0).alias("all"), *[_log_odds(F.col(f"a{k}"), F.col(f"b{k}"), max(1, size.get((1, k), 0)), max(1, size.get((0, k), 0))).alias(f"only{k}") for k in (0, 1)])
-    rows = w.withColumn("best", F.greatest("all", F.coalesce("only0", F.lit(0.0)), F.coalesce("only1", F.lit(0.0)))).filter("best > 0").orderBy(F.desc("best"), "f").limit(MOST_FEATURES).collect()
+    odds = lambda a, b, x, y: _log_odds(a, b, x, y, prior, errors, least)
+    w = counts.select("f", odds(F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"), n1, n0).alias("all"), *[odds(F.col(f"a{k}"), F.col(f"b{k}"), max(1, size.get((1, k), 0)), max(1, size.get((0, k), 0))).alias(f"only{k}") for k in (0, 1)])
+    rows = w.filter("`all` > 0 or only0 > 0 or only1 > 0").collect()  # words of the toxic texts of the bounded sample
     weights = {k: {r.f: r[k] for r in rows if r[k] is not None and r[k] > 0} for k in ("all", "only0", "only1")}
-    seen = sample.mapInArrow(_scan({0: Model(weights["only1"]), 1: Model(weights["only0"])}), schema_of("toxic int, n long, found array<double>, hits array<int>")).collect()  # a row of at most 2050 numbers for each text of the bounded sample
-    clean = [r for r in seen if not r.toxic]
-    model = Model(weights["all"])
-    model.decay = _decay(Counter(h for r in clean for h in r.hits), sum(r.n for r in clean))
-    best = [(r.found[0] if r.found else 0.0, r.n) for r in clean if r.n]
-    model.scale = math.exp(min(20.0, max(-20.0, float(np.mean([model.decay * s - math.log(n) for s, n in best])) - 0.5772))) if best else 1.0
-    x = np.array([math.log1p(model.evidence([(s, 0, 0) for s in r.found], r.n)) for r in seen])
-    y = np.array([float(r.toxic) for r in seen])
+    model, unseen = Model(weights["all"]), {0: Model(weights["only1"]), 1: Model(weights["only0"])}
+    seen = sample.filter("toxic = 0").mapInArrow(_clean_scores(unseen), schema_of("tenth int, n long, best double")).groupBy("tenth", F.when(F.col("tenth") < 0, F.col("best")).alias("best"), F.when(F.col("tenth") < 0, F.col("n")).alias("size")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("times")).collect()
+    best = [(r.best, r["size"], r.times) for r in seen if r.tenth < 0 and r["size"]]
+    model.decay = _decay(Counter({r.tenth: r.n for r in seen if r.tenth >= 0}), sum(r.n for r in seen if r.tenth < 0))
+    if best:
+        mean = sum(t * (model.decay * s - math.log(n)) for s, n, t in best) / sum(t for _, _, t in best)
+        model.scale = math.exp(min(20.0, max(-20.0, mean - 0.5772)))
+    for m in unseen.values():
+        m.decay, m.scale = model.decay, model.scale
+    rated = sample.mapInArrow(_evidence(unseen), schema_of("toxic int, evidence double")).collect()  # two numbers for each text of the bounded sample
+    x, y = np.array([math.log1p(r.evidence) for r in rated]), np.array([float(r.toxic) for r in rated])
     model.slope, model.offset = _logistic(x, y, np.ones(len(x)))
+    p = np.clip([model.probability(r.evidence) for r in rated], 1e-9, 1 - 1e-9)
+    model.loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
     ws.drop("sample")
     return model
 
@@ -228,14 +251,15 @@ def _score(model: Model):
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([*[batch.column(c) for c in names], pa.array(out[0], pa.float64()), *[pa.array(x, pa.int64()) for x in out[1:]]], names=[*names, "score", "n_segments", "first_token", "last_token"])
 
-    return run
+    return released(run)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, n_segments, and the first and last token of the best segment (-1 if there is none).
 
-    A null or empty text has the score of no evidence. A null doc_id isn't held
-    out. Rows repeat in the result as in the table.
+    A null or empty text has the score of no evidence; a long one is read whole.
+    A null doc_id isn't held out. Rows repeat in the result as in the table, and
+    other columns are ignored; an empty table gives no rows.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -255,9 +279,45 @@ def _clean(model: Model, threshold: float):
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return run
+    return released(run)
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score under threshold, as they are."""
     return docs.mapInArrow(_clean(model, threshold), docs.schema)
+
+
+def _passages(model: Model, others: list[str], expected: float):
+    def run(batches):
+        cache: dict[str, float] = {}
+        for batch in batches:
+            rows = [[] for _ in range(7)]
+            for i, text in enumerate(texts(batch, "text")):
+                text = text.decode()
+                places, scores, n = model.positives(text, cache)
+                found = [(s, a, b, e) for s, a, b in segments(places, scores) if (e := model.scale * n * math.exp(-model.decay * s)) <= expected]
+                if not found:
+                    continue
+                spans = [m.span() for m in WORD.finditer(text)] if len(text.lower()) == len(text) else None
+                for s, a, b, e in found:
+                    for x, y in zip(rows, (i, s, e, a, b, spans[a][0] if spans else None, spans[b][1] if spans else None), strict=True):
+                        x.append(y)
+            if rows[0]:
+                own = batch.take(pa.array(rows[0]))
+                kinds = [pa.float64(), pa.float64(), *[pa.int64()] * 4]
+                yield pa.record_batch([*[own.column(c) for c in others], *[pa.array(x, k) for x, k in zip(rows[1:], kinds, strict=True)]], names=[*others, "segment_score", "expected", "first_token", "last_token", "start", "stop"])
+
+    return released(run)
+
+
+def passages(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",), expected: float = 0.01) -> DataFrame:
+    """Every significant toxic passage: the key columns, segment_score, expected, first_token, last_token, start, stop.
+
+    A passage is a maximal segment of which chance would give at most expected
+    in a clean text of its text's length. start and stop are code points; they
+    are null where lower case changes a text's length. Null, empty and clean
+    texts have no row.
+    """
+    base = docs.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    made = schema_of("segment_score double, expected double, first_token long, last_token long, start long, stop long")
+    return base.mapInArrow(_passages(model, list(keys), expected), T.StructType([*base.select(*keys).schema.fields, *made.fields]))

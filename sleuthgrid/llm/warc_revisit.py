@@ -37,6 +37,13 @@ def _validator(etag: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(etag), "^W/", ""), '"', "")
 
 
+def _lower_names(headers: Column) -> Column:
+    """Headers with names in lower case; of names that differ by case alone, the first counts."""
+    rows = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(rows, lambda e: e["key"])
+    return F.map_from_entries(F.filter(rows, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+
 def resolve(captures: DataFrame) -> DataFrame:
     """One row for each revisit of captures (capture_id, url, ts timestamp or long, kind, status, headers map).
 
@@ -46,11 +53,12 @@ def resolve(captures: DataFrame) -> DataFrame:
     for weakness, or, if one lacks it, both have a last-modified and those are
     equal. A response is full if its status is 200; one at the same time is not
     earlier; of responses of one time the greatest id counts. Header names
-    compare without case. A null url, ts or kind: a revisit has no response,
+    compare without case; of names that differ by case alone the first counts.
+    Other columns are ignored. A null url, ts or kind: a revisit has no response,
     and a response answers none. headers is null unless resolved.
     """
     moment = F.col("ts").cast("double") * 1e6 if dict(captures.dtypes)["ts"].startswith("timestamp") else F.col("ts")
-    base = captures.select("capture_id", canonical_url(F.col("url")).alias("url_key"), moment.cast("long").alias("at"), F.col("ts"), "kind", "status", F.transform_keys("headers", lambda k, _: F.lower(k)).alias("headers"))
+    base = captures.select("capture_id", canonical_url(F.col("url")).alias("url_key"), moment.cast("long").alias("at"), F.col("ts"), "kind", "status", _lower_names(F.col("headers")).alias("headers"))
     bounds = order_bounds(base, "at", partitions(captures.sparkSession))
     cuts = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array().cast("array<bigint>")
     base = base.withColumn("slice", F.size(F.filter(cuts, lambda x: x <= F.col("at"))))
@@ -104,22 +112,22 @@ def query(pages: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH p AS (
-  SELECT page_id, html, page_id * 10 AS at, regexp_replace(trim(url), '#.*$', '') AS u FROM pages
+  SELECT page_id, html, page_id * 10 AS taken, regexp_replace(trim(url), '#.*$', '') AS u FROM pages
 ), k AS (
-  SELECT page_id, html, at,
+  SELECT page_id, html, taken,
     regexp_replace(regexp_replace(lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
     || regexp_replace(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?[^/?]*([^?]*)', 1), '/+$', '') AS front,
     list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
       lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z0-9_]*|ref|fbclid|gclid|sessionid)(=.*)?$'))) AS params
   FROM p
 ), r AS (
-  SELECT page_id, at, front || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key, md5(html) AS tag, 'day ' || (page_id % 28) AS day, length(html) AS size FROM k
+  SELECT page_id, taken, front || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key, md5(html) AS tag, 'day ' || (page_id % 28) AS day, length(html) AS size FROM k
 ), v AS (
-  SELECT page_id, url_key, CASE WHEN page_id % 11 = 0 THEN at - 5 ELSE at + 5 END AS ts,
+  SELECT page_id, url_key, CASE WHEN page_id % 11 = 0 THEN taken - 5 ELSE taken + 5 END AS ts,
     CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'stale' ELSE tag END AS tag, day FROM r
 ), j AS (
-  SELECT v.page_id, v.url_key, v.ts, v.tag, v.day, arg_max(r, r.at) AS f
-  FROM v LEFT JOIN r ON r.url_key = v.url_key AND r.at < v.ts GROUP BY ALL
+  SELECT v.page_id, v.url_key, v.ts, v.tag, v.day, arg_max(r, r.taken) AS f
+  FROM v LEFT JOIN r ON r.url_key = v.url_key AND r.taken < v.ts GROUP BY ALL
 )
 SELECT page_id * 2 + 1 AS capture_id, url_key, ts, f.page_id * 2 AS response_id,
   CASE WHEN f IS NULL THEN 'no_response' WHEN coalesce(tag = f.tag, day = f.day) THEN 'resolved' ELSE 'changed' END AS outcome,

@@ -26,6 +26,17 @@ def test_segments_against_brute_force():
         assert [(round(a, 9), i, j) for a, i, j in got] == recurse(0, n)
 
 
+def test_segments_are_linear():
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        toxicity.segments(list(range(0, 10 * n, 10)), [0.7] * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * took[0] + 0.5
+
+
 def _docs(spark):
     rng = random.Random(9)
     words = [f"plain{i}" for i in range(300)]
@@ -50,6 +61,13 @@ def test_toxicity_held_out(spark):
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert len(held) > 50 and sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
     assert all(0 <= r.score <= 1 for r in got)
+    model = toxicity.fit(docs, labels)
+    assert 0 <= model.loss < 0.2
+    bad = " ".join(["nastyword vilething foulisha"] * 6)
+    long = "plain1 plain2 " * 100_000 + bad + " plain3" * 1000
+    some = spark.createDataFrame([(1, long), (2, "nastyword vilething"), (3, "plain1 plain2"), (4, None)], "doc_id long, text string")
+    spans = {r.doc_id: (r.start, r.stop) for r in toxicity.passages(some, model).collect()}
+    assert spans[2] == (0, 19) and long[slice(*spans[1])] == bad and set(spans) == {1, 2}
     none = toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()
     assert all(r.predicted == 0 for r in none)
     assert toxicity.score(docs.limit(0), toxicity.Model({})).count() == 0
@@ -58,7 +76,7 @@ def test_toxicity_held_out(spark):
 def test_forward_sums_all_segmentations():
     vocab = {x: i for i, x in enumerate(["▁a", "▁", "a", "b", "ab", "▁ab"])}
     rng = np.random.default_rng(2)
-    m = language.LanguageModel(vocab, ["x", "y"], np.vstack([rng.random((6, 2)), np.full((1, 2), language.RARE)]), np.zeros(2))
+    m = language.LanguageModel(language.Vocabulary(vocab), ["x", "y"], np.vstack([rng.random((6, 2)), np.full((1, 2), language.RARE)]), np.zeros(2))
 
     def total(s):
         if not s:
@@ -75,6 +93,44 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(m.word(w), np.log(total("▁" + w)))
 
 
+def test_learning_against_enumeration():
+    """One round of expectation-maximisation: expected counts of pieces over all ways to cut each word."""
+    pieces = {x: i for i, x in enumerate(["▁", "a", "b", "ab", "▁a"])}
+    words = {"x": {"ab": 3, "aab": 2}, "y": {"b": 1, "aqa": 4}}
+
+    def ways(s):
+        if not s:
+            return [[]]
+        out = [[p, *w] for p in pieces if s.startswith(p) for w in ways(s[len(p) :])]
+        return out if s[0] in pieces else out + [["?", *w] for w in ways(s[1:])]
+
+    seen = np.zeros((6, 2))
+    for k, lang in enumerate(("x", "y")):
+        for w, n in words[lang].items():
+            cuts = [(c, math.prod(language.RARE if p == "?" else 0.2 for p in c)) for c in ways("▁" + w)]
+            for c, q in cuts:
+                for p in c:
+                    if p != "?":
+                        seen[pieces[p], k] += n * q / sum(q for _, q in cuts)
+    pooled = seen.sum(axis=1, keepdims=True) + 0.1
+    pooled /= pooled.sum()
+    want = (seen + 50 * pooled) / (seen.sum(axis=0) + 50)
+    languages, table = language.learn(words, language.Vocabulary(pieces), rounds=1)
+    assert languages == ["x", "y"] and np.allclose(table[:-1], want[:-1])
+
+
+def test_language_of_foreign_letters_and_long_words(spark):
+    tokens = pytest.importorskip("public_tokenizers")
+    gothic, long = "\U00010330\U00010331" * 40, "thing" * 30_000
+    rows = [(i, f"the thing and other {'words' * (i % 3)} {gothic if i == 2 else ''}", "en") for i in range(40)]
+    rows += [(i, "und das ist nicht schön", "de") for i in range(40, 80)]
+    rows += [(100, gothic, None), (101, f"the thing {gothic}", None), (102, long + " the and " * 20_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.predict(df, language.fit(df, tokens.path("piece_bpe_32k.model"))).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert got[101].lang_pred == got[102].lang_pred == "en"
+
+
 def test_language_held_out(spark):
     tokens = pytest.importorskip("public_tokenizers")
     rng = random.Random(1)

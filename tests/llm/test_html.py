@@ -50,3 +50,34 @@ def test_pages(spark):
     assert len(got) == 6 and got[0].text == want and got[0].n_chars == len(want)
     assert got[1].text == got[2].text == ""
     assert h.extract(df.limit(0)).count() == 0
+
+
+#: Pages of other shapes than the generator's, with their main text written by hand.
+BY_HAND = [
+    ("<title>T</title><article><p>Head and body tags may be left out of a page.</p></article>", "Head and body tags may be left out of a page."),
+    ("<head><title>T</title><p>A paragraph ends the head, as no tag closes it.</p>", "A paragraph ends the head, as no tag closes it."),
+    ("<body><main><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be the first of all numbers.</p></main>", "Let x=1 be the first of all numbers."),
+    ("<main><p>Before the hidden parts, there is a sentence.</p><template>a<template>b</template>c</template><svg><g><svg>d</svg></g>e</svg><p>After them, there is another one.</p></main>", "Before the hidden parts, there is a sentence.\nAfter them, there is another one."),
+    ("<article><p>A list of options that is never closed.</p><option>one<p>It must not swallow what comes after it.</p></article>", "A list of options that is never closed.\none\nIt must not swallow what comes after it."),
+    ("<article><svg><p>An unclosed picture hides nothing at all.</p></article>", "An unclosed picture hides nothing at all."),
+    ("<article><p>If a < b and b > c, then it's don't know.</p><p don't>Quotes in odd places, like this one.</p></article>", "If a < b and b > c, then it's don't know.\nQuotes in odd places, like this one."),
+    ("<BODY><NAV><A HREF='/'>Home</A></NAV><ARTICLE><P>Capital letters in tags, as in old pages.</P></ARTICLE><SCRIPT>if (a<b) x('</p>')</SCRIPT></BODY>", "Capital letters in tags, as in old pages."),
+]
+
+
+def test_pages_by_hand():
+    model = h.default_model()
+    for page, want in BY_HAND:
+        assert model.extract(page) == want, page
+
+
+def test_reading_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        for page in ("<a " * n, "<p a=\"" * n, "<!" * n, "<![CDATA[" * n, "<svg>" * n, "</p" * n, "<b c='" * n, "<div>" * n + "</p></x>" * n, "<li><div>" * n, "<script>" * n):
+            h.parse(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0] + 0.5

@@ -68,6 +68,52 @@ def test_passages_against_brute_force(spark):
     assert np.all(points("İa") == [0x130, 97]) and list(Items([]).find("abc")) == []
 
 
+def test_repeated_grams_equal_items_and_names(spark):
+    import time
+
+    start = time.process_time()
+    equal = Items([(i, "ab " * 100) for i in range(200)])
+    found = list(equal.find("ab " * 2000))
+    assert len(found) >= 200 * 15 and {f[3] for f in found} == {0} and {f[0] for f in found} == set(range(200))
+    alike = Items([(i, "ab " * 90 + str(i)) for i in range(20)])
+    assert {f[0] for f in alike.find("ab " * 2000)} == set(range(20))
+    assert time.process_time() - start < 30
+    item = "The quick brown fox jumps over the lazy dog near the river bank."
+    long = "some other words here " * 40_000 + item + " and so on" * 20_000
+    docs = spark.createDataFrame([(7, 1, long), (8, 2, None)], "item_id long, START int, text string")
+    rows = passages(docs, spark.createDataFrame([(3, item), (4, item)], "item_id long, text string"), keys=("item_id", "START")).collect()
+    assert [(r["item_id"], r["START"], r["item_id_"], r["edits"]) for r in sorted(rows)] == [(7, 1, 3, 0), (7, 1, 4, 0)]
+    assert rows[0]["start_"] == 880_000 and rows[0]["stop"] == 880_000 + len(item)
+
+
+def test_header_names_that_differ_by_case(spark):
+    from sleuthgrid.llm.warc_revisit import resolve
+
+    rows = [(1, "http://a.b/x", 1, "response", 200, {"ETag": "1", "etag": "2"}), (2, "http://a.b/x", 5, "revisit", 304, {"ETAG": "1", "eTag": "9"}), (3, None, 6, "revisit", 304, None)]
+    df = spark.createDataFrame(rows, "capture_id long, url string, ts long, kind string, status int, headers map<string,string>")
+    got = {r.capture_id: r for r in resolve(df.withColumn("slice", df.ts).withColumn("found", df.ts)).collect()}
+    assert got[2].outcome == "resolved" and got[2].headers == {"etag": "1"} and got[3].outcome == "no_response"
+
+
+def test_sql_of_all_queries(spark):
+    """Each query with SQL gives the rows that DuckDB gives."""
+    import glob
+
+    import duckdb
+
+    from sleuthgrid.llm import queries
+
+    duck = duckdb.connect()
+    for p in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        duck.execute(f"CREATE VIEW {p.split('/')[-1][:-8]} AS SELECT * FROM '{p}'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        want = duck.execute(sql)
+        columns = [c[0] for c in want.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(str, want.fetchall())), name
+
+
 def test_revisits_against_brute_force(spark):
     rng = random.Random(3)
     rows = []
