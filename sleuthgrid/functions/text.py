@@ -9,40 +9,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip_space(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+#: What harmless spellings of indicators stand for (fixed values); brackets may be of any kind and hold spaces.
+REFANG = ((r"(?i)hxxp", "http"), (r"(?i)[\[({]\s*(?:\.|dot)\s*[\])}]", "."), (r"(?i)[\[({]\s*(?:@|at)\s*[\])}]", "@"), (r"[\[({]\s*:\s*[\])}]", ":"))
+
+
 def refang(c: Column) -> Column:
     """Undo the usual ways to make an indicator harmless."""
-    c = F.regexp_replace(c, "(?i)hxxp", "http")
-    c = F.regexp_replace(c, r"(?i)\[\.\]|\(\.\)|\{\.\}|\[dot\]", ".")
-    c = F.regexp_replace(c, r"(?i)\[at\]|\(@\)", "@")
-    return F.regexp_replace(c, r"\[:\]", ":")
+    return reduce(lambda x, rule: F.regexp_replace(x, *rule), REFANG, c)
 
 
 def defang(c: Column) -> Column:
-    c = F.regexp_replace(c, "(?i)http", "hxxp")
+    """Make an indicator harmless: hxxp for http in lower case, and dots and at signs in brackets."""
+    c = F.replace(c, F.lit("http"), F.lit("hxxp"))
     return F.replace(F.replace(c, F.lit("."), F.lit("[.]")), F.lit("@"), F.lit("[at]"))
 
 
-OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|0?[0-9]{1,2})"
 
 
 def classify_observable(c: Column) -> Column:
-    """URL, Email, IPAddress, CVE, Hash or Domain; an empty string for anything else, an address with an octet over 255 too."""
-    v = F.trim(refang(c))
+    """URL, EmailAddress, IPAddress, Vulnerability, Hash or Domain; an empty string for anything else, an address with an octet over 255 too."""
+    v = refang(strip_space(c))
     return (
         F.when(v.rlike(r"^(?i)https?://"), "URL")
-        .when(v.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"), "Email")
+        .when(v.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"), "EmailAddress")
         .when(v.rlike(rf"^({OCTET}\.){{3}}{OCTET}$"), "IPAddress")
         .when(v.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "")
-        .when(v.rlike(r"^(?i)cve-[0-9]{4}-[0-9]{4,}$"), "CVE")
+        .when(v.rlike(r"^(?i)cve-[0-9]{4}-[0-9]{4,}$"), "Vulnerability")
         .when(v.rlike(r"^([A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64})$"), "Hash")
-        .when(v.rlike(r"^([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$"), "Domain")
+        .when(v.rlike(r"^([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}$"), "Domain")
         .otherwise("")
     )
 
 
 def host_of(c: Column) -> Column:
     """Host in lower case without user, port and www."""
-    h = F.regexp_extract(F.lower(c), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/?#:]*)", 1)
+    h = F.regexp_extract(F.lower(strip_space(c)), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/?#:]*)", 1)
     return F.regexp_replace(h, r"^www\.", "")
 
 
@@ -56,14 +63,16 @@ def matches_all(name: Column, query: str) -> Column:
 
 
 def keyword_count(text: Column, keyword: str) -> Column:
-    """Non-overlapping occurrences, without case."""
+    """Non-overlapping occurrences, without case; an empty keyword has none."""
+    if not keyword:
+        return F.when(text.isNotNull(), F.lit(0)).cast("long")
     low = F.lower(text)
     return ((F.length(low) - F.length(F.replace(low, F.lit(keyword.lower()), F.lit("")))) / F.lit(len(keyword))).cast("long")
 
 
 def guard_cell(c: Column) -> Column:
     """A cell that a spreadsheet would run as a formula gets a quote in front."""
-    return F.when(F.ltrim(c).rlike(r"^[=+\-@|\\]"), F.concat(F.lit("'"), c)).otherwise(c)
+    return F.when(c.rlike(r"(?U)^[\s\x1c-\x1f]*[=+\-@|\\]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
 def shorten(c: Column, most: int = 200) -> Column:
@@ -75,44 +84,137 @@ def sentences(c: Column, least: int = 20) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n{2,}"), F.trim), lambda s: F.length(s) >= least)
 
 
-def clean_lines(c: Column, boilerplate: tuple[str, ...] = ()) -> Column:
-    """Lines of 15 characters or more with at least two letters in five and at most two bars, but no boilerplate phrase."""
+#: What a line of a page's furniture says (fixed values).
+FURNITURE = (
+    "all newsletters", "subscribe", "sign up", "log in", "sign in", "cookie", "privacy policy", "terms of", "advertis", "follow us",
+    "share this", "read more", "load more", "show more", "see all", "add to cart", "buy now", "download app", "get the app",
+    "back to top", "skip to", "jump to", "table of contents", "copyright ©", "all rights reserved", "© 20",
+)
+
+
+def clean_lines(c: Column, furniture: tuple[str, ...] = FURNITURE) -> Column:
+    """Lines of 15 characters or more with at least two letters in five and at most two bars and two bullets, but no phrase of a page's furniture."""
+    phrases = "|".join(map(re.escape, furniture))
 
     def good(line: Column) -> Column:
         letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-        bars = F.length(F.regexp_replace(line, r"[^|•]", ""))
-        ok = (F.length(line) >= 15) & (letters >= 0.4 * F.length(line)) & (bars <= 2)
-        return reduce(lambda a, p: a & ~F.contains(F.lower(line), F.lit(p)), boilerplate, ok)
+        count = lambda mark: F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
+        ok = (F.length(line) >= 15) & (letters >= 0.4 * F.length(line)) & (count("|") <= 2) & (count("•") <= 2)
+        return ok & ~F.lower(line).rlike(phrases) if furniture else ok
 
-    return F.array_join(F.filter(F.transform(F.split(c, "\n"), F.trim), good), "\n")
+    return F.array_join(F.filter(F.transform(F.split(c, "\n"), strip_space), good), "\n")
 
 
 def junk_name(c: Column) -> Column:
     return ~c.rlike(r"[\p{L}\p{N}]") | c.rlike(r"[\n\r]")
 
 
-def tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
+def strip_markup(c: Column) -> Column:
+    """Prose without markdown: words of links stay, citations, edit links, headings, quotes and emphasis go."""
+    rules = (
+        (r"\[\[\d+\]\]\([^)]*\)", ""),
+        (r"(?i)\[?\[\s*edit\s*\]\([^)]*\)\]?", ""),
+        (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"(?m)!?\[([^\]]*)\]\([^)\s]*$", "$1"),
+        (r"(?m)^[ \t]*(?:#{1,6}|>+)[ \t]*", ""),
+        (r"\*\*|__", ""),
+        (r"(?<![A-Za-z0-9_])_([^_\n]{1,80})_(?![A-Za-z0-9_])", "$1"),
+        ("^://\\S*(?:\\s+\"[^\"]*\")?\\)?[.,;:]?[ \\t]*", ""),
+        (r"[ \t]{2,}", " "),
+        (r"\n{3,}", "\n\n"),
+    )
+    return strip_space(reduce(lambda x, rule: F.regexp_replace(x, *rule), rules, c))
+
+
+def clean_name(c: Column) -> Column:
+    """A name without the markdown that came with it; half a link keeps its words."""
+    c = F.regexp_replace(c, r"^\s*(?:#{1,6}\s*|>+\s*|[-*+]\s+|\d+[.)]\s+)+", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"\*\*|__", ""), r"\[([^\]]*)\]\([^)]*\)", "$1")
+    half = F.substring_index(c, "](", 1)
+    half = F.when(half.endswith(")") & ~F.contains(half, F.lit("(")), F.regexp_replace(half, r"\)$", "")).otherwise(half)
+    c = F.when(F.contains(c, F.lit("](")), half).otherwise(c)
+    c = F.when(c.endswith("]") & ~F.contains(c, F.lit("[")), F.regexp_replace(c, r"\]$", "")).otherwise(c)
+    c = F.when(c.startswith("[") & ~F.contains(c, F.lit("]")), F.substring(c, 2, 1 << 30)).otherwise(c)
+    return strip_space(F.regexp_replace(F.regexp_replace(strip_space(c), '^"+|"+$', ""), r"^[*_ ]+|[*_ ]+$", ""))
+
+
+def passages(text: Column, keywords: list[str], most: int = 5, most_chars: int = 3000) -> Column:
+    """Sentences that hold most of the keywords: an array of (text, score, matched), best first, ties in order, within the budget of characters."""
+    parts = sentences(text)
+    matched = lambda s: F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.lower(s), F.lower(k)))
+    scored = F.transform(parts, lambda s, i: F.struct((-F.size(matched(s))).alias("order"), i.alias("at"), s.alias("text"), matched(s).alias("matched")))
+    ranked = F.array_sort(F.filter(scored, lambda x: x["order"] < 0))
+    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.slice(ranked, 1, 0).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full = acc["full"] | (F.size(acc["kept"]) >= most) | (acc["used"] + F.length(x["text"]) > most_chars)
+        return F.struct(F.when(full, acc["used"]).otherwise(acc["used"] + F.length(x["text"]) + 2).alias("used"), full.alias("full"), F.when(full, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
+
+    kept = F.aggregate(ranked, start, step, lambda acc: acc["kept"])
+    return F.transform(kept, lambda x: F.struct(x["text"].alias("text"), (-x["order"]).alias("score"), x["matched"].alias("matched")))
+
+
+def evidence(sentence: Column, a: Column, b: Column, pad: int = 45, most: int = 300) -> Column:
+    """The stretch of a sentence around two names, with pad characters on both sides; the first most characters if one is missing."""
+    s = strip_space(F.regexp_replace(sentence, r"\s+", " "))
+    ia, ib = F.instr(F.lower(s), F.lower(a)), F.instr(F.lower(s), F.lower(b))
+    first = F.greatest(F.lit(0), F.least(ia, ib) - 1 - pad)
+    last = F.least(F.length(s), F.greatest(ia - 1 + F.length(a), ib - 1 + F.length(b)) + pad)
+    clip = F.concat(F.when(first > 0, "...").otherwise(""), F.substring(s, first + 1, last - first), F.when(last < F.length(s), "...").otherwise(""))
+    return F.when((ia > 0) & (ib > 0), clip).otherwise(shorten(s, most))
+
+
+#: Words that don't tell a subject (fixed values).
+STOP_WORDS = tuple(
+    """a about above after again against all also am an and any are as at be because been before being below between both but by can could did
+    do does doing down during each even few for from further get got had has have having he her here hers herself him himself his how if in into
+    is it its itself just know let like make may me might more most much must my myself no nor not now of off on once one only or other our ours
+    ourselves out over own per re same shall she should so some still such than that the their theirs them themselves then there therefore these
+    they this those through to too under until up upon us use used using very was we well were what when where which while who whom why will with
+    within without would yet you your yours yourself yourselves""".split()
+)
+
+
+def tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Words of two Latin letters or more in lower case, without stop words."""
     found = F.regexp_extract_all(F.lower(c), F.lit(r"\b([a-z]{2,})\b"), 1)
     return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
 
 
-def safe_url(c: Column) -> Column:
-    """http or https, a host with a dot, and not a local or private address."""
-    host = F.regexp_extract(F.lower(c), r"^https?://(?:[^/@]*@)?([^/?#:]*)", 1)
-    private = host.rlike(r"^(127|10|0)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.") & host.rlike(r"^[0-9.]+$")
-    return c.isNotNull() & F.contains(host, F.lit(".")) & ~private & ~host.rlike(r"(^|\.)localhost$")
+#: Hosts that are never fetched (fixed values).
+BLOCKED_HOSTS = ("localhost", "metadata.google.internal", "metadata.internal", "neo4j", "postgres", "redis", "ollama", "backend", "frontend")
+#: Private, local and reserved IPv4 ranges, and IPv6 ones, as patterns of their spelling.
+PRIVATE = r"^(0|10|127|2[4-9]\d)\.|^192\.168\.|^192\.0\.[02]\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^198\.(1[89]|51)\.|^203\.0\.113\."
+PRIVATE_6 = r"^\[(::1?|::ffff:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$"
 
 
-#: Half-open buckets of the estimative scale (fixed values); the last is closed.
-PROBABILITY = ((0.05, "Remote"), (0.20, "Very unlikely"), (0.45, "Unlikely"), (0.55, "Even chance"), (0.80, "Likely"), (0.95, "Very likely"), (1.0, "Almost certain"))
+def safe_url(c: Column) -> Column:
+    """http or https with a host that isn't blocked, private, local or reserved. Names aren't resolved; an address in another spelling than four numbers isn't safe."""
+    host = F.regexp_extract(F.lower(c), r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    plain = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    odd = host.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*\.?$") & ~plain
+    bad = (plain & host.rlike(PRIVATE)) | odd | host.rlike(PRIVATE_6) | F.regexp_replace(host, r"\.$", "").isin(*BLOCKED_HOSTS)
+    return F.coalesce((host != "") & ~bad, F.lit(False))
+
+
+#: Buckets of the estimative scale (fixed values): from, to, label. They are half-open but for the last.
+PROBABILITY = (
+    (0.01, 0.05, "Almost No Chance"),
+    (0.05, 0.20, "Very Unlikely"),
+    (0.20, 0.35, "Unlikely"),
+    (0.35, 0.65, "Roughly Even Chance"),
+    (0.65, 0.80, "Likely"),
+    (0.80, 0.95, "Very Likely"),
+    (0.95, 0.99, "Almost Certain"),
+)
 
 
 def probability_label(p: Column) -> Column:
-    out = F.when(p.isNull() | (p < 0) | (p > 1), "Unknown")
-    for top, label in PROBABILITY[:-1]:
-        out = out.when(p < top, label)
-    return out.otherwise(PROBABILITY[-1][1])
+    """Label of an estimative probability; Unknown outside the scale."""
+    out = F.when(p.isNull(), "Unknown")
+    for low, high, label in PROBABILITY:
+        out = out.when((p >= low) & ((p <= high) if high == PROBABILITY[-1][1] else (p < high)), label)
+    return out.otherwise("Unknown")
 
 
 def occurrences(text: Column, term: str) -> Column:

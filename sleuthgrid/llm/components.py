@@ -14,10 +14,10 @@ def connected(ws: Workspace, edges: DataFrame, name: str, most: int = 60) -> Dat
     In turn, every node hands its larger neighbours, then its smaller ones, to
     the smallest of them; the number of rounds grows with the logarithm of the
     longest path. A node's neighbours are never gathered: the smallest is an
-    aggregate that is joined back.
+    aggregate that is joined back. Raises if most rounds don't do.
     """
     now = ws.write(edges.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), f"{name}-cc-0")
-    for i in range(1, most):
+    for i in range(1, most + 1):
         both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
@@ -30,4 +30,8 @@ def connected(ws: Workspace, edges: DataFrame, name: str, most: int = 60) -> Dat
         now = after
         if not busy:
             break
+    else:
+        raise RuntimeError(f"components haven't settled after {most} rounds")
+    now = ws.write(now, f"{name}-cc")
+    ws.drop(f"{name}-cc-{i}")
     return now.select(F.col("x").alias("id"), F.col("y").alias("comp")).unionByName(now.select(F.col("y").alias("id"), F.col("y").alias("comp")).distinct())

@@ -53,22 +53,24 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Places of a word that have random numbers of their own in a table; later ones mix in how often they went round it.
+PLACES = 32
 _TABLES: dict[int, np.ndarray] = {}
 
 
-def _byte_table(seed: int) -> np.ndarray:
-    """A random number for each byte; 0 for those between words."""
+def _place_table(seed: int) -> np.ndarray:
+    """A random number for each place in a word and byte; 0 for those between words."""
     if seed not in _TABLES:
-        table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        table[_SEPARATOR] = 0
-        _TABLES[seed] = table
+        table = mix(mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed)).reshape(PLACES, 256)
+        table[:, _SEPARATOR] = 0
+        _TABLES[seed] = table.reshape(-1)
     return _TABLES[seed]
 
 
 def word_hashes(data: bytes, seed: int = 1) -> np.ndarray:
-    """A hash of each word, in order; long texts are worked in blocks."""
+    """A hash of each word, in order, by tabulation; long texts are worked in blocks."""
     out, at, n = [], 0, len(data)
-    table = _byte_table(seed)
+    table = _place_table(seed)
     while at < n:
         end = min(n, at + BLOCK)
         while end < n and not _SEPARATOR[data[end]]:
@@ -78,14 +80,13 @@ def word_hashes(data: bytes, seed: int = 1) -> np.ndarray:
         starts, ends = word_bounds(part)
         if not len(starts):
             continue
-        raw = np.frombuffer(part, np.uint8)
-        values = table[raw]
-        values = values[starts[0] :]
-        spans = np.diff(np.append(starts, len(raw)))
-        place = np.arange(len(values)) - np.repeat(starts - starts[0], spans)
-        longest = int((ends - starts).max())
-        powers = odd_powers(longest, seed + 7)
-        values *= powers[np.minimum(place, longest - 1)]
+        raw = np.frombuffer(part, np.uint8)[starts[0] :]
+        spans = np.diff(np.append(starts - starts[0], len(raw)))
+        place = np.arange(len(raw), dtype=np.int64) - np.repeat(starts - starts[0], spans)
+        values = table[(place % PLACES << 8) | raw]
+        far = np.flatnonzero((place >= PLACES) & ~_SEPARATOR[raw])
+        if len(far):
+            values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         out.append(mix(np.add.reduceat(values, starts - starts[0]) + (ends - starts).astype(np.uint64)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 

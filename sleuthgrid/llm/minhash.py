@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, schema_of, texts
+from .common import Workspace, released, schema_of, spread_join, texts
 from .components import connected
 from .hashing import mix, window_hashes, word_hashes
 
@@ -39,12 +39,12 @@ FINE = 1024
 BITS = [f"b{i}" for i in range(FINE // 32)]
 
 
-def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of runs of size words; a shorter text is one shingle of all its words; no word, none."""
+def shingles(text: bytes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of runs of size words, and how often each occurs; a shorter text is one shingle of all its words; no word, none."""
     words = word_hashes(text)
     if 0 < len(words) < size:
-        return window_hashes(words, len(words), 40 + len(words))
-    return np.unique(window_hashes(words, size))
+        return window_hashes(words, len(words), 40 + len(words)), np.ones(1, np.int64)
+    return np.unique(window_hashes(words, size), return_counts=True)
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -103,63 +103,93 @@ def signature(elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.nd
         limit = max(limit, done) * 2
 
 
-def band_keys(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key for each band of the signature of a set of shingles."""
-    sig = signature(own, None, bands * rows)
+def band_keys(own: np.ndarray, weights: np.ndarray | None, bands: int, rows: int) -> np.ndarray:
+    """One key for each band of the signature of a weighted set of shingles."""
+    sig = signature(own, weights, bands * rows)
     keys = np.zeros(bands, np.uint64)
     for r in range(rows):
         keys = mix(keys * np.uint64(3) + sig.reshape(bands, rows)[:, r])
     return mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def fine_bits(own: np.ndarray) -> np.ndarray:
+def fine_bits(own: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
     """Two bits of each of FINE darts, low bits first: they differ for a dart with probability 3/4 (1 - likeness)."""
-    two = (mix(signature(own, None, FINE) + np.uint64(77)) >> np.uint64(62)).astype(np.uint8)
+    two = (mix(signature(own, weights, FINE) + np.uint64(77)) >> np.uint64(62)).astype(np.uint8)
     return np.packbits(np.stack([two & 1, two >> 1]), axis=1).view(np.int64).reshape(-1)
 
 
-def _per_set(function, names: list[str], as_list: bool):
-    """id and the function of the shingles of each text that has a word."""
+def _weights(times: np.ndarray, counts: bool) -> np.ndarray | None:
+    return times.astype(np.float64) if counts and len(times) and times.max() > 1 else None
+
+
+def _bands(bands: int, rows: int, counts: bool):
+    """id, sha and the band keys of each text; no bands for one without words."""
 
     def run(batches):
         for batch in batches:
-            keep, out = [], []
-            for i, text in enumerate(texts(batch, "text")):
-                if len(own := shingles(text)):
-                    keep.append(i)
-                    out.append(function(own))
-            if not keep:
-                continue
-            ids = batch.take(pa.array(keep)).column("id")
-            table = np.stack(out)
-            columns = [pa.array(list(table), pa.list_(pa.int64()))] if as_list else [pa.array(table[:, i]) for i in range(table.shape[1])]
-            yield pa.record_batch([ids, *columns], names=["id", *names])
-
-    return run
-
-
-def _likeness(batches):
-    """Exact Jaccard likeness of the shingle sets of text_a and text_b."""
-    for batch in batches:
-        out, last, left = [], None, None
-        for a, b in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
-            if a != last:
-                last, left = a, shingles(a)
-            right = shingles(b)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            out.append(both / max(1, len(left) + len(right) - both))
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
-
-
-def verify(ws: Workspace, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
-    """pairs (a, b) of ids with their likeness. b's text goes along to a's, so that a leader's text isn't sent once for each pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = ws.write(reps.join(wanted, "id", "left_semi"), f"{name}-texts")
-    with_b = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    out = ws.write(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_likeness, schema_of("a long, b long, likeness double")), name)
-    ws.drop(f"{name}-texts")
-    return out
+            known: dict[bytes, np.ndarray] = {}
+            shas, values, ends = batch.column("sha").to_pylist(), [], [0]
+            for sha, text in zip(shas, texts(batch, "text"), strict=True):
+                if sha not in known:
+                    own, times = shingles(text)
+                    known[sha] = band_keys(own, _weights(times, counts), bands, rows) if len(own) else np.empty(0, np.int64)
+                values.append(known[sha])
+                ends.append(ends[-1] + len(known[sha]))
+            flat = np.concatenate(values) if values else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("id"), batch.column("sha"), lists], names=["doc_id", "id", "sha", "bands"])
+
+    return released(run)
+
+
+def _fine(counts: bool):
+    def run(batches):
+        for batch in batches:
+            found = [fine_bits(own, _weights(times, counts)) for own, times in map(shingles, texts(batch, "text"))]
+            if found:
+                table = np.stack(found)
+                yield pa.record_batch([batch.column("id"), *[pa.array(table[:, i]) for i in range(table.shape[1])]], names=["id", *BITS])
+
+    return released(run)
+
+
+def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], counts: bool) -> float:
+    """Exact Jaccard likeness of two sets of shingles, weighted by how often each occurs if counts."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    if counts:
+        both, sizes = int(np.minimum(x[1][i], y[1][j]).sum()), int(x[1].sum() + y[1].sum())
+    else:
+        both, sizes = len(i), len(x[0]) + len(y[0])
+    return both / max(1, sizes - both)
+
+
+def _likeness(counts: bool):
+    def run(batches):
+        last, left = None, None
+        for batch in batches:
+            out = []
+            for a, b in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
+                if a != last:
+                    last, left = a, shingles(a)
+                out.append(likeness(left, shingles(b), counts))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "likeness"])
+
+    return released(run)
+
+
+def verify(ws: Workspace, pairs: DataFrame, reps: DataFrame, name: str, counts: bool = False, share: int = 1000) -> DataFrame:
+    """pairs (a, b) of ids with their likeness, from the texts of reps.
+
+    b's text goes to a's; the pairs of one a are dealt into parts of about
+    share, each of which gets a's text once, so a leader of many isn't in one task.
+    """
+    own = reps.select("id", "text")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
+    leaders = own.join(parts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    with_b = dealt.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    with_both = with_b.join(leaders.drop("parts"), ["a", "part"])
+    return ws.write(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_likeness(counts), schema_of("a long, b long, likeness double")), name)
 
 
 def _id(doc_id: Column) -> Column:
@@ -175,40 +205,49 @@ def text_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(_sha(text), _id(doc_id))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
-    """Group documents whose word 5-shingle sets are alike: doc_id, class_id, group_id, group_key, n_links.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = 2, counts: bool = False) -> DataFrame:
+    """Group documents whose word 5-shingles are alike: doc_id, class_id, group_id, group_key, n_joining_links.
 
+    Likeness is Jaccard's of the sets of shingles, all of weight 1; with counts
+    it is the weighted one, and a shingle weighs as often as it occurs.
     class_id: smallest doc_id of the documents with the same text. group_id:
     smallest class_id among those joined by chains of pairs with likeness of
     threshold or more. group_key: the text_key of the group's first class, by
     class_id and then by text; it tells groups apart whose group_id is the same,
-    as null or repeated doc_ids make them. n_links: verified links of the class,
-    which join its group and need not be all pairs in it. A null text counts as
-    empty; a text without words has no links, but empty texts are one class; a
-    text of under five words is one shingle. A null doc_id counts as the
-    smallest. Rows that share a doc_id may differ in text, and each gets its
-    text's class; rows repeat in the result as in the table. Other columns are
-    ignored; an empty table gives no rows.
+    as null or repeated doc_ids make them. n_joining_links: verified links of
+    the class that joined its group; pairs already in one group aren't compared.
+    A pair is missed if no band has it (3.3e-5 at the threshold), or if leaders
+    leave it apart and its finer sketches differ by over 4.5 standard errors
+    more than those of a pair at the threshold do (3.4e-6). Texts and
+    classes go by 64-bit keys: of n texts, about n*n/2**65 pairs share one.
+
+    A null text counts as empty; a text without words has no links, but empty
+    texts are one class; a text of under five words is one shingle; however
+    long, a text is compared whole. A null doc_id counts as the smallest. Rows
+    that share a doc_id may differ in text, and each gets its text's class; rows
+    repeat in the result as in the table. Other columns are ignored; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = base.withColumn("id", _id(F.col("doc_id"))).withColumn("sha", _sha(F.col("text")))
-    classes = ws.write(keyed.groupBy("sha").agg(F.min("id").alias("id")), "classes")
+    every = ws.write(keyed.mapInArrow(_bands(bands, rows, counts), schema_of("doc_id long, id long, sha binary, bands array<long>")), "every")
     # a text's class has its own number: documents of one id may differ in text
-    classes = classes.withColumn("key", F.xxhash64("sha", "id"))
-    members = ws.write(keyed.select("doc_id", "id", "sha").join(classes.select("sha", F.col("id").alias("class_id"), "key"), "sha").drop("sha"), "members")
-    unique = keyed.withColumn("key", F.xxhash64("sha", "id")).join(classes.select("key"), "key", "left_semi").select(F.col("key").alias("id"), "text")
-    reps = ws.write(unique.groupBy("id").agg(F.first("text").alias("text")), "texts")
-    sketch = ws.write(reps.mapInArrow(_per_set(lambda own: band_keys(own, bands, rows), ["bands"], True), schema_of("id long, bands array<long>")), "sketch")
-    in_bands = sketch.select("id", F.explode("bands").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    classes = every.groupBy("sha").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
+    classes = ws.write(classes.withColumn("key", F.xxhash64("sha", "id")), "classes")
+    members = ws.write(spread_join(every.select("doc_id", "sha"), classes.select("sha", F.col("id").alias("class_id"), "key", "n"), ["sha"], "n").select("doc_id", "class_id", "key"), "members")
+    ws.drop("every")
+    in_bands = classes.select(F.col("key").alias("id"), F.explode("bands").alias("band"))
+    shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = ws.write(in_bands.join(shared, "band"), "buckets")
     # the text that shares most bands with others is likest to all: the source of copies leads its buckets
-    fame = ws.write(buckets.join(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").groupBy("id").agg(F.sum("n").alias("fame")), "fame")
-    edges, seen = None, None
-    comp = buckets.select("id").distinct().withColumn("comp", F.col("id"))
-    comp = ws.write(comp, "comp-start")
+    fame = ws.write(buckets.groupBy("id").agg(F.sum("size").alias("fame")), "fame")
+    buckets = buckets.drop("size")
+    reps = keyed.select(F.xxhash64("sha", "id").alias("id"), "text").join(fame.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    reps = ws.write(reps, "texts")
+    edges, seen, drop = None, None, []
+    comp = ws.write(fame.select("id", F.col("id").alias("comp")), "comp-start")
     for number in range(rounds):
         now = buckets.join(comp.join(fame, "id"), "id")
         first = now.groupBy("band").agg(F.max(F.struct("fame", "id", "comp")).alias("leader"))
@@ -216,43 +255,51 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             rest = now.join(first, "band").filter(F.col("comp") != F.col("leader.comp"))
             first = rest.groupBy("band").agg(F.max(F.struct("fame", "id", "comp")).alias("leader"))
         pairs = now.join(first, "band").filter(F.col("comp") != F.col("leader.comp"))
-        pairs = pairs.select(F.least("id", "leader.id").alias("x"), F.greatest("id", "leader.id").alias("y"), F.col("leader.id").alias("a"), F.col("id").alias("b"))
+        pairs = pairs.select(F.least("id", "leader.id").alias("x"), F.greatest("id", "leader.id").alias("y"), F.col("leader.id").alias("a"))
         pairs = pairs.groupBy("x", "y").agg(F.max("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "x", "y")
         if seen is not None:
             pairs = pairs.join(seen, ["x", "y"], "left_anti")
-        done = verify(ws, ws.write(pairs, f"pairs-{number}"), reps, f"likeness-{number}")
-        linked = done.filter(F.col("likeness") >= threshold).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        tried = done.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        done = verify(ws, ws.write(pairs, f"pairs-{number}"), reps, f"likeness-{number}", counts)
+        tried = done.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "likeness")
+        linked = tried.filter(F.col("likeness") >= threshold).drop("likeness")
         edges = linked if edges is None else edges.unionByName(linked)
-        seen = tried if seen is None else seen.unionByName(tried)
+        seen = tried.drop("likeness") if seen is None else seen.unionByName(tried.drop("likeness"))
         comp = _labels(ws, comp, connected(ws, edges, f"round-{number}"), f"comp-{number}")
-    # what is still apart in a band: all pairs of different groups, of which only those with close finer sketches leave the join, once
+        ws.drop(f"pairs-{number}", *drop)
+        drop = [f"comp-{number}"]
+    # what is still apart in a band: all pairs of different groups, of which only those with close finer sketches leave the join
     now = buckets.join(comp, "id")
-    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("band")
-    apart = ws.write(now.join(mixed, "band").select("band", "id", "comp"), "apart")
-    fine = reps.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_per_set(fine_bits, BITS, False), schema_of("id long, " + ", ".join(f"{c} long" for c in BITS)))
-    left = apart.join(ws.write(fine, "fine"), "id").join(sketch, "id")
+    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2")
+    apart = ws.write(now.join(mixed.select("band", F.ceil(F.col("size") / 500).cast("int").alias("parts")), "band"), "apart")
+    fine = reps.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_fine(counts), schema_of("id long, " + ", ".join(f"{c} long" for c in BITS)))
+    left = apart.join(ws.write(fine, "fine"), "id")
     mean = (1 - threshold) * 3 / 4 * FINE
     most = math.ceil(mean + 4.5 * math.sqrt(mean * (1 - mean / FINE)))
-    a, b = left.alias("a"), left.alias("b")
-    once = F.col("a.band") == F.array_min(F.array_intersect("a.bands", "b.bands"))  # of the bands that two texts share, one yields the pair
+    # a large band is dealt into parts by one side of the pairs
+    a = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
+    b = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     half = len(BITS) // 2
     differ = lambda i, j: F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}")).bitwiseOR(F.col(f"a.b{j}").bitwiseXOR(F.col(f"b.b{j}"))))
     close = sum((differ(i, i + half) for i in range(1, half)), differ(0, half)) <= most
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & close & once).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    pairs = pairs.join(seen, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    done = verify(ws, ws.write(pairs, "pairs-rest"), reps, "likeness-rest")
-    edges = edges.unionByName(done.filter(F.col("likeness") >= threshold).select(F.col("a").alias("x"), F.col("b").alias("y")))
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & close)
+    pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    if seen is not None:
+        pairs = pairs.join(seen, ["x", "y"], "left_anti")
+    pairs = ws.write(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs-rest")
+    ws.drop("apart", "fine", "buckets")
+    done = verify(ws, pairs, reps, "likeness-rest", counts)
+    linked = done.filter(F.col("likeness") >= threshold).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    edges = linked if edges is None else edges.unionByName(linked)
     comp = _labels(ws, comp, connected(ws, edges, "last"), "comp-last")
-    links = edges.select(F.explode(F.array("x", "y")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    links = edges.select(F.explode(F.array("x", "y")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_joining_links"))
     least = classes.select("key", F.col("id").alias("class_id"), "sha").join(comp.select(F.col("id").alias("key"), "comp"), "key")
-    lead = least.groupBy("comp").agg(F.min(F.struct("class_id", "sha", "key")).alias("lead"))
-    named = least.join(lead, "comp").select("key", F.col("lead.class_id").alias("group_id"), F.col("lead.key").alias("group_key"))
-    named = ws.write(named.join(links, "key", "left"), "groups")
-    null = lambda c: F.when(c != F.lit(-(2**63)), c)
+    lead = least.groupBy("comp").agg(F.min(F.struct("class_id", "sha", "key")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(ws.write(least.select("key", "comp"), "least"), ws.write(lead, "lead"), ["comp"], "n").select("key", F.col("lead.class_id").alias("group_id"), F.col("lead.key").alias("group_key"))
     # a class that shares no band is a group of its own
-    group = [null(F.coalesce("group_id", "class_id")).alias("group_id"), F.coalesce("group_key", "key").alias("group_key")]
-    return members.join(named, "key", "left").select("doc_id", null(F.col("class_id")).alias("class_id"), *group, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = ws.write(classes.select("key", F.col("id").alias("class_id"), "n").join(named.join(links, "key", "left"), "key", "left").select("key", "n", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group_key", "key").alias("group_key"), F.coalesce("n_joining_links", F.lit(0)).cast("long").alias("n_joining_links")), "groups")
+    ws.drop("texts", "classes", "fame", "comp-start", *drop, "comp-last", "least", "lead", "pairs-rest", "likeness-rest", *[f"likeness-{i}" for i in range(rounds)], *[f"round-{i}-cc" for i in range(rounds)], "last-cc")
+    null = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c)).alias(c)
+    return spread_join(members, named, ["key"], "n").select("doc_id", null("class_id"), null("group_id"), "group_key", "n_joining_links")
 
 
 def _labels(ws: Workspace, comp: DataFrame, found: DataFrame, name: str) -> DataFrame:

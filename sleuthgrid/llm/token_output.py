@@ -100,19 +100,31 @@ class ShardWriter:
 
 
 class ShardReader:
-    def __init__(self, data: bytes):
-        magic, self.n_ids, table, index, head, n_docs = struct.unpack(FOOTER, data[-FOOTER_SIZE:])
-        if magic != MAGIC or data[:8] != MAGIC:
+    """Reads a shard from a seekable binary file: its footer and index first, then block by block."""
+
+    def __init__(self, file):
+        size = file.seek(0, 2)
+        self.file, self.zip = file, zstandard.ZstdDecompressor()
+        if size < FOOTER_SIZE + len(MAGIC):
+            raise ValueError("not a whole bit-plane file")
+        magic, self.n_ids, table, index, head, n_docs = struct.unpack(FOOTER, self._range(size - FOOTER_SIZE, FOOTER_SIZE))
+        if magic != MAGIC or self._range(0, 8) != MAGIC:
             raise ValueError("not a whole bit-plane file")
-        self.data, self.zip = memoryview(data), zstandard.ZstdDecompressor()
-        says = json.loads(bytes(self.data[head : -FOOTER_SIZE]))
+        says = json.loads(self._range(head, size - FOOTER_SIZE - head))
         self.size, self.kind = says["block_size"], says["kind"]
-        self.doc_ids, self.lengths = np.frombuffer(self.zip.decompress(self.data[table:index]), "<i8").reshape(2, n_docs)
-        self.index = np.frombuffer(self.zip.decompress(self.data[index:head]), "<u8").reshape(-1, 32 if self.kind == "bit" else 4, 2)
+        self.doc_ids, self.lengths = np.frombuffer(self.zip.decompress(self._range(table, index - table)), "<i8").reshape(2, n_docs)
+        self.index = np.frombuffer(self.zip.decompress(self._range(index, head - index)), "<u8").reshape(-1, 32 if self.kind == "bit" else 4, 2)
+
+    def _range(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
 
     def block(self, k: int) -> np.ndarray:
-        n = min(self.size, self.n_ids - k * self.size)
-        return from_planes([self.zip.decompress(self.data[int(a) : int(a) + int(b)]) if b else b"" for a, b in self.index[k]], n, self.kind)
+        """The ids of block k, by one read of the range that its planes take."""
+        n, rows = min(self.size, self.n_ids - k * self.size), self.index[k].astype(np.int64)
+        first = int(rows[0, 0])
+        data = self._range(first, int(rows[-1].sum()) - first)
+        return from_planes([self.zip.decompress(data[a - first : a - first + b]) if b else b"" for a, b in rows.tolist()], n, self.kind)
 
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """doc_id, first id's place in the file, ids."""
@@ -128,12 +140,21 @@ class ShardReader:
             at += n
 
 
-def word_encoder(path: str, end_id: int, most: int = 400_000) -> Callable[[list[str]], Iterator[np.ndarray]]:
-    """Encodes texts with a tokenizers file whose tokens never cross ASCII white space: each run between is encoded once.
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: its own if that is printed, else one of those from 256 on; a space stays."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(others)} | {0x20: 0x20}
 
-    A text of Latin letters alone, which normalisation only turns into lower
-    case, is cut as the file's own pattern cuts it, so that fewer pieces differ.
-    The memory of runs is emptied when it holds more than most.
+
+def word_encoder(path: str, end_id: int, most: int = 300_000) -> Callable[[list[str]], Iterator[np.ndarray]]:
+    """Encodes texts with a tokenizers file whose tokens never cross white space: each run between is encoded once.
+
+    New runs of Latin letters, which normalisation only turns into lower case,
+    are cut all at once as the file's own pattern cuts them, and their different
+    pieces go through the file's merges many at a time, told apart by the mark
+    of a word's end; all other runs go through the whole file one by one. The
+    memory of runs is emptied when it holds more than most.
     """
     import os
 
@@ -144,88 +165,160 @@ def word_encoder(path: str, end_id: int, most: int = 400_000) -> Callable[[list[
 
     tokenizer = Tokenizer.from_file(path)
     # fixed value: the pattern of the tokenizer file
-    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    own = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    pattern = regex.compile(own + r"|\n")
     with open(path, encoding="utf-8") as f:
         says = json.load(f)
     steps = [x["type"] for x in (says["normalizer"] or {}).get("normalizers", [])]
-    cut = steps == ["NFC", "Replace", "Lowercase"] and says["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": pattern.pattern}
+    before = (says["pre_tokenizer"] or {}).get("pretokenizers", [])
+    suffix = says["model"].get("end_of_word_suffix")
+    cut = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and before[0]["pattern"] == {"Regex": own} and not before[1]["use_regex"] and not before[1]["add_prefix_space"]
+    merges = Tokenizer.from_str(json.dumps(says | {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": []}))
+    letters = _byte_letters()
+    ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    if suffix:
+        ends[[k for t, k in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
     odd = regex.compile("[^\x00-\u024f]|[\x1c-\x1f\x85\u0130]|<\\|")
+    control = regex.compile("[\x1c-\x1f]")
     known: dict[str, bytes] = {}
     white = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
     end = struct.pack("<I", end_id)
 
+    def alone(new: list[str]) -> None:
+        for run, enc in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[run] = np.array(enc.ids, "<u4").tobytes()
+
+    def together(new: list[str], step: int = 3000) -> bool:
+        """False if pieces and ids can't be matched."""
+        found = pattern.findall("\n".join(new).lower())
+        number = {piece: i for i, piece in enumerate(dict.fromkeys([*found, "\n"]))}
+        pieces = [piece for piece in number if piece != "\n"]
+        groups = [pieces[i : i + step] for i in range(0, len(pieces), step)]
+        coded = merges.encode_batch_fast([" ".join(g).encode().decode("latin-1").translate(letters) for g in groups], add_special_tokens=False)
+        ids = np.concatenate([np.array(c.ids, "<u4") for c in coded]) if coded else np.empty(0, "<u4")
+        stop = np.flatnonzero(ends[ids]) + 1
+        if len(stop) != len(pieces):
+            return False
+        stop = np.insert(stop, number["\n"], stop[number["\n"] - 1] if number["\n"] else 0)
+        size = np.diff(np.append(0, stop))
+        at = np.array([number[piece] for piece in found], np.int64)
+        total = np.cumsum(size[at])
+        flat = np.arange(total[-1] if len(total) else 0) - np.repeat(total - stop[at], size[at])
+        data = ids[flat].tobytes()
+        last = [*total[at == number["\n"]].tolist(), len(flat)]
+        known.update((run, data[4 * a : 4 * b]) for run, a, b in zip(new, [0, *last[:-1]], last, strict=True))
+        return True
+
+    def learn(new: list[str]) -> None:
+        rare = [run for run in new if odd.search(run)] if not cut or odd.search("\n".join(new)) else []
+        plain = new if not rare else [run for run in new if not odd.search(run)]
+        if not cut or plain and not together(plain):
+            rare = new
+        alone(rare)
+
     def encode(batch: list[str]) -> Iterator[np.ndarray]:
-        for text in batch:
-            plain = cut and not odd.search(text)
-            runs = pattern.findall(text.lower()) if plain else text.translate(white).split(" ")
-            new = [r for r in dict.fromkeys(runs) if r not in known]
+        done = 0
+        while done < len(batch):
+            # new runs of about a million characters are learned at once
+            part, size = [], 0
+            while done + len(part) < len(batch) and size < 1_000_000:
+                text = batch[done + len(part)]
+                part.append(text.translate(white).split(" ") if control.search(text) else text.split())
+                size += len(text)
+            if len(known) > most:
+                known.clear()
+            new = list({run for runs in part for run in runs if run not in known})
             if new:
-                if len(known) > most:
-                    known.clear()
-                    new = list(dict.fromkeys(runs))
-                for run, enc in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[run] = np.array(enc.ids, "<u4").tobytes()
-            yield np.frombuffer(b"".join([known[r] for r in runs]) + end, "<u4")
+                learn(new)
+            for runs in part:
+                yield np.frombuffer(b"".join([known[r] for r in runs]) + end, "<u4")
+            done += len(part)
 
     return encode
 
 
-def _write(folder: str, path: str, end_id: int, block_size: int, kind: str):
+#: The encoders of this worker, which serve its later tasks too.
+_ENCODERS: dict[tuple[str, int], Callable[[list[str]], Iterator[np.ndarray]]] = {}
+
+
+def _write(folder: str, path: str, end_id: int, block_size: int, kind: str, shard_ids: int):
     def run(batches):
         from pyarrow import fs
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         where, root = fs.FileSystem.from_uri(folder)
-        writer, encode = None, word_encoder(path, end_id)
-        name = f"shard-{part:07d}.bpl"
-        temp = f"{root}/_{name}.{uuid.uuid4().hex}"
+        if (path, end_id) not in _ENCODERS:
+            _ENCODERS[path, end_id] = word_encoder(path, end_id)
+        encode, number, writer, made = _ENCODERS[path, end_id], 0, None, []
+
+        def finish() -> None:
+            writer.close()
+            out.close()
+            where.move(temp, f"{root}/{name}")
+            made.append((part, number, name, len(writer.docs), writer.n_ids))
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                where.create_dir(root, recursive=True)
-                out = where.open_output_stream(temp)
-                writer = ShardWriter(out, block_size, kind)
             ids = batch.column("id").to_pylist()
             for doc_id, found in zip(ids, encode([t.decode() for t in texts(batch, "text")]), strict=True):
+                if writer is None:
+                    where.create_dir(root, recursive=True)
+                    name = f"shard-{part:07d}-{number:05d}.bpl"
+                    temp = f"{root}/_{name}.{uuid.uuid4().hex}"
+                    out = where.open_output_stream(temp)
+                    writer = ShardWriter(out, block_size, kind)
                 writer.add(doc_id, found)
+                if writer.n_ids >= shard_ids:
+                    finish()
+                    writer, number = None, number + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            where.move(temp, f"{root}/{name}")
-            yield pa.record_batch([[part], [name], [len(writer.docs)], [writer.n_ids]], names=["shard", "name", "n_docs", "n_ids"])
+            finish()
+        if made:
+            yield pa.record_batch([list(x) for x in zip(*made, strict=True)], names=["part", "number", "name", "n_docs", "n_ids"])
 
     return run
 
 
-def write_shards(docs: DataFrame, ws: Workspace, tokenizer_path: str, end_id: int, block_size: int = 1 << 16, kind: str = "bit") -> tuple[str, DataFrame]:
-    """Encode docs (doc_id, text) and write them in ascending doc_id order: folder, manifest (shard, name, n_docs, n_ids, start)."""
+def write_shards(docs: DataFrame, ws: Workspace, tokenizer_path: str, end_id: int, block_size: int = 1 << 16, kind: str = "byte", shard_ids: int = 1 << 26) -> tuple[str, DataFrame]:
+    """Encode docs (doc_id, text) and write them in ascending doc_id order: folder, manifest (part, number, name, n_docs, n_ids, start).
+
+    A task begins a new shard once one holds shard_ids ids, so a shard's size
+    doesn't grow with the range of a task.
+    """
     folder = f"{ws.folder}/shards"
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = keyed.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
-    made = ws.write(dealt.mapInArrow(_write(folder, tokenizer_path, end_id, block_size, kind), schema_of("shard long, name string, n_docs long, n_ids long")), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    made = ws.write(dealt.mapInArrow(_write(folder, tokenizer_path, end_id, block_size, kind, shard_ids), schema_of("part long, number long, name string, n_docs long, n_ids long")), "manifest")
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return folder, made.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _read(batches):
-    for batch in batches:
-        for content, start in zip(batch.column("content"), batch.column("start").to_pylist(), strict=True):
-            rows = [], [], [], []
-            for doc_id, at, ids in ShardReader(content.as_buffer().to_pybytes()).documents():
-                for x, y in zip(rows, (doc_id, start + at, len(ids), zlib.crc32(ids.tobytes())), strict=True):
-                    x.append(y)
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in rows], names=["id", "start", "n_tokens", "ids_crc32"])
+def _read(folder: str, rows_at_once: int = 20_000):
+    def run(batches):
+        from pyarrow import fs
+
+        names = ["id", "start", "n_tokens", "ids_crc32"]
+        for batch in batches:
+            for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                where, root = fs.FileSystem.from_uri(folder)
+                rows = [], [], [], []
+                with where.open_input_file(f"{root}/{name}") as file:
+                    for doc_id, at, ids in ShardReader(file).documents():
+                        for x, y in zip(rows, (doc_id, start + at, len(ids), zlib.crc32(ids.tobytes())), strict=True):
+                            x.append(y)
+                        if len(rows[0]) >= rows_at_once:
+                            yield pa.record_batch([pa.array(x, pa.int64()) for x in rows], names=names)
+                            rows = [], [], [], []
+                if rows[0]:
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in rows], names=names)
+
+    return run
 
 
 def read_shards(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    if not manifest.limit(1).count():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bpl").load(folder)
-    joined = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(manifest.select("name", "start"), "name")
-    out = joined.select("content", "start").mapInArrow(_read, schema_of("id long, start long, n_tokens long, ids_crc32 long"))
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. Shards are dealt to tasks and read range by range."""
+    dealt = manifest.select("name", "start").repartition(partitions(spark), "name")
+    out = dealt.mapInArrow(_read(folder), schema_of("id long, start long, n_tokens long, ids_crc32 long"))
     return out.select(F.when(F.col("id") != F.lit(-(2**63)), F.col("id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 

@@ -6,35 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import degree, k_hop, undirected
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for it, so that rounds don't lengthen the plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+from .steps import cut
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 10) -> list[str]:
     """Nodes of a shortest undirected path of at most most edges; of equal paths, the one with the smallest nodes from the end back. No path: an empty list.
 
-    Each round joins the last frontier alone; what comes to the driver is one node a round.
+    Each round joins the last written frontier alone, whose rows hold their way
+    (of at most most nodes); what comes to the driver is one row a round.
     """
     if start == end:
         return [start]
-    both = undirected(edges).select("anchor", "other").filter("anchor <> other").distinct()
-    seen = edges.sparkSession.createDataFrame([(start, None, 0)], "id string, parent string, hop int")
-    frontier = seen
-    for hop in range(1, most + 1):
-        new = both.join(frontier, both.anchor == frontier.id).groupBy(F.col("other").alias("id")).agg(F.min("anchor").alias("parent"))
-        frontier = _cut(new.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        seen = seen.unionByName(frontier)
-        state = frontier.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("id") == end).alias("found")).head()
+    both = cut(undirected(edges).select("anchor", "other").filter("anchor <> other"))
+    frontier = edges.sparkSession.createDataFrame([(start, [start])], "id string, way array<string>")
+    seen = frontier.select("id")
+    for _ in range(most):
+        new = both.join(frontier.select(F.col("id").alias("anchor"), "way"), "anchor").groupBy(F.col("other").alias("id")).agg(F.min(F.struct("anchor", "way")).alias("by"))
+        frontier = cut(new.join(seen, "id", "left_anti").select("id", F.concat("by.way", F.array("id")).alias("way")))
+        seen = seen.unionByName(frontier.select("id"))
+        state = frontier.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("id") == end, F.col("way"))).alias("way")).head()
+        if state["way"]:
+            return state["way"]
         if state["n"] == 0:
-            return []
-        if state["found"]:
-            path = [end]
-            for _ in range(hop):
-                path.append(seen.filter(F.col("id") == path[-1]).head()["parent"])
-            return path[::-1]
+            break
     return []
 
 
@@ -45,18 +39,18 @@ def common_surroundings(edges: DataFrame, a: str, b: str, hops: int = 2) -> Data
 
 
 def components(edges: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
-    """id, comp: the smallest id that each node is joined to, by least labels of neighbours and of labels' labels."""
-    both = undirected(edges).select("anchor", "other").filter("anchor <> other").distinct()
+    """id, comp: the smallest id that each node is joined to, by least labels of neighbours and of labels' labels. Raises if most rounds don't do."""
+    both = cut(undirected(edges).select("anchor", "other").filter("anchor <> other").distinct())
     comp = nodes.select("id").distinct().withColumn("comp", F.col("id"))
     for _ in range(most):
         near = both.join(comp, both.other == comp.id).groupBy("anchor").agg(F.min("comp").alias("near"))
         step = comp.join(near, comp.id == near.anchor, "left").select("id", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         jump = comp.select(F.col("id").alias("to"), F.col("comp").alias("further"))
-        after = _cut(step.join(jump, "to", "left").select("id", F.least("to", "further").alias("comp"), "was"))
+        after = cut(step.join(jump, "to", "left").select("id", F.least("to", "further").alias("comp"), "was"))
         comp = after.select("id", "comp")
         if not after.filter("comp <> was").limit(1).count():
-            break
-    return comp
+            return comp
+    raise RuntimeError(f"components haven't settled after {most} rounds")
 
 
 def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:

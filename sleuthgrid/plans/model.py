@@ -45,14 +45,15 @@ RELATIONSHIPS = """
 
 
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge assertions in order: each line of an order says that a supplier supplies a part; a returned line denies it."""
+    """Edge assertions in order: each line of an order says that a supplier supplies a part; a returned line denies it. Some have no document, polarity or evidence."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("source_id"),
         F.col("l_partkey").alias("target_id"),
         F.lit("SUPPLIES").alias("rel_type"),
         F.round(1 - F.col("l_discount") * 5, 2).alias("confidence"),
-        F.col("l_orderkey").cast("string").alias("source_doc_id"),
-        F.when(F.col("l_returnflag") == "R", "denied").otherwise("asserted").alias("polarity"),
+        F.when(F.col("l_orderkey") % 7 == 0, "").otherwise(F.col("l_orderkey").cast("string")).alias("source_doc_id"),
+        F.when(F.col("l_returnflag") == "R", "Denies").when(F.col("l_returnflag") == "A", "ASSERTS").alias("polarity"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("line "), F.col("l_linenumber").cast("string"))).otherwise("").alias("evidence"),
         F.col("l_shipdate").alias("seen"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
     )

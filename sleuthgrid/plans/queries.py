@@ -14,9 +14,9 @@ from .model import ENTITIES, RELATIONSHIPS, assertions, entities, relationships,
 WITH = f"WITH ent AS ({ENTITIES}), rel AS ({RELATIONSHIPS}), und AS (SELECT source_id AS anchor, target_id AS other, rel_type FROM rel UNION ALL SELECT target_id, source_id, rel_type FROM rel WHERE source_id <> target_id)"
 
 
-@query("p1_name_search", f"{WITH} SELECT id, name, entity_type FROM ent WHERE contains(lower(name), 'a') AND contains(lower(name), 'er') ORDER BY name, id LIMIT 50 OFFSET 5")
+@query("p1_name_search", f"{WITH} SELECT id, name, entity_type FROM ent WHERE contains(lower(name), '1') AND contains(lower(name), 'er') ORDER BY name, id LIMIT 50 OFFSET 5")
 def p1(spark, d):
-    return entities(spark, d).filter(tx.matches_all(F.col("name"), "A er")).orderBy("name", "id").offset(5).limit(50)
+    return entities(spark, d).filter(tx.matches_all(F.col("name"), "1 ER")).orderBy("name", "id").offset(5).limit(50)
 
 
 @query("p2_count", f"{WITH} SELECT entity_type, count(*) AS n FROM ent WHERE contains(lower(name), '1') GROUP BY 1")
@@ -42,23 +42,38 @@ def p8(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", tx.shorten(F.col("text")).alias("preview"))
 
 
-@query("p9_junk_names", "SELECT doc_id, NOT regexp_matches(substr(text, 1, 20), '[\\p{L}\\p{N}]') OR contains(substr(text, 1, 20), chr(10)) OR contains(substr(text, 1, 20), chr(13)) AS junk FROM documents")
+@query("p9_junk_names", "SELECT doc_id, i, NOT regexp_matches(line, '[\\p{L}\\p{N}]') AS junk FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)")
 def p9(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.junk_name(F.substring("text", 1, 20)).alias("junk"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select("doc_id", F.col("i").cast("long").alias("i"), tx.junk_name(F.col("line")).alias("junk"))
+
+
+_FURNITURE = "|".join(x.replace("©", "\\xA9") for x in tx.FURNITURE)
+_LINES = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN replace(text, '. ', ' | ') WHEN 2 THEN concat('A line that says Read More about it', chr(10), text, chr(10), 'Home | Search | About | Contact') WHEN 3 THEN concat('one • two • three • four five', chr(10), chr(9), text) WHEN 4 THEN concat('one | two | three • four • five', chr(10), text) ELSE concat('1234567890 12345678 abc', chr(10), text) END AS text FROM documents"
 
 
 @query(
     "p13_clean_lines",
-    """SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
-    lambda l: length(l) >= 15 AND length(regexp_replace(l, '[^\\p{L}]', '', 'g')) >= 0.4 * length(l) AND length(regexp_replace(l, '[^|•]', '', 'g')) <= 2 AND NOT contains(lower(l), 'license')), chr(10))) AS cleaned FROM documents""",
+    f"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+    lambda l: length(l) >= 15 AND length(regexp_replace(l, '[^\\p{{L}}]', '', 'g')) >= 0.4 * length(l) AND length(regexp_replace(l, '[^|]', '', 'g')) <= 2 AND length(regexp_replace(l, '[^•]', '', 'g')) <= 2 AND NOT regexp_matches(lower(l), '{_FURNITURE}')), chr(10))) AS cleaned FROM ({_LINES})""",
 )
 def p13(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(tx.clean_lines(F.col("text"), ("license",))).alias("cleaned"))
+    table(spark, d, "documents").createOrReplaceTempView("lines_of_documents")
+    lines = spark.sql(_LINES.replace("FROM documents", "FROM lines_of_documents"))
+    return lines.select("doc_id", F.md5(tx.clean_lines(F.col("text"))).alias("cleaned"))
+
+
+_URLS = "CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN concat('http://', page_id % 256, '.168.', page_id % 7, '.1/x') WHEN 2 THEN concat('https://user@172.', page_id % 40, '.0.1:80/') WHEN 3 THEN concat('ftp://', url) WHEN 4 THEN 'http://Redis:6379/x' WHEN 5 THEN 'http://0x7f000001/' WHEN 6 THEN concat('http://198.', page_id % 60, '.3.4') ELSE 'https://[::1]/x' END"
 
 
-@query("p15_safe_urls", r"""SELECT page_id, contains(h, '.') AND NOT regexp_matches(h, '(^|\.)localhost$') AS safe FROM (SELECT page_id, regexp_extract(lower(url), '^https?://(?:[^/@]*@)?([^/?#:]*)', 1) AS h FROM pages)""")
+@query(
+    "p15_safe_urls",
+    rf"""SELECT page_id, h <> '' AND h NOT IN ({", ".join(f"'{x}'" for x in tx.BLOCKED_HOSTS)}) AND NOT regexp_matches(h, '^0x|:') AND NOT (regexp_matches(h, '^[0-9.]+$') AND (
+    o[1] IN (0, 10, 127) OR o[1] >= 240 AND o[1] <= 255 OR o[1] = 192 AND o[2] = 168 OR o[1] = 172 AND o[2] BETWEEN 16 AND 31 OR o[1] = 198 AND o[2] IN (18, 19, 51))) AS safe
+    FROM (SELECT page_id, h, list_transform(string_split(h, '.'), lambda x: TRY_CAST(x AS INTEGER)) AS o FROM (SELECT page_id, regexp_extract(lower({_URLS}), '^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1) AS h FROM pages))""",
+)
 def p15(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.safe_url(F.col("url")).alias("safe"))
+    return table(spark, d, "pages").select("page_id", tx.safe_url(F.expr(_URLS)).alias("safe"))
 
 
 @query("p17_since", "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
@@ -103,18 +118,18 @@ def j11(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc")).join(counts, "doc", "left").fillna(0, ["n"])
 
 
-@query("j15_overlap", "WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey <= 2000) SELECT l_suppkey, count(*) AS shared, round(count(*) / (SELECT count(*) FROM o), 4) AS coverage FROM s JOIN o USING (l_partkey) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("j15_overlap", "WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45) SELECT l_suppkey, count(*) AS shared, round(count(*) / (SELECT count(*) FROM o), 4) AS coverage FROM s JOIN o USING (l_partkey) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def j15(spark, d):
     l = table(spark, d, "lineitem")  # noqa: E741
-    seen = l.filter("l_orderkey <= 2000").select("l_partkey").distinct()
+    seen = l.filter("l_returnflag = 'R' AND l_quantity >= 45").select("l_partkey").distinct()
     total = seen.agg(F.count(F.lit(1)).alias("total"))
     shared = l.select("l_suppkey", "l_partkey").distinct().join(seen, "l_partkey").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("shared"))
     return shared.crossJoin(F.broadcast(total)).select("l_suppkey", "shared", F.round(F.col("shared") / F.col("total"), 4).alias("coverage")).orderBy(F.desc("shared"), "l_suppkey").limit(10)
 
 
-@query("j19_unmapped", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("j19_unmapped", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 40)")
 def j19(spark, d):
-    hit = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    hit = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 40").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").join(hit, "p_partkey", "left_anti").select("p_partkey", "p_name")
 
 
@@ -144,13 +159,14 @@ def a4(spark, d):
     return out.withColumn("isolated_names", F.when(F.col("isolated") > 0, F.col("isolated_names")))
 
 
-_FOLD = """WITH r AS (SELECT l_suppkey AS s, l_partkey AS t, round(1 - l_discount * 5, 2) AS c, l_orderkey AS doc, CASE WHEN l_returnflag = 'R' THEN 'denied' ELSE 'asserted' END AS pol, l_shipdate AS seen, l_orderkey * 10 + l_linenumber AS id FROM lineitem),
-o AS (SELECT *, first_value(pol) OVER w AS pol1, first_value(doc) OVER w AS doc1 FROM r WINDOW w AS (PARTITION BY s, t ORDER BY seen, id)),
+_CLAIMS = """r AS (SELECT l_suppkey AS s, l_partkey AS t, round(1 - l_discount * 5, 2) AS c, CASE WHEN l_orderkey % 7 <> 0 THEN CAST(l_orderkey AS VARCHAR) END AS doc, CASE WHEN l_returnflag = 'R' THEN 'denies' ELSE 'asserts' END AS pol,
+CASE WHEN l_linenumber % 2 = 1 THEN 'line ' || l_linenumber END AS said, l_shipdate AS seen, l_orderkey * 10 + l_linenumber AS id FROM lineitem)"""
+_FOLD = f"""WITH {_CLAIMS}, o AS (SELECT *, first_value(pol) OVER w AS pol1 FROM r WINDOW w AS (PARTITION BY s, t ORDER BY seen, id)),
 p AS (SELECT *, bool_or(pol <> pol1) OVER (PARTITION BY s, t ORDER BY seen, id ROWS UNBOUNDED PRECEDING) AS dissent FROM o)
-SELECT s AS source_id, t AS target_id, 'SUPPLIES' AS rel_type, CAST(count(DISTINCT doc) AS INTEGER) AS corroboration_count,
-CASE WHEN bool_or(dissent) THEN 'CONFLICT' WHEN count(DISTINCT doc) > 1 THEN 'CORROBORATED' ELSE 'SINGLE' END AS agreement,
-CASE WHEN bool_or(dissent) THEN least(max(c) FILTER (NOT dissent), min(c) FILTER (dissent)) ELSE max(c) END AS confidence,
-CAST(min(doc1) AS VARCHAR) AS source_doc_id, min(seen) AS first_seen, max(seen) AS last_seen FROM p GROUP BY s, t"""
+SELECT s AS source_id, t AS target_id, 'SUPPLIES' AS rel_type, CAST(greatest(1, count(DISTINCT doc)) AS INTEGER) AS corroboration_count,
+CASE WHEN bool_or(dissent) THEN 'CONFLICT' ELSE 'AGREE' END AS agreement,
+CASE WHEN bool_or(dissent) THEN least(max(c) FILTER (NOT dissent), min(c) FILTER (dissent)) ELSE max(c) END AS confidence, min(pol1) AS polarity,
+arg_min(doc, (seen, id)) FILTER (doc IS NOT NULL) AS source_doc_id, arg_min(said, (seen, id)) FILTER (said IS NOT NULL) AS evidence, min(seen) AS first_seen, max(seen) AS last_seen FROM p GROUP BY s, t"""
 
 
 @query("a6_corroboration", _FOLD)
@@ -158,18 +174,68 @@ def a6(spark, d):
     return g.corroborate(assertions(spark, d))
 
 
+@query("a6_sources", f"WITH {_CLAIMS} SELECT s AS source_id, t AS target_id, 'SUPPLIES' AS rel_type, doc AS source_doc_id, min(seen) AS first_seen FROM r WHERE doc IS NOT NULL GROUP BY ALL")
+def a6_sources(spark, d):
+    return g.corroboration_sources(assertions(spark, d))
+
+
+@query("g1_weighted", f"WITH {_CLAIMS} SELECT s AS source_id, t AS target_id, round(arg_max(c * CASE WHEN id % 2 = 0 THEN 1.5 ELSE 1 END, (seen, id)), 4) AS weight FROM r GROUP BY 1, 2")
+def g1(spark, d):
+    return g.weighted(assertions(spark, d).withColumn("rel_type", F.when(F.col("id") % 2 == 0, "TARGETS").otherwise("SUPPLIES")))
+
+
+_CELLS = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'x' WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('1,', o_orderkey % 900 + 100) END AS amount FROM orders"
+_CELL_COLUMNS = ("o_orderkey", "status", "amount")
+
+
+def _cells(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("orders_of_cells")
+    return spark.sql(_CELLS.replace("FROM orders", "FROM orders_of_cells"))
+
+
 @query(
     "a7_profile",
-    """SELECT 'o_orderkey' AS "column", count(*) AS total, count(*) - count(o_orderkey) AS null_count, round((count(*) - count(o_orderkey)) / count(*), 4) AS null_rate, count(DISTINCT o_orderkey) AS unique_count, CAST(min(o_orderkey) AS DOUBLE) AS min, CAST(max(o_orderkey) AS DOUBLE) AS max, round(avg(o_orderkey), 4) AS mean FROM orders
-    UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), round((count(*) - count(o_orderstatus)) / count(*), 4), count(DISTINCT o_orderstatus), NULL, NULL, NULL FROM orders""",
+    f"WITH c AS ({_CELLS}) "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS total, count(*) - count(v) AS null_count, round((count(*) - count(v)) / count(*), 4) AS null_rate, count(DISTINCT v) AS unique_count, CASE WHEN count(x) > count(v) / 2 THEN min(x) END AS min, CASE WHEN count(x) > count(v) / 2 THEN max(x) END AS max, CASE WHEN count(x) > count(v) / 2 THEN round(avg(x), 4) END AS mean
+    FROM (SELECT nullif(trim(CAST({c} AS VARCHAR)), '') AS v, TRY_CAST(replace(CAST({c} AS VARCHAR), ',', '') AS DOUBLE) AS x FROM c)"""
+        for c in _CELL_COLUMNS
+    ),
 )
 def a7(spark, d):
-    return pf.column_profile(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
+    return pf.column_profile(_cells(spark, d))
+
+
+@query(
+    "a7_top_values",
+    f"WITH c AS ({_CELLS}), l AS ("
+    + " UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value FROM c""" for c in _CELL_COLUMNS)
+    + """), n AS (SELECT "column", value, count(*) AS n FROM l WHERE trim(value) <> '' GROUP BY 1, 2) SELECT * FROM (SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank, value, n FROM n) WHERE rank <= 10""",
+)
+def a7_top(spark, d):
+    return pf.top_values(_cells(spark, d))
+
 
+_TYPED = "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN ' ' ELSE concat('1,', event_id % 900 + 100) END AS whole, concat('-', event_id % 10, '.5e3') AS real, concat('2024-01-', event_id % 20 + 10) AS day, CASE event_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'f' WHEN 2 THEN 'TRUE' ELSE 'n' END AS flag, concat(event_id % 2, '') AS bit, CASE WHEN event_id % 20 < 16 THEN concat('2024-02-', event_id % 19 + 10) ELSE 'soon' END AS mostly, event_type, CASE WHEN event_id < 0 THEN 'x' END AS nothing FROM events"
+_TYPED_COLUMNS = ("whole", "real", "day", "flag", "bit", "mostly", "event_type", "nothing")
 
-@query("a8_inferred_type", "SELECT 'v' AS \"column\", 'integer' AS inferred")
+
+@query(
+    "a8_inferred_type",
+    f"WITH e AS ({_TYPED}) "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN count(*) = 0 THEN 'null' WHEN bool_and(regexp_full_match(replace(v, ',', ''), '[+-]?[0-9]+')) THEN 'integer' WHEN bool_and(TRY_CAST(replace(v, ',', '') AS DOUBLE) IS NOT NULL) THEN 'float'
+    WHEN count(*) FILTER (r <= 20 AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL) >= least(15, count(*)) THEN 'datetime' WHEN bool_and(lower(v) IN ('true', 'false', 'yes', 'no', '1', '0', 't', 'f', 'y', 'n')) THEN 'boolean' ELSE 'string' END AS inferred
+    FROM (SELECT {c} AS v, row_number() OVER (ORDER BY event_id) AS r FROM e WHERE trim({c}) <> '' ORDER BY event_id LIMIT 100)"""
+        for c in _TYPED_COLUMNS
+    ),
+)
 def a8(spark, d):
-    return pf.infer_type(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("v")), "v")
+    from functools import reduce
+
+    table(spark, d, "events").createOrReplaceTempView("events_of_types")
+    e = spark.sql(_TYPED.replace("FROM events", "FROM events_of_types"))
+    return reduce(lambda a, b: a.unionByName(b), [pf.infer_type(e, c, "event_id") for c in _TYPED_COLUMNS])
 
 
 @query("a9_histogram", "SELECT strftime(ts, '%Y-%m-%d') AS bucket, event_type AS kind, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
@@ -224,11 +290,11 @@ def l2(spark, d):
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
-@query("l3_vector_top_k", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]) DESC, vec_id LIMIT 20")
+@query("l3_vector_top_k", f"SELECT * FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]) DESC, vec_id LIMIT 20) WHERE similarity >= 0.15")
 def l3(spark, d):
     base = table(spark, d, "embeddings")
     q = base.filter("vec_id = 0").head()["embedding"]
-    return rt.vector_top_k(base, list(q), 20, -1.0).withColumn("similarity", F.round("similarity", 6))
+    return rt.vector_top_k(base, list(q), 20, 0.15).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("u1_intersection", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 2 = 0 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 2 = 1")
@@ -237,21 +303,44 @@ def u1(spark, d):
     return l.filter("l_suppkey % 2 = 0").select("l_partkey").intersect(l.filter("l_suppkey % 2 = 1").select("l_partkey"))
 
 
-@query("u3_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u3_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
 def u3(spark, d):
-    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct())
+
+
+_HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+_OBSERVED = f"""CASE page_id % 12 WHEN 0 THEN replace(replace(url, 'http', 'hxxp'), '.', '[.]') WHEN 1 THEN replace({_HOST}, '.', '(dot)') WHEN 2 THEN concat(' User.', page_id, '[AT]', replace({_HOST}, '.', '[ . ]'))
+ WHEN 3 THEN concat('10.0.', page_id % 300, '.', page_id % 256) WHEN 4 THEN concat('cve-2024-', 10000 + page_id) WHEN 5 THEN md5(url) WHEN 6 THEN concat('hXXps(:)//', replace({_HOST}, '.', '{{.}}'), '/x')
+ WHEN 7 THEN concat('a b c ', page_id) WHEN 8 THEN concat({_HOST}, '.') WHEN 9 THEN concat('a{{at}}', {_HOST}) WHEN 10 THEN concat('x', page_id, '[@]b(.)org') ELSE url END"""
+_REFANGED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?i)hxxp', 'http', 'g'), '(?i)[\\[({{]\\s*(\\.|dot)\\s*[\\])}}]', '.', 'g'), '(?i)[\\[({{]\\s*(@|at)\\s*[\\])}}]', '@', 'g'), '[\\[({{]\\s*:\\s*[\\])}}]', ':', 'g')"
 
 
-@query("f2_defang", "SELECT page_id, replace(replace(regexp_replace(url, '(?i)http', 'hxxp', 'g'), '.', '[.]'), '@', '[at]') AS defanged, regexp_replace(url, '(?i)hxxp', 'http', 'g') AS refanged FROM pages")
+@query("f1_refang", f"SELECT page_id, {_REFANGED.format('v')} AS refanged FROM (SELECT page_id, {_OBSERVED} AS v FROM pages)")
+def f1(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.refang(F.expr(_OBSERVED)).alias("refanged"))
+
+
+_SHOUTED = "CASE WHEN page_id % 3 = 0 THEN upper(url) ELSE concat(url, '@x') END"
+
+
+@query("f2_defang", f"SELECT page_id, replace(replace(replace({_SHOUTED}, 'http', 'hxxp'), '.', '[.]'), '@', '[at]') AS defanged, {_SHOUTED} AS refanged FROM pages")
 def f2(spark, d):
-    safe = tx.defang(F.col("url"))
+    safe = tx.defang(F.expr(_SHOUTED))
     return table(spark, d, "pages").select("page_id", safe.alias("defanged"), tx.refang(safe).alias("refanged"))
 
 
-@query("f3_observables", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d{1,3}(?:\.\d{1,3}){3}')) AS v FROM documents) SELECT doc_id, v, CASE WHEN regexp_matches(v, '^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$') THEN 'IPAddress' ELSE '' END AS kind FROM w")
+@query(
+    "f3_observables",
+    rf"""WITH w AS (SELECT page_id, trim({_REFANGED.format('v')}) AS v FROM (SELECT page_id, {_OBSERVED} AS v FROM pages) UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\d{{1,3}}(?:\.\d{{1,3}}){{3}}')) FROM documents)
+    SELECT page_id, v, CASE WHEN regexp_matches(v, '^(?i)https?://') THEN 'URL' WHEN regexp_matches(v, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}$') THEN 'EmailAddress'
+    WHEN regexp_matches(v, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') THEN CASE WHEN list_max(list_transform(string_split(v, '.'), lambda x: x::INTEGER)) <= 255 THEN 'IPAddress' ELSE '' END
+    WHEN regexp_matches(v, '^(?i)cve-[0-9]{{4}}-[0-9]{{4,}}$') THEN 'Vulnerability' WHEN regexp_matches(v, '^[A-Fa-f0-9]+$') AND length(v) IN (32, 40, 64) THEN 'Hash'
+    WHEN regexp_matches(v, '^([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}}$') THEN 'Domain' ELSE '' END AS kind FROM w""",
+)
 def f3(spark, d):
-    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:\.\d{1,3}){3})"), 1)).alias("v"))
-    return found.withColumn("kind", tx.classify_observable(F.col("v")))
+    found = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:\.\d{1,3}){3})"), 1)).alias("v"))
+    every = table(spark, d, "pages").select("page_id", F.expr(_OBSERVED).alias("v")).unionByName(found)
+    return every.select("page_id", tx.strip_space(tx.refang(F.col("v"))).alias("v"), tx.classify_observable(F.col("v")).alias("kind"))
 
 
 @query("f7_hosts", r"SELECT regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/?#:]*)', 1), '^www\.', '') AS host, count(*) AS n FROM pages GROUP BY 1")
@@ -259,58 +348,68 @@ def f7(spark, d):
     return table(spark, d, "pages").groupBy(tx.host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f11_tokens", r"SELECT t AS token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))) AS t FROM documents WHERE lang = 'en') WHERE t NOT IN ('the', 'and') GROUP BY 1 HAVING count(*) > 5")
+@query("f11_tokens", rf"SELECT t AS token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}'))) AS t FROM documents) WHERE t NOT IN ({', '.join(repr(x) for x in tx.STOP_WORDS)}) GROUP BY 1")
 def f11(spark, d):
-    t = table(spark, d, "documents").filter("lang = 'en'").select(F.explode(tx.tokens(F.col("text"), ("the", "and"))).alias("token"))
-    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 5")
+    t = table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f11_all_tokens", r"SELECT t AS token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))) AS t FROM documents) WHERE t NOT IN ('the', 'and') GROUP BY 1")
-def f11_all(spark, d):
-    t = table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"), ("the", "and"))).alias("token"))
-    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+_P = "l_discount * 12.5 - 0.1"
 
 
-@query("d13_probability", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax * 12.5 < 0.05 THEN 'Remote' WHEN l_tax * 12.5 < 0.2 THEN 'Very unlikely' WHEN l_tax * 12.5 < 0.45 THEN 'Unlikely' WHEN l_tax * 12.5 < 0.55 THEN 'Even chance' WHEN l_tax * 12.5 < 0.8 THEN 'Likely' WHEN l_tax * 12.5 < 0.95 THEN 'Very likely' WHEN l_tax * 12.5 <= 1 THEN 'Almost certain' ELSE 'Unknown' END AS label FROM lineitem")
+@query("d13_probability", f"""SELECT l_orderkey, l_linenumber, CASE WHEN p < 0.01 OR p > 0.99 THEN 'Unknown' {" ".join(f"WHEN p < {high} THEN '{label}'" for _, high, label in tx.PROBABILITY[:-1])} ELSE 'Almost Certain' END AS label FROM (SELECT *, {_P} AS p FROM lineitem)""")
 def d13(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.probability_label(F.col("l_tax") * 12.5).alias("label"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.probability_label(F.expr(_P)).alias("label"))
 
 
-@query("k18_guarded_cells", r"SELECT doc_id, CASE WHEN regexp_matches(ltrim(c), '^[=+\-@|\\]') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || lang ELSE lang END AS c FROM documents)")
-def k18(spark, d):
-    c = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "lang")).otherwise(F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", tx.guard_cell(c).alias("cell"))
+_CELL = "CASE doc_id % 7 WHEN 0 THEN concat('=', lang) WHEN 1 THEN concat(chr(9), '=1') WHEN 2 THEN concat(chr(10), ' +', lang) WHEN 3 THEN concat(' |', lang) WHEN 4 THEN concat(chr(92), lang) WHEN 5 THEN concat('a=', lang) ELSE lang END"
 
 
-@query(
-    "m1_tf_idf",
-    r"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}')) AS ts FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n FROM t),
-    f AS (SELECT doc_id, len(ts) AS size, unnest(ts) AS term FROM t), c AS (SELECT doc_id, size, term, count(*) AS k FROM f GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
-    w AS (SELECT doc_id, term, k / size * ln(n / df) AS w FROM c JOIN df USING (term), n WHERE df >= 2 AND df <= greatest(2, CAST(floor(0.85 * n) AS BIGINT)))
-    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
-)
-def m1(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'")
-    return rt.tf_idf(docs, tx.tokens(F.col("text")), let_in=False).withColumn("weight", F.round("weight", 6))  # its SQL lets none in
+@query("k18_guarded_cells", rf"SELECT doc_id, CASE WHEN regexp_matches(c, '^\s*[=+\-@|\\]') THEN chr(39) || c ELSE c END AS cell FROM (SELECT doc_id, {_CELL} AS c FROM documents)")
+def k18(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.guard_cell(F.expr(_CELL)).alias("cell"))
 
 
 @query(
-    "m1_all_languages",
+    "m1_tf_idf",
     r"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}')) AS ts FROM documents), n AS (SELECT count(*) AS n, greatest(2, CAST(floor(0.85 * count(*)) AS BIGINT)) AS top FROM t),
     f AS (SELECT doc_id, len(ts) AS size, unnest(ts) AS term FROM t), c AS (SELECT doc_id, size, term, count(*) AS k FROM f GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
     s AS (SELECT bool_and(ok) AS covered, min(rarest) AS rarest FROM (SELECT doc_id, bool_or(df BETWEEN 2 AND top) AS ok, min(df) AS rarest FROM c JOIN df USING (term), n GROUP BY 1)),
     w AS (SELECT doc_id, term, k / size * ln(n / df) AS w FROM c JOIN df USING (term), n, s WHERE df BETWEEN 2 AND top OR NOT covered AND (df <= top OR rarest > top))
-    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
+    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""".replace("'[a-z]{2,}')", f"'[a-z]{{2,}}') AND x NOT IN ({', '.join(repr(x) for x in tx.STOP_WORDS)})"),
 )
-def m1_all(spark, d):
+def m1(spark, d):
     return rt.tf_idf(table(spark, d, "documents"), tx.tokens(F.col("text"))).withColumn("weight", F.round("weight", 6))
 
 
 @query("g4_page_rank")
 def g4(spark, d):
-    return g.page_rank(relationships(spark, d), entities(spark, d), 5)
+    edges = relationships(spark, d).withColumn("confidence", F.when(F.col("rel_type") == "SUPPLIES", 0.8)).withColumn("seen", F.lit(0)).withColumn("id", F.col("rel_type"))
+    return g.page_rank(g.weighted(edges), entities(spark, d))
+
+
+_LOCATED = "SELECT 'C' || c_custkey AS s, 'N' || c_nationkey AS t, 1.0 + c_custkey % 3 AS w FROM customer UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 2.0 FROM nation UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 1.5 FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'C' || s_suppkey, 0.5 FROM supplier"
+
+
+@query(
+    "g9_structural_holes",
+    f"""WITH e AS ({_LOCATED}), b AS (SELECT u, v, sum(w) AS w FROM (SELECT s AS u, t AS v, w FROM e UNION ALL SELECT t, s, w FROM e) GROUP BY 1, 2),
+    q AS (SELECT u, v, w / sum(w) OVER (PARTITION BY u) AS p, count(*) OVER (PARTITION BY u) AS n FROM b),
+    h AS (SELECT a.u, c.v, sum(a.p * c.p) AS way, count(*) AS common FROM q a JOIN q c ON a.v = c.u GROUP BY 1, 2), l AS (SELECT q.u, q.v, q.n, q.p, h.way, coalesce(h.common, 0) AS common FROM q LEFT JOIN h ON h.u = q.u AND h.v = q.v)
+    SELECT u AS id, round(sum((p + coalesce(way, 0)) ** 2), 9) AS "constraint", round(max(n) - sum(common) / max(n), 9) AS effective_size, sum((p + coalesce(way, 0)) ** 2) < 0.5 AND max(n) - sum(common) / max(n) > 1.5 AS is_broker FROM l GROUP BY 1""",
+)
+def g9(spark, d):
+    t = lambda n, a, x, b, y, w: table(spark, d, n).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("source_id"), F.concat(F.lit(b), F.col(y).cast("string")).alias("target_id"), w.cast("double").alias("weight"))
+    edges = t("customer", "C", "c_custkey", "N", "c_nationkey", 1 + F.col("c_custkey") % 3).union(t("nation", "N", "n_nationkey", "R", "n_regionkey", F.lit(2)))
+    edges = edges.union(t("supplier", "S", "s_suppkey", "N", "s_nationkey", F.lit(1.5))).union(t("supplier", "S", "s_suppkey", "C", "s_suppkey", F.lit(0.5)))
+    return g.structural_holes(edges).withColumn("constraint", F.round("constraint", 9)).withColumn("effective_size", F.round("effective_size", 9))
+
+
+@query("g10_ego", f"{WITH}, h1 AS (SELECT DISTINCT other AS id FROM und WHERE anchor = 'N3' UNION SELECT 'N3'), h2 AS (SELECT DISTINCT other AS id FROM und JOIN h1 ON anchor = h1.id UNION SELECT id FROM h1) SELECT * FROM rel WHERE source_id IN (SELECT id FROM h2) AND target_id IN (SELECT id FROM h2)")
+def g10(spark, d):
+    return g.ego(relationships(spark, d), "N3", 2)[1]
 
 
-@query("t1_rate_limit", "SELECT event_id, recent, recent > 3 AS rejected FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS recent FROM events)")
+@query("t1_rate_limit")
 def t1(spark, d):
-    return pf.rate_exceeded(table(spark, d, "events"), "user_id", "ts", 3600, 3).select("event_id", "recent", "rejected")
+    return pf.rate_exceeded(table(spark, d, "events"), "user_id", "ts", "event_id", 36_000, 3).select("event_id", "recent", "rejected")

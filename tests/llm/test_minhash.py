@@ -68,3 +68,30 @@ def test_groups_against_brute_force(spark):
                 parent[y] = x
     assert {i: got[i].group_id for i in got} == {i: find(i) for i in got}
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_counts_as_weights(spark):
+    line = " ".join(f"a{i}" for i in range(30))
+    other = " ".join(f"b{i}" for i in range(30))
+    rows = [(1, f"{line} {other}"), (2, f"{line} " * 20 + other), (3, f"{line} " * 19 + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.doc_id: r.group_id for r in near_duplicates(df).collect()}
+    weighted = {r.doc_id: r.group_id for r in near_duplicates(df, counts=True).collect()}
+    assert plain[2] == plain[3] and weighted == {1: 1, 2: 2, 3: 2}
+
+
+def test_recall_against_all_rows(spark):
+    """Texts whose id is divisible by 20 against all rows of a table."""
+    from sleuthgrid.llm.minhash import likeness, shingles
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.group_key for r in near_duplicates(docs).collect()}
+    rows = {r.doc_id: shingles((r.text or "").encode()) for r in docs.select("doc_id", "text").collect()}
+    links = [(i, j) for i in rows if i % 20 == 0 for j in rows if i != j and likeness(rows[i], rows[j], False) >= 0.8]
+    assert len(links) > 5 and all(got[i] == got[j] for i, j in links)
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "w1 w2")], "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}

@@ -44,3 +44,37 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(None, text, 1), (3, text, 2), (3, text, 3)], "doc_id long, text string, n_words int")
     got = {tuple(r) for r in remove_repeats(df).select("doc_id", "n_removed").collect()}
     assert got == {(None, 0), (3, 25)}
+
+
+def test_equal_hashes_are_not_equal_words(spark):
+    def thue_morse(a, b, n=10):
+        x, y = a, b
+        for _ in range(n):
+            x, y = x + y, y + x
+        return x
+
+    from sleuthgrid.llm.hashing import word_hashes
+
+    one, two = thue_morse("a", "b"), thue_morse("b", "a")
+    h = word_hashes(f"{one} {two} {one}".encode())
+    assert h[0] == h[2] != h[1]
+    start = [f"w{i}" for i in range(19)]
+    df = spark.createDataFrame([(1, " ".join([*start, one])), (2, " ".join([*start, two])), (3, "\n".join([*start, one]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_names_and_long_texts(spark):
+    long = " ".join(f"x{i % 5000}" for i in range(120_000))
+    df = spark.createDataFrame([(1, long, 7, 8, 9), (2, long, 7, 8, 9)], "doc_id long, text string, ID int, tkey int, row int")
+    got = sorted(map(tuple, remove_repeats(df).select("doc_id", "ID", "tkey", "row", "n_words", "n_removed").collect()))
+    assert got == [(1, 7, 8, 9, 120_000, 115_000), (2, 7, 8, 9, 120_000, 120_000)]
+
+
+def test_hot_passage_by_broadcast(spark):
+    from sleuthgrid.llm import common
+
+    left = spark.createDataFrame([(1, i) for i in range(100)] + [(k, 0) for k in range(2, 20)], "k long, v long")
+    right = left.groupBy("k").count()
+    plain = left.join(right, "k")
+    got = common.spread_join(left, right, ["k"], "count", most=5, least=10)
+    assert sorted(map(tuple, got.select("k", "v", "count").collect())) == sorted(map(tuple, plain.select("k", "v", "count").collect()))

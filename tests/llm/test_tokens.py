@@ -7,7 +7,8 @@ import pytest
 
 tokens = pytest.importorskip("public_tokenizers")
 from sleuthgrid.llm.piece_spans import Normalizer, PieceEncoder, encode_pieces  # noqa: E402
-from sleuthgrid.llm.token_output import ShardReader, ShardWriter, from_planes, to_planes, token_files, word_encoder  # noqa: E402
+from sleuthgrid.llm.common import Workspace  # noqa: E402
+from sleuthgrid.llm.token_output import ShardReader, ShardWriter, from_planes, to_planes, read_shards, token_files, word_encoder, write_shards  # noqa: E402
 
 TEXTS = [
     "", " ", "  two  spaces ", "a\nb\n\nc", "\n", "tab\tand\x0bvt \x0c", "It's we'll THEY'RE 'tis O'Neil", "naïve café ÀÉ é İstanbul ΣΑΣ σας",
@@ -30,12 +31,12 @@ def test_planes_and_shards():
         for i, d in enumerate(docs):
             w.add(i * 3 - 5, d)
         w.close()
-        got = list(ShardReader(out.getvalue()).documents())
+        got = list(ShardReader(io.BytesIO(out.getvalue())).documents())
         assert [g[0] for g in got] == [i * 3 - 5 for i in range(7)]
         assert all((a == b[2]).all() and len(a) == len(b[2]) for a, b in zip(docs, got))
         assert [g[1] for g in got] == np.cumsum([0] + [len(d) for d in docs])[:-1].tolist()
         with pytest.raises(ValueError):
-            ShardReader(out.getvalue()[:-1])
+            ShardReader(io.BytesIO(out.getvalue()[:-1]))
 
 
 def test_token_files_round_trip(spark):
@@ -54,6 +55,9 @@ def test_token_files_round_trip(spark):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), x
         start += len(ids)
+    folder, manifest = write_shards(df, Workspace(spark, "small"), path, 2, block_size=8, shard_ids=50)
+    small = {r.doc_id: r for r in read_shards(spark, folder, manifest).collect()}
+    assert manifest.count() > 3 and small == got
     assert token_files(df.limit(0), path).count() == 0
     assert token_files(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string"), path).count() == 3
 
