@@ -45,12 +45,13 @@ class Workspace:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return it as read back."""
+    def write(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Write df once and return it as read back. small: Spark may broadcast sides that it finds under its own threshold."""
         path = f"{self.folder}/{name}"
         was = {c: self.spark.conf.get(c, None) for c in _WRITING}
         for c, value in _WRITING.items():
-            self.spark.conf.set(c, value)
+            if not (small and c.endswith("JoinThreshold")):
+                self.spark.conf.set(c, value)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:

@@ -34,6 +34,8 @@ from .hashing import window_hashes, word_bounds, word_hashes
 SHORT = 6
 #: Stands for a null doc_id: it comes before all others.
 NULL_ID = -(2**63)
+#: All bytes but tabs and line breaks. bytes.split() parts words at these and spaces, as word_bounds does.
+_BUT_BREAKS = bytes(x for x in range(256) if not 0x09 <= x <= 0x0D)
 #: Rows that a task holds before it hands them on.
 ROWS_AT_ONCE = 50_000
 
@@ -56,11 +58,11 @@ def window_fingerprints(words: np.ndarray, window: int, short: int = SHORT) -> t
 def plain_words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words joined by one space, and the start and end of each."""
     starts, ends = word_bounds(text)
-    if len(starts) and (starts[1:] - ends[:-1] == 1).all() and text[int(starts[0]) : int(ends[-1])].count(b" ") == len(starts) - 1:
+    if len(starts) and ends[-1] - starts[0] == (ends - starts).sum() + len(starts) - 1 and not text.translate(None, _BUT_BREAKS):
         return text, starts, ends
     sizes = ends - starts
     after = np.cumsum(sizes + 1) - 1
-    return b" ".join([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), after - sizes, after
+    return b" ".join(text.split()), after - sizes, after
 
 
 def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -123,19 +125,28 @@ def _keep(window: int, with_text: bool):
             found = batch.column("gone")
             n_words, n_removed, sha, kept = [], [], [], []
             for i, text in enumerate(texts(batch, "text")):
-                starts, ends = word_bounds(text)
-                gone = np.zeros(len(starts) + 1, np.int64)
-                if found[i].is_valid and len(found[i]):
-                    first, n = (found[i].values.field(c).to_numpy() for c in ("pos", "n_windows"))
-                    np.add.at(gone, first, 1)
-                    np.add.at(gone, first + n + window - 1, -1)
-                stay = np.cumsum(gone)[:-1] == 0
-                left = b" ".join([text[a:b] for a, b in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)])
+                if not found[i].is_valid or not len(found[i]):
+                    words = text.split()
+                    n_words.append(len(words))
+                    n_removed.append(0)
+                    sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                    if with_text:
+                        kept.append(text.decode())
+                    continue
+                data, starts, ends = plain_words(text)
+                gone = np.zeros(len(starts) + 2, np.int64)
+                first, n = (found[i].values.field(c).to_numpy() for c in ("pos", "n_windows"))
+                np.add.at(gone, first + 1, 1)
+                np.add.at(gone, first + n + window, -1)
+                stay = np.cumsum(gone) == 0  # of each word, between two that don't
+                stay[[0, -1]] = False
+                edge = np.flatnonzero(np.diff(stay))
+                left = b" ".join([data[a:b] for a, b in zip(starts[edge[::2]].tolist(), ends[edge[1::2] - 1].tolist(), strict=True)])
                 n_words.append(len(starts))
                 n_removed.append(int(len(starts) - stay.sum()))
                 sha.append(hashlib.sha256(left).hexdigest())
                 if with_text:
-                    kept.append(text.decode() if stay.all() else left.decode())
+                    kept.append(left.decode())
             arrays = [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
             names = ["row", "n_words", "n_removed", "kept_sha256"]
             if with_text:
@@ -212,7 +223,8 @@ class FingerprintIndex:
         if past is not None:
             firsts = firsts.unionByName(past.join(mixed.hint("merge"), "m", "left_semi").select("id", "tkey", "pos", "n_windows", F.lit(False).alias("is_new")))
         places = firsts.groupBy("id", "tkey").agg(F.collect_set(F.struct("pos", "n_windows")).alias("places"), F.max("is_new").alias("is_new"))
-        windows = so_far.select("id", "tkey", "text").join(places.hint("merge"), ["id", "tkey"]).mapInArrow(_windows(self.window), schema_of("d1 long, d2 long, id long, tkey long, pos int, is_new boolean"))
+        # the places in a task's texts are fewer than their words, so it is those that are hashed, and texts needn't be sorted
+        windows = so_far.select("id", "tkey", "text").join(places.hint("shuffle_hash"), ["id", "tkey"]).mapInArrow(_windows(self.window), schema_of("d1 long, d2 long, id long, tkey long, pos int, is_new boolean"))
         windows = ws.write(windows, f"windows-{k}")
         least = ws.write(windows.groupBy("d1", "d2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), f"least-{k}")
         single = spread_join(windows.filter("is_new"), least, ["d1", "d2"], "n").filter(later).select("id", "tkey", "pos", F.lit(1).alias("n_windows"))
@@ -248,7 +260,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, batches: int = 3, with_tex
         so_far = plain.filter(F.col("id") < cuts[i + 1]) if i + 1 < len(cuts) else plain
         gone = index.add(so_far.filter(F.col("id") >= low), so_far)
         found = gone if found is None else found.unionByName(gone)
-    whole = whole.withColumn("gone", F.lit(None).cast("array<struct<pos:int,n_windows:int>>")) if found is None else whole.join(found.hint("merge"), ["id", "tkey"], "left")
+    whole = whole.withColumn("gone", F.lit(None).cast("array<struct<pos:int,n_windows:int>>")) if found is None else whole.join(found.hint("shuffle_hash"), ["id", "tkey"], "left")
     made = schema_of("n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     schema = T.StructType([whole.schema["row"], *made.fields])
     return whole.select("row", "text", "gone").mapInArrow(_keep(window, with_text), schema).select("row.*", *made.names)
