@@ -9,7 +9,7 @@ SCHEMA = """objects array<struct<type string, id string, name string, revoked bo
   external_references array<struct<source_name string, external_id string>>,
   relationship_type string, source_ref string, target_ref string>>"""
 #: Object types that become nodes, and the edges that are kept.
-KINDS = {"x-mitre-tactic": "Tactic", "attack-pattern": "Technique", "intrusion-set": "Group", "course-of-action": "Mitigation"}
+KINDS = {"x-mitre-tactic": "Tactic", "attack-pattern": "Technique", "intrusion-set": "Group", "course-of-action": "Mitigation", "malware": "Software", "tool": "Software"}
 EDGES = ("subtechnique-of", "uses", "mitigates")
 
 

@@ -54,3 +54,17 @@ def test_pages_and_hosts(spark):
     urls = ["http://Localhost/", "http://10.1.2.3", "http://172.15.0.1/", "http://240.0.0.1/", "http://0x7f.1/", "http://2130706433/", "https://[fe80::1]/", "https://[2001:4860::1]/", "https://redis:1/", "https://a.b/", "ftp://a.b", None]
     assert one(spark, urls, text.safe_url(F.col("v"))) == [False, False, True, False, False, False, False, True, False, True, False, False]
     assert one(spark, ["\t=1", "\n +a", "a=1", " @x", None], text.guard_cell(F.col("v"))) == ["'\t=1", "'\n +a", "a=1", "' @x", None]
+
+
+def test_resolution(spark):
+    from sleuthgrid.operators.resolution import jaro_winkler, resolve
+
+    assert abs(jaro_winkler("dwayne", "duane") - 0.84) < 1e-9 and abs(jaro_winkler("martha", "marhta") - 0.9611) < 1e-3 and jaro_winkler("", "a") == 0
+    known = [("Vladimir Putin", "Person", 0), ("MV Northern Star", "Ship", 1), ("evil.com", "Domain", 2), ("Acme Corporation", "Organization", 3), ("Acme Corporatiom", "Organization", 4), ("Star", "", 5)]
+    existing = spark.createDataFrame(known, "name string, entity_type string, position int")
+    asked = [("Putin", "Person"), ("MV Northern Star strike", "Event"), ("evil.con", "Domain"), ("EVIL.com ", "Domain"), ("acme corporation", "Organization"), ("Acme Corporations", "Organization"), ("Acme Corporations", "Company"), ("Nobody", None)]
+    got = {(r.name, r.entity_type): (r.match, r.rule) for r in resolve(spark.createDataFrame(asked, "name string, entity_type string"), existing, parents={"Company": "Org", "Organization": "Org"}).collect()}
+    assert got == {
+        ("Putin", "Person"): ("Vladimir Putin", "part"), ("MV Northern Star strike", "Event"): (None, None), ("evil.con", "Domain"): (None, None), ("EVIL.com ", "Domain"): ("evil.com", "exact"),
+        ("acme corporation", "Organization"): ("Acme Corporation", "exact"), ("Acme Corporations", "Organization"): ("Acme Corporation", "fuzzy"), ("Acme Corporations", "Company"): ("Acme Corporation", "fuzzy"), ("Nobody", ""): (None, None),
+    }
