@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .steps import cut
@@ -225,8 +225,10 @@ def structural_holes(edges: DataFrame) -> DataFrame:
 
 
 def shared_entity_links(edges: DataFrame, most: int = 10) -> DataFrame:
-    """Pairs of targets that a source is linked to: a, b (a < b), connection_count, and up to most of the shared sources in order."""
+    """Pairs of targets that a source is linked to: a, b (a < b), connection_count, and up to most of the shared sources in order. No more than most are kept of a pair and task."""
     e = edges.select("source_id", "target_id").distinct()
     a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, F.col("a.source_id") == F.col("b.source_id")).filter("a.target_id < b.target_id")
-    return pairs.groupBy(F.col("a.target_id").alias("a"), F.col("b.target_id").alias("b")).agg(F.count(F.lit(1)).alias("connection_count"), F.slice(F.sort_array(F.collect_list("a.source_id")), 1, most).alias("shared"))
+    pairs = a.join(b, F.col("a.source_id") == F.col("b.source_id")).filter("a.target_id < b.target_id").select("a.source_id", F.col("a.target_id").alias("a"), F.col("b.target_id").alias("b"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("source_id"))
+    first = pairs.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy("a", "b").agg(F.array_sort(F.collect_list("source_id")).alias("shared"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("connection_count")).join(first, ["a", "b"])

@@ -72,10 +72,10 @@ def histogram(events: DataFrame, at: str, kind: str, bucket: str = "day") -> Dat
     return events.filter(F.col(at).isNotNull()).groupBy(F.date_format(at, form).alias("bucket"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_state(events: DataFrame, plan: str, at: str, event: str, tie: str, now, stalled: int = 600, final: tuple[str, ...] = ("completed", "failed")) -> DataFrame:
-    """The state of each plan from its last event: a final one as it is, else running, or stalled if it is older than stalled seconds."""
-    last = events.groupBy(plan).agg(F.max(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(event).alias("event"))).alias("last"))
-    age = F.unix_micros(now) - F.unix_micros(F.col("last.at").cast("timestamp"))
+def run_state(events: DataFrame, plan: str, at: str, event: str, tie: str, now: DataFrame, stalled: int = 600, final: tuple[str, ...] = ("completed", "failed")) -> DataFrame:
+    """The state of each plan from its last event: a final one as it is, else running, or stalled if it is older than stalled seconds. now: one row with the time in a column of that name."""
+    last = events.groupBy(plan).agg(F.max(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(event).alias("event"))).alias("last")).crossJoin(F.broadcast(now))
+    age = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last.at").cast("timestamp"))
     return last.select(plan, F.when(F.col("last.event").isin(*final), F.col("last.event")).when(age > stalled * 1_000_000, "stalled").otherwise("running").alias("state"), F.col("last.event").alias("last_event"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import collection as co
 from ..operators import graph as g
 from ..operators import profile as pf
 from ..operators import retrieval as rt
@@ -153,10 +154,11 @@ def a1(spark, d):
 @query("a4_coverage", f"{WITH}, deg AS (SELECT anchor AS id, count(*) AS n FROM und GROUP BY 1) SELECT entity_type, count(*) AS total, count(*) FILTER (n IS NULL) AS isolated, count(*) FILTER (n = 1) AS single_link, array_to_string(list_sort(list(name) FILTER (n IS NULL))[1:10], '; ') AS isolated_names FROM ent LEFT JOIN deg USING (id) GROUP BY 1")
 def a4(spark, d):
     deg = g.degree(relationships(spark, d)).select("id", F.col("degree").alias("n"))
+    e = entities(spark, d).join(deg, "id", "left")
     alone = F.col("n").isNull()
-    names = F.array_join(F.slice(F.sort_array(F.collect_list(F.when(alone, F.col("name")))), 1, 10), "; ")
-    out = entities(spark, d).join(deg, "id", "left").groupBy("entity_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(alone).alias("isolated"), F.count_if(F.col("n") == 1).alias("single_link"), names.alias("isolated_names"))
-    return out.withColumn("isolated_names", F.when(F.col("isolated") > 0, F.col("isolated_names")))
+    first = co.latest(e.filter(alone), ["entity_type"], [F.col("name"), F.col("id")], 10).groupBy("entity_type").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("isolated_names"))
+    out = e.groupBy("entity_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(alone).alias("isolated"), F.count_if(F.col("n") == 1).alias("single_link"))
+    return out.join(first, "entity_type", "left")
 
 
 _CLAIMS = """r AS (SELECT l_suppkey AS s, l_partkey AS t, round(1 - l_discount * 5, 2) AS c, CASE WHEN l_orderkey % 7 <> 0 THEN CAST(l_orderkey AS VARCHAR) END AS doc, CASE WHEN l_returnflag = 'R' THEN 'denies' ELSE 'asserts' END AS pol,
@@ -249,11 +251,7 @@ _NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 @query("a17_run_state", "WITH m AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS e, max(ts) AS seen FROM events GROUP BY 1) SELECT user_id, CASE WHEN e IN ('purchase') THEN e WHEN m.now - seen > INTERVAL 600 SECOND THEN 'stalled' ELSE 'running' END AS state, e AS last_event FROM l, m")
 def a17(spark, d):
     e = table(spark, d, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    joined = e.crossJoin(F.broadcast(now))
-    last = joined.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("l"), F.max("now").alias("now"))
-    old = F.col("now") - F.col("l.ts") > F.expr("INTERVAL 600 SECOND")
-    return last.select("user_id", F.when(F.col("l.event_type") == "purchase", "purchase").when(old, "stalled").otherwise("running").alias("state"), F.col("l.event_type").alias("last_event"))
+    return pf.run_state(e, "user_id", "ts", "event_type", "event_id", e.agg(F.max("ts").alias("now")), final=("purchase",))
 
 
 @query("a18_current_run", "WITH n AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM events) SELECT event_id, user_id, CAST(run AS BIGINT) AS run FROM n QUALIFY run = max(run) OVER (PARTITION BY user_id)")
