@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chunks as ch
+from ..functions import coordinates as geo
 from ..functions import indicators as ind
 from ..functions import quality as ql
 from ..functions import text as tx
+from ..operators import evaluation as ev
 from .catalog import query
 from .model import table
 
@@ -147,3 +149,29 @@ _SEEN = """concat(text, ' CVE-2024-', 1000 + doc_id % 50, ' CVE-2024-', 1000 + d
 def f13(spark, d):
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.expr(_SEEN).alias("text"))
     return ind.indicators(docs, "doc_id").filter(F.col("entity_type").isin("Vulnerability", "TTP", "EquipmentType", "Date", "IPAddress"))
+
+
+_PLACED = "concat(lang, ' at ', doc_id % 120, '.5N, ', doc_id % 200, '.25°W and 34°0', doc_id % 10, '′12″S 118°15′30″E; again ', doc_id % 120, '.5N, ', doc_id % 200, '.25°W.')"
+
+
+@query(
+    "d8_coordinates",
+    rf"""WITH t AS (SELECT doc_id, {_PLACED} AS t FROM documents), r AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '{geo.DECIMAL}')) AS raw FROM t),
+    c AS (SELECT doc_id, CAST(regexp_extract(raw, '{geo.DECIMAL}', 1) AS DOUBLE) AS lat, -CAST(regexp_extract(raw, '{geo.DECIMAL}', 3) AS DOUBLE) AS lng, 'decimal' AS format FROM r)
+    SELECT doc_id, lat, lng, format FROM c WHERE lat <= 90 AND lng >= -180 UNION ALL SELECT doc_id, round(-(34 + (doc_id % 10) / 60 + 12 / 3600), 9), round(118 + 15 / 60 + 30 / 3600, 9), 'dms' FROM t""",
+)
+def d8(spark, d):
+    found = table(spark, d, "documents").select("doc_id", F.explode(geo.coordinates(F.expr(_PLACED))).alias("c"))
+    return found.select("doc_id", F.round("c.lat", 9).alias("lat"), F.round("c.lng", 9).alias("lng"), "c.format")
+
+
+@query(
+    "a28_scores",
+    """WITH p AS (SELECT DISTINCT doc_id, lang FROM documents WHERE contains(lower(text), 'un')), e AS (SELECT DISTINCT d.doc_id, lang FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality = 1),
+    j AS (SELECT coalesce(p.lang, e.lang) AS lang, count(*) FILTER (p.doc_id = e.doc_id) AS tp, count(*) FILTER (e.doc_id IS NULL) AS fp, count(*) FILTER (p.doc_id IS NULL) AS fn FROM p FULL JOIN e ON p.doc_id = e.doc_id AND p.lang = e.lang GROUP BY 1)
+    SELECT lang, tp AS true_positives, fp AS false_positives, fn AS false_negatives, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1 FROM j""",
+)
+def a28(spark, d):
+    docs = table(spark, d, "documents")
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
+    return ev.scores(docs.filter(F.contains(F.lower("text"), F.lit("un"))), docs.join(good, "doc_id"), ["doc_id"], "lang")
