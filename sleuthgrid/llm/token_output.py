@@ -140,6 +140,10 @@ class ShardReader:
             at += n
 
 
+#: White space to str.split() but not to the tokenizer file.
+CONTROL = "\x1c\x1d\x1e\x1f"
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter that byte-level vocabularies write for each byte: its own if that is printed, else one of those from 256 on; a space stays."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -147,7 +151,7 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(others)} | {0x20: 0x20}
 
 
-def word_encoder(path: str, end_id: int, most: int = 300_000) -> Callable[[list[str]], Iterator[np.ndarray]]:
+def word_encoder(path: str, end_id: int, most: int = 1_000_000) -> Callable[[list[str]], Iterator[np.ndarray]]:
     """Encodes texts with a tokenizers file whose tokens never cross white space: each run between is encoded once.
 
     New runs of Latin letters, which normalisation only turns into lower case,
@@ -179,7 +183,6 @@ def word_encoder(path: str, end_id: int, most: int = 300_000) -> Callable[[list[
     if suffix:
         ends[[k for t, k in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
     odd = regex.compile("[^\x00-\u024f]|[\x1c-\x1f\x85\u0130]|<\\|")
-    control = regex.compile("[\x1c-\x1f]")
     known: dict[str, bytes] = {}
     white = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
     end = struct.pack("<I", end_id)
@@ -223,15 +226,15 @@ def word_encoder(path: str, end_id: int, most: int = 300_000) -> Callable[[list[
             part, size = [], 0
             while done + len(part) < len(batch) and size < 1_000_000:
                 text = batch[done + len(part)]
-                part.append(text.translate(white).split(" ") if control.search(text) else text.split())
+                part.append(text.translate(white).split(" ") if any(c in text for c in CONTROL) else text.split())
                 size += len(text)
             if len(known) > most:
                 known.clear()
-            new = list({run for runs in part for run in runs if run not in known})
+            new = list(set().union(*part).difference(known))
             if new:
                 learn(new)
             for runs in part:
-                yield np.frombuffer(b"".join([known[r] for r in runs]) + end, "<u4")
+                yield np.frombuffer(b"".join(map(known.__getitem__, runs)) + end, "<u4")
             done += len(part)
 
     return encode
