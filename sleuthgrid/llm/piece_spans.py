@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_of, texts
+from .common import released, schema_of, texts
 
 SPACE = "▁"
 #: Kinds of piece in the model file (fixed values of its format).
@@ -175,7 +175,7 @@ class PieceEncoder:
         return np.frombuffer(b"".join([b for b, _ in found]) + struct.pack("<i", self.end), "<i4"), joined
 
     def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Start and end byte in the source of each id but the end id."""
+        """Start and end byte in the source of each id but the end id; where pieces and alignment don't fit each other, those of the library's surfaces."""
         data = text.encode()
         norm, places = self.normalizer.normalize(data)
         own = ids[:-1]
@@ -184,7 +184,8 @@ class PieceEncoder:
             lengths = np.array([len(p.piece.encode()) if p.id not in self.unknown else len(p.surface.encode()) for p in self.sp.encode(text, out_type="immutable_proto").pieces])
         edges = np.concatenate([[0], np.cumsum(lengths)])
         if edges[-1] != len(norm):
-            raise ValueError("pieces don't cover the normalised text")
+            ends = np.cumsum([len(p.surface.encode()) for p in self.sp.encode(text, out_type="immutable_proto").pieces], dtype=np.int64)
+            return np.stack([np.append(0, ends[:-1]), ends], axis=1)
         return np.stack([places[edges[:-1]], places[edges[1:]]], axis=1) if len(own) else np.empty((0, 2), np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -216,13 +217,13 @@ def _rows(path: str, others: list[str], full: bool):
                 names += ["ids", "spans"]
             yield pa.record_batch(arrays, names=[*others, *names])
 
-    return run
+    return released(run)
 
 
 def encode_pieces(docs: DataFrame, model_path: str, full: bool = False) -> DataFrame:
     """Encode and decode every text: the columns of docs without text, then n_tokens, ids_sha256, decoded_sha256, span_bytes, n_bytes, spans_sha256 and, if full, ids and spans (start and end of each piece in turn).
 
-    A null text is empty: the end id alone, no spans. span_bytes equals n_bytes
+    A null text is empty: the end id alone, no spans; a long text is encoded whole; rows repeat as they are. span_bytes equals n_bytes
     wherever the normaliser drops nothing. Columns that clash with added ones
     are replaced; an empty table gives no rows.
     """

@@ -62,8 +62,10 @@ def likeness(a: Column, b: Column) -> Column:
     return 1.0 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def hamming_search(queries: DataFrame, base: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """For each distinct ``fp`` of queries, how many rows of base have a fingerprint within radius: fp, n_within.
+def hamming_pairs(queries: DataFrame, base: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """For each distinct ``fp`` of queries, the distinct fingerprints of base within radius, and how many rows of base have each: q_fp, fp, n.
+
+    A join with base on fp gives the rows themselves.
 
     The bits are cut into blocks; of any two fingerprints within radius, at
     least ``blocks - radius`` blocks agree. So for each choice of that many
@@ -99,8 +101,12 @@ def hamming_search(queries: DataFrame, base: DataFrame, radius: int = 3, blocks:
         chosen = F.element_at(F.array(*[F.lit(i in c) for c in choices]), F.col("table") + 1)
         first = first & (chosen == (agree[i] & (rank < blocks - radius)))
         rank = rank + agree[i].cast("int")
-    joined = q.join(b.withColumnRenamed("table", "b_table").withColumnRenamed("block", "b_block"), (F.col("table") == F.col("b_table")) & (F.col("block") == F.col("b_block")) & (F.bit_count(differ) <= radius) & first)
-    return joined.groupBy(F.col("q_fp").alias("fp")).agg(F.sum("n").alias("n_within"))
+    return q.join(b.withColumnRenamed("table", "b_table").withColumnRenamed("block", "b_block"), (F.col("table") == F.col("b_table")) & (F.col("block") == F.col("b_block")) & (F.bit_count(differ) <= radius) & first).select("q_fp", "fp", "n")
+
+
+def hamming_search(queries: DataFrame, base: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """For each distinct ``fp`` of queries, how many rows of base have a fingerprint within radius: fp, n_within."""
+    return hamming_pairs(queries, base, radius, blocks).groupBy(F.col("q_fp").alias("fp")).agg(F.sum("n").alias("n_within"))
 
 
 def edited_fingerprints(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
