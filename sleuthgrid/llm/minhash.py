@@ -184,12 +184,14 @@ def verify(ws: Workspace, pairs: DataFrame, reps: DataFrame, name: str, counts:
     share, each of which gets a's text once, so a leader of many isn't in one task.
     """
     own = reps.select("id", "text")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
-    leaders = own.join(parts.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    with_b = dealt.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(leaders.drop("parts"), ["a", "part"])
-    return ws.write(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_likeness(counts), schema_of("a long, b long, likeness double")), name)
+    parts = ws.write(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / share).cast("int")), f"{name}-parts", small=True)
+    leaders = own.hint("merge").join(parts.select(F.col("a").alias("id"), "parts"), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = spread_join(pairs, parts, ["a"], "n").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    with_b = dealt.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    with_both = with_b.join(leaders.drop("parts").hint("merge"), ["a", "part"])
+    out = ws.write(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_likeness(counts), schema_of("a long, b long, likeness double")), name, small=True)
+    ws.drop(f"{name}-parts")
+    return out
 
 
 def _id(doc_id: Column) -> Column:
@@ -235,19 +237,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     every = ws.write(keyed.mapInArrow(_bands(bands, rows, counts), schema_of("doc_id long, id long, sha binary, bands array<long>")), "every")
     # a text's class has its own number: documents of one id may differ in text
     classes = every.groupBy("sha").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
-    classes = ws.write(classes.withColumn("key", F.xxhash64("sha", "id")), "classes")
-    members = ws.write(spread_join(every.select("doc_id", "sha"), classes.select("sha", F.col("id").alias("class_id"), "key", "n"), ["sha"], "n").select("doc_id", "class_id", "key"), "members")
+    classes = ws.write(classes.withColumn("key", F.xxhash64("sha", "id")), "classes", small=True)
+    members = ws.write(spread_join(every.select("doc_id", "sha"), classes.select("sha", F.col("id").alias("class_id"), "key", "n"), ["sha"], "n").select("doc_id", "class_id", "key"), "members", small=True)
     ws.drop("every")
     in_bands = classes.select(F.col("key").alias("id"), F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = ws.write(in_bands.join(shared, "band"), "buckets")
+    buckets = ws.write(in_bands.join(shared, "band"), "buckets", small=True)
     # the text that shares most bands with others is likest to all: the source of copies leads its buckets
-    fame = ws.write(buckets.groupBy("id").agg(F.sum("size").alias("fame")), "fame")
+    fame = ws.write(buckets.groupBy("id").agg(F.sum("size").alias("fame")), "fame", small=True)
     buckets = buckets.drop("size")
-    reps = keyed.select(F.xxhash64("sha", "id").alias("id"), "text").join(fame.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    reps = keyed.select(F.xxhash64("sha", "id").alias("id"), "text").join(fame.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     reps = ws.write(reps, "texts")
     edges, seen, drop = None, None, []
-    comp = ws.write(fame.select("id", F.col("id").alias("comp")), "comp-start")
+    comp = ws.write(fame.select("id", F.col("id").alias("comp")), "comp-start", small=True)
     for number in range(rounds):
         now = buckets.join(comp.join(fame, "id"), "id")
         first = now.groupBy("band").agg(F.max(F.struct("fame", "id", "comp")).alias("leader"))
@@ -259,7 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         pairs = pairs.groupBy("x", "y").agg(F.max("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "x", "y")
         if seen is not None:
             pairs = pairs.join(seen, ["x", "y"], "left_anti")
-        done = verify(ws, ws.write(pairs, f"pairs-{number}"), reps, f"likeness-{number}", counts)
+        done = verify(ws, ws.write(pairs, f"pairs-{number}", small=True), reps, f"likeness-{number}", counts)
         tried = done.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "likeness")
         linked = tried.filter(F.col("likeness") >= threshold).drop("likeness")
         edges = linked if edges is None else edges.unionByName(linked)
@@ -270,22 +272,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # what is still apart in a band: all pairs of different groups, of which only those with close finer sketches leave the join
     now = buckets.join(comp, "id")
     mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2")
-    apart = ws.write(now.join(mixed.select("band", F.ceil(F.col("size") / 500).cast("int").alias("parts")), "band"), "apart")
+    apart = ws.write(now.join(mixed.select("band", F.ceil(F.col("size") / 500).cast("int").alias("parts")), "band"), "apart", small=True)
     fine = reps.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_fine(counts), schema_of("id long, " + ", ".join(f"{c} long" for c in BITS)))
-    left = apart.join(ws.write(fine, "fine"), "id")
+    left = apart.join(ws.write(fine, "fine"), "id").join(classes.select(F.col("key").alias("id"), "bands"), "id")
     mean = (1 - threshold) * 3 / 4 * FINE
     most = math.ceil(mean + 4.5 * math.sqrt(mean * (1 - mean / FINE)))
     # a large band is dealt into parts by one side of the pairs
     a = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
     b = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    once = F.col("a.band") == F.array_min(F.array_intersect("a.bands", "b.bands"))  # of the bands that two texts share, one yields the pair
     half = len(BITS) // 2
     differ = lambda i, j: F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}")).bitwiseOR(F.col(f"a.b{j}").bitwiseXOR(F.col(f"b.b{j}"))))
     close = sum((differ(i, i + half) for i in range(1, half)), differ(0, half)) <= most
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & close)
-    pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & close & once)
+    pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
     if seen is not None:
         pairs = pairs.join(seen, ["x", "y"], "left_anti")
-    pairs = ws.write(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs-rest")
+    pairs = ws.write(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs-rest", small=True)
     ws.drop("apart", "fine", "buckets")
     done = verify(ws, pairs, reps, "likeness-rest", counts)
     linked = done.filter(F.col("likeness") >= threshold).select(F.col("a").alias("x"), F.col("b").alias("y"))
@@ -294,13 +297,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     links = edges.select(F.explode(F.array("x", "y")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_joining_links"))
     least = classes.select("key", F.col("id").alias("class_id"), "sha").join(comp.select(F.col("id").alias("key"), "comp"), "key")
     lead = least.groupBy("comp").agg(F.min(F.struct("class_id", "sha", "key")).alias("lead"), F.count(F.lit(1)).alias("n"))
-    named = spread_join(ws.write(least.select("key", "comp"), "least"), ws.write(lead, "lead"), ["comp"], "n").select("key", F.col("lead.class_id").alias("group_id"), F.col("lead.key").alias("group_key"))
+    named = spread_join(ws.write(least.select("key", "comp"), "least", small=True), ws.write(lead, "lead", small=True), ["comp"], "n").select("key", F.col("lead.class_id").alias("group_id"), F.col("lead.key").alias("group_key"))
     # a class that shares no band is a group of its own
-    named = ws.write(classes.select("key", F.col("id").alias("class_id"), "n").join(named.join(links, "key", "left"), "key", "left").select("key", "n", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group_key", "key").alias("group_key"), F.coalesce("n_joining_links", F.lit(0)).cast("long").alias("n_joining_links")), "groups")
+    named = ws.write(classes.select("key", F.col("id").alias("class_id"), "n").join(named.join(links, "key", "left"), "key", "left").select("key", "n", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group_key", "key").alias("group_key"), F.coalesce("n_joining_links", F.lit(0)).cast("long").alias("n_joining_links")), "groups", small=True)
     ws.drop("texts", "classes", "fame", "comp-start", *drop, "comp-last", "least", "lead", "pairs-rest", "likeness-rest", *[f"likeness-{i}" for i in range(rounds)], *[f"round-{i}-cc" for i in range(rounds)], "last-cc")
     null = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c)).alias(c)
     return spread_join(members, named, ["key"], "n").select("doc_id", null("class_id"), null("group_id"), "group_key", "n_joining_links")
 
 
 def _labels(ws: Workspace, comp: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    return ws.write(comp.select("id").join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), name)
+    return ws.write(comp.select("id").join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), name, small=True)
