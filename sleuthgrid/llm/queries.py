@@ -78,6 +78,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    from .prefix_trie import query
+
+    return query(read_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,10 +92,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op4_benchmark_passages": op4_benchmark_passages, "op5_revisits": op5_revisits, "op6_pieces": op6_pieces, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash, "op10_html_text": op10_html_text, "pipeline": pipeline}
+    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op4_benchmark_passages": op4_benchmark_passages, "op5_revisits": op5_revisits, "op6_pieces": op6_pieces, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash, "op10_html_text": op10_html_text, "op11_prefix_trie": op11_prefix_trie, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import warc_revisit
+    from . import prefix_trie, warc_revisit
 
-    return {"op5_revisits": warc_revisit.SQL}
+    return {"op5_revisits": warc_revisit.SQL, "op11_prefix_trie": prefix_trie.SQL}
