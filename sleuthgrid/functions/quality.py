@@ -48,7 +48,7 @@ def rejection_reason(url: Column, content: Column, title: Column, few: int = FEW
 def web_chrome(name: Column, kind: Column) -> Column:
     """A URL or domain that is a page's furniture: a social host, an asset host or an asset file."""
     host = host_of(name)
-    social = host.rlike("(^|\.)(" + "|".join(map(re.escape, SOCIAL)) + ")$")
+    social = host.rlike(r"(^|\.)(" + "|".join(map(re.escape, SOCIAL)) + ")$")
     path = F.regexp_extract(F.lower(strip_space(name)), "^[^?#]*", 0)
     return F.coalesce(kind.isin("URL", "Domain") & (host != "") & (social | host.rlike(ASSET_HOST) | path.rlike(ASSET_FILE)), F.lit(False))
 
