@@ -85,6 +85,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, and its place in the sequences."""
+    from .packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of sources of a language, and the terms that set each source apart."""
     from .divergence import query
@@ -99,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op4_benchmark_passages": op4_benchmark_passages, "op5_revisits": op5_revisits, "op6_pieces": op6_pieces, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash, "op10_html_text": op10_html_text, "op11_prefix_trie": op11_prefix_trie, "op13_source_divergence": op13_source_divergence, "pipeline": pipeline}
+    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_token_files": op3_token_files, "op4_benchmark_passages": op4_benchmark_passages, "op5_revisits": op5_revisits, "op6_pieces": op6_pieces, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_simhash": op9_simhash, "op10_html_text": op10_html_text, "op11_prefix_trie": op11_prefix_trie, "op12_packing": op12_packing, "op13_source_divergence": op13_source_divergence, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
