@@ -147,6 +147,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> tuple[DataFrame
     sums = loose.groupBy("lang", "source").agg(F.sum(F.col("m") * F.col("n")).alias("total"), F.count(F.lit(1)).alias("entries"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1
     info = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0).withColumn("idx", place)
+    info = info.withColumn("last", F.floor((F.count(F.lit(1)).over(Window.partitionBy("lang")) - 1) / TILE))
     info = ws.write(info, "groups")
     entries = ws.write(spread_join(loose, info.withColumnRenamed("total", "sum").withColumnRenamed("entries", "of"), ["lang", "source"], "of").drop("source", "of"), "entries")
     ws.drop("loose")
@@ -155,11 +156,10 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> tuple[DataFrame
 
 def _pair_values(ws: Workspace, entries: DataFrame, info: DataFrame, vectors: DataFrame) -> DataFrame:
     blocks = max(1, -(-vectors.count() // VECTORS))
-    tiles = info.groupBy("lang").agg(F.floor(F.max("idx") / TILE).alias("last"))
     mine = F.floor(F.col("idx") / TILE)
-    paired = lambda df: df.join(tiles, "lang").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumn("i", F.least(mine, "u")).withColumn("j", F.greatest(mine, "u")).drop("last", "u")
-    left = paired(entries.select("lang", "vec_no", "m", "idx", "n")).withColumn("block", F.pmod(F.hash("vec_no"), F.lit(blocks)))
-    right = paired(info.select("lang", "idx", "total", "terms")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    paired = lambda df: df.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumn("i", F.least(mine, "u")).withColumn("j", F.greatest(mine, "u")).drop("last", "u")
+    left = paired(entries.select("lang", "vec_no", "m", "idx", "n", "last")).withColumn("block", F.pmod(F.hash("vec_no"), F.lit(blocks)))
+    right = paired(info.select("lang", "idx", "total", "terms", "last")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["lang", "i", "j", "block"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_pairs, schema_of("lang string, a long, b long, value long, covered long"))
     sums = ws.write(parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("covered").alias("covered")), "pairs")
