@@ -59,31 +59,45 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     """Fewest edits, start and end of item within text on diagonals low to high; None if over most.
 
     Row by row over the item; a cell holds the edits and the start of the best
-    path to it. Insertions along a row are a running minimum.
+    path to it. Insertions along a row are a running minimum. The text is
+    padded once, so that a row looks at one stretch of it.
     """
-    width = high - low + 1
+    width, n = high - low + 1, len(text)
     step = np.arange(width)
+    big = len(item) + n + 1
+    bits = (4 * width).bit_length()
+    place = step - (step << bits)  # turns costs a into sortable a - step, then step
     at = low + step
-    big = len(item) + len(text) + 1
-    cost = np.where((at >= 0) & (at <= len(text)), 0, big)
-    start = at.copy()
-    for i in range(len(item)):
-        at = low + i + 1 + step  # end in the text after i + 1 items
-        inside = (at >= 1) & (at <= len(text))
-        same = np.zeros(width, bool)
-        same[inside] = text[at[inside] - 1] == item[i]
-        a = np.where(inside, cost + ~same, big)
-        down = np.append(cost[1:] + 1, big)
-        down[(at < 0) | (at > len(text))] = big
-        s = np.where(down < a, np.append(start[1:], 0), start)
-        a = np.minimum(a, down)
-        key = (a - step) * width * 4 + step
-        run = np.minimum.accumulate(key)
-        src = run % (width * 4)
-        cost = a[src] + (step - src)
-        start = s[src]
+    cost = np.where((at >= 0) & (at <= n), 0, big)
+    start = at
+    first, last = low, low + len(item) + width  # places of the text that any row looks at
+    padded = np.full(last - first, 0xFFFFFFFF, np.uint32)
+    a0, a1 = max(first, 0), min(last, n)
+    if a0 < a1:
+        padded[a0 - first : a1 - first] = text[a0:a1]
+    down, shifted = np.empty(width, np.int64), np.zeros(width, np.int64)
+    for i, point in enumerate(item.tolist()):
+        left = -(low + i)  # the first cell whose end in the text is 1
+        right = n - low - i  # the first cell whose end is over the text's
+        a = cost + (padded[i : i + width] != point)
+        np.add(cost[1:], 1, out=down[:-1])
+        shifted[:-1] = start[1:]
+        down[-1] = big
+        if left > 0:
+            a[:left] = big
+            down[: left - 1] = big
+        if right < width:
+            a[max(right, 0) :] = big
+            down[max(right, 0) :] = big
+        s = np.where(down < a, shifted, start)
+        np.minimum(a, down, out=a)
+        src = np.minimum.accumulate((a << bits) + place) & ((1 << bits) - 1)
+        cost = a[src]
+        cost += step
+        cost -= src
         if cost.min() > most:
             return None
+        start = s[src]
     best = int(cost.argmin())
     return (int(cost[best]), int(start[best]), int(low + len(item) + best)) if cost[best] <= most else None
 
