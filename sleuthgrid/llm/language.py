@@ -31,6 +31,14 @@ LONGEST = 40
 FACTOR = 1e3
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case. Fractions, raised and Roman numbers and the like, which a word pattern takes for letters, aren't."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return " ".join([w if w.isalpha() else "".join([c if c.isalpha() else " " for c in w]) for w in found]).split()
+
+
 def vocabulary(model_path: str) -> dict[str, int]:
     """Pieces of letters in lower case, with a number for each."""
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -165,7 +173,7 @@ def _count(batches):
         lang = batch.column("lang").to_pylist()
         out: dict[tuple[str, str], int] = {}
         for i, text in enumerate(texts(batch, "text")):
-            for w in LETTERS.findall(text.decode().lower()):
+            for w in words_of(text.decode()):
                 out[lang[i], w] = out.get((lang[i], w), 0) + 1
         if out:
             yield pa.record_batch([pa.array([k[0] for k in out]), pa.array([k[1] for k in out]), pa.array(list(out.values()), pa.int64())], names=["lang", "word", "n"])
@@ -215,7 +223,7 @@ def _predict(model: LanguageModel, most: int = 200_000, run_length: int = 200_00
             waiting: list[tuple[int, np.ndarray]] = []
             n_waiting = 0
             for at, text in enumerate(texts(batch, "text")):
-                words = LETTERS.findall(text.decode().lower()) if model.languages else []
+                words = words_of(text.decode()) if model.languages else []
                 for w in set(words):
                     if w not in known:
                         known[w] = len(known)

@@ -145,3 +145,10 @@ def test_language_held_out(spark):
     empty = language.predict(df, language.fit(df.limit(0), tokens.path("piece_bpe_32k.model")))
     assert {r.lang_pred for r in empty.collect()} == {"und"}
     assert math.isclose(max(r.score for r in got.values()), 1, abs_tol=0.1)
+
+
+def test_signs_are_no_letters():
+    from sleuthgrid.llm.language import words_of
+
+    assert words_of("½ 12 ² ① Ⅷ _ 3") == []
+    assert words_of("Aé½b x² Ⅷth ßÜ 漢字1") == ["aé", "b", "x", "th", "ßü", "漢字"]
