@@ -41,7 +41,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose semantics annotation".split())
 #: Elements that an opening tag of the same list closes, up to the parent named.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
-KINDS = {k: kind for kind, names in {"article": "article main", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "para": "p blockquote pre figure figcaption address", "list": "ul ol dl menu", "item": "li dt dd", "table": "table tbody thead tfoot tr td th caption", "nav": "nav", "head": "header", "foot": "footer", "side": "aside dialog", "form": "form fieldset button input", "body": "body html"}.items() for k in names.split()}
+KINDS = {k: kind for kind, names in {"article": "article main", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "para": "p blockquote pre figure figcaption address", "list": "ul ol dl menu", "item": "li dt dd", "table": "table tbody thead tfoot caption", "row": "tr", "cell": "td th", "nav": "nav", "head": "header", "foot": "footer", "side": "aside dialog", "form": "form fieldset button input", "body": "body html"}.items() for k in names.split()}
+#: Attributes of elements that aren't shown.
+UNSEEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)(?!\s*=\s*["']?until-found)|\bstyle\s*=\s*(?:"[^"]*\bdisplay\s*:\s*none|'[^']*\bdisplay\s*:\s*none|display:none)""", re.I)
+#: Elements that the next block ends if they aren't closed.
+OPEN_ENDED = frozenset("p li dt dd tr td th".split())
 FAMILIES = {
     "good": "article content post entry story main body text page prose",
     "menu": "nav menu breadcrumb breadcrumbs navbar navigation toc pagination pager tabs links",
@@ -50,7 +54,7 @@ FAMILIES = {
     "side": "sidebar aside widget related recommended trending popular more rail promo",
     "note": "cookie cookies consent notice alert popup modal newsletter subscribe overlay gdpr",
     "ad": "ad ads advert advertisement sponsor sponsored dfp adsense banner",
-    "talk": "comment comments reply replies discussion disqus respond thread",
+    "talk": "comment comments reply replies discussion disqus respond response responses thread remark remarks feedback opinions guestbook",
     "share": "share sharing social tags meta byline author",
     "form": "form search login signup",
 }
@@ -116,14 +120,17 @@ def parse(page: str) -> list[Node]:
     held: list[str] = []
     links = in_link = 0
     hidden: list[str] = []
-    left = {tag: page.lower().count(f"</{tag}") for tag in HIDDEN if f"<{tag}" in page or f"<{tag.upper()}" in page}
+    lower = page.lower()
+    left = {tag: lower.count(f"</{tag}") for tag in HIDDEN if f"<{tag}" in lower}
+    ends: dict[str, int] = {}  # of elements that an attribute hides: how often their tag is closed in the page
+    closed: Counter[str] = Counter()
     in_head = False
 
     def flush() -> None:
         nonlocal links
         if held:
             if text := " ".join("".join(held).split()):
-                nodes.append(Node("text", frozenset(), stack[-1][1], text, min(links, len(text))))
+                nodes.append(Node("text", frozenset((nodes[stack[-1][1]].kind,)), stack[-1][1], text, min(links, len(text))))
             held.clear()
         links = 0
 
@@ -143,6 +150,30 @@ def parse(page: str) -> list[Node]:
                     links += len(piece.strip())
         if not tag:
             break
+        if closing:
+            closed[tag] += 1
+        if hidden and hidden[-1] not in HIDDEN:
+            # inside an element that an attribute hides: up to its end, or if that may be left out the next block
+            if tag == hidden[-1]:
+                if closing:
+                    hidden.pop()
+                    continue
+                if tag not in OPEN_ENDED:
+                    hidden.append(tag)
+                    continue
+                hidden.pop()
+            elif hidden[-1] in OPEN_ENDED and tag not in INLINE and (closing or hidden[-1] == "p"):
+                hidden.pop()
+            else:
+                continue
+        if not closing and not hidden and attributes and tag not in HIDDEN and tag not in VOID and tag not in RAW and UNSEEN.search(attributes):
+            if tag not in ends:
+                ends[tag] = lower.count(f"</{tag}")
+            if ends[tag] > closed[tag] and tag not in ("html", "body", "head"):
+                if tag not in INLINE:
+                    flush()
+                hidden.append(tag)
+                continue
         if tag in HIDDEN:
             # an element that is never closed hides nothing
             if closing:
@@ -201,7 +232,7 @@ def parse(page: str) -> list[Node]:
 
 
 def edge(node: Node) -> str:
-    """The kind of child that chooses a pair's potential."""
+    """The kind of child that chooses a pair's potential. (The name of a text is the kind of its parent.)"""
     return node.kind if node.kind == "text" else f"{node.kind}.{min(node.names, default='')}"
 
 
@@ -210,14 +241,19 @@ def own_features(node: Node) -> list[str]:
         return [f"k:{node.kind}", *[f"n:{x}" for x in node.names]]
     n = len(node.text)
     ends = node.text[-1] in ".!?…:;\"'”»)"
-    return [f"size:{min(6, n.bit_length() // 2)}", f"link:{min(4, 4 * node.links // max(1, n))}", f"end:{ends}", f"stops:{min(3, sum(node.text.count(c) for c in '.,!?'))}", f"mark:{any(c in node.text for c in '©®')}"]
+    return [f"size:{min(6, n.bit_length() // 2)}", f"link:{min(4, 4 * node.links // max(1, n))}", f"end:{ends}", f"stops:{min(3, sum(node.text.count(c) for c in '.,!?'))}", f"mark:{n < 200 and any(c in node.text for c in '©®')}", *[f"in:{x}.{min(4, 4 * node.links // max(1, n))}" for x in node.names]]
+
+
+def trust(node: Node) -> float:
+    """How much a text says for itself: a few words (a cell, a name) say little, and follow what they are in."""
+    return min(1.0, 0.3 + len(node.text) / 100)
 
 
 class TreeModel:
     """Log-odds of nodes by feature, and log-potentials of pairs by kind of child."""
 
-    def __init__(self, weights: dict[str, float], pairs: dict[str, list[float]], root: float, offset: float):
-        self.weights, self.pairs, self.root, self.offset = weights, pairs, root, offset
+    def __init__(self, weights: dict[str, float], pairs: dict[str, list[float]], root: float, offset: float, prior: float = 0.0):
+        self.weights, self.pairs, self.root, self.offset, self.prior = weights, pairs, root, offset, prior
         self.neutral = pairs["text"]
 
     def pair(self, node: Node) -> list[float]:
@@ -225,7 +261,10 @@ class TreeModel:
         return self.pairs.get(edge(node)) or self.pairs.get(f"{node.kind}.") or self.neutral
 
     def odds(self, node: Node) -> float:
-        x = sum(self.weights.get(f, 0.0) for f in own_features(node)) + (self.offset if node.kind == "text" else 0.0)
+        if node.kind != "text":  # its kind and first name are in its pair's potential
+            x = sum(self.weights.get(f"n:{name}", 0.0) for name in sorted(node.names)[1:])
+        else:
+            x = trust(node) * (sum(self.weights.get(f, 0.0) for f in own_features(node)) + self.offset) - self.prior
         return math.exp(max(-6.0, min(6.0, x)))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
@@ -271,6 +310,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         return (" ".join(s) + ("." if rng.random() < 0.9 else "")).capitalize()
 
     def para() -> str:
+        if rng.random() < 0.06:  # a sign that footers have too
+            return f"{sentence(2, 6)} © {few(1, 4)}, {sentence(2, 12)}"
         if rng.random() < 0.1:  # rows of a table or a list of words as text
             return rng.choice((" | ", ", ", " ")).join(word() for _ in range(rng.randrange(2, 60)))
         return " ".join(sentence() for _ in range(rng.choice((1, 1, 1, 2, 3, 6))))
@@ -299,14 +340,31 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     out: list[str] = []
     title = sentence(2, 10)
     if rng.random() < 0.9:
-        out.append(f"<h1>{title}</h1>")
-        truth.append(title)
+        lead = sentence(5, 20) if rng.random() < 0.5 else ""
+        out.append(rng.choice((f"<header><h1>{title}</h1>{f'<p>{lead}</p>' if lead else ''}</header>", *[f"<h1>{title}</h1>"] * 5)))
+        truth += [title, lead] if lead and out[-1].startswith("<header") else [title]
     for _ in range(rng.randrange(1, 12)):
         kind = rng.random()
         text = para()
         truth.append(text)
         if kind < 0.7:
             out.append(rng.choice(("<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<p><b>{}<br><p></p>", "<p>{}")).format(text))
+        elif kind < 0.74:  # a table of cells, some of them numbers
+            truth.pop()
+            cell = lambda: rng.choice((few(1, 4), f"{rng.randrange(10_000)}", f"{rng.randrange(100)}.{rng.randrange(10)} %", sentence(2, 9)))
+            wide, cells = rng.randrange(2, 6), []
+            for r in range(rng.randrange(1, 9)):
+                row = [cell() for _ in range(wide)]
+                truth += row
+                mark = "th" if r == 0 and rng.random() < 0.5 else "td"
+                cells.append("<tr>" + "".join(f"<{mark}>{x}</{mark}>" for x in row) + "</tr>")
+            caption = few(2, 7) if rng.random() < 0.3 else ""
+            truth += [caption] if caption else []
+            out.append(f"<table>{f'<caption>{caption}</caption>' if caption else ''}{''.join(cells)}</table>")
+        elif kind < 0.77:  # a line that is a link, or begins as one
+            before, line = rng.choice(("", few(1, 5).capitalize() + " ")), sentence(2, 7)
+            truth[-1] = before + line
+            out.append(f"<p>{before}<a href='/{word()}'>{line}</a></p>")
         elif kind < 0.8:
             truth[-1] = head = few(2, 7)
             out.append(f"<h2>{head}</h2>")
@@ -335,7 +393,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
 
 def train(pages: list[tuple[str, list[str]]]) -> TreeModel:
     """Learn from pages and the text of their content blocks, which no other block of the page repeats."""
-    rows, ys = [], []
+    rows, ys, scale = [], [], []
     joint: dict[str, list[float]] = {}
     roots = [1.0, 1.0]
     for page, truth in pages:
@@ -354,33 +412,32 @@ def train(pages: list[tuple[str, list[str]]]) -> TreeModel:
         roots[y[0]] += 1
         for i in range(1, len(nodes)):
             for k in {edge(nodes[i]), f"{nodes[i].kind}." if nodes[i].kind != "text" else "text"}:
-                joint.setdefault(k, [0.5] * 4)[2 * y[nodes[i].parent] + y[i]] += 1
+                joint.setdefault(k, [2.0] * 4)[2 * y[nodes[i].parent] + y[i]] += 1
             rows.append((own_features(nodes[i]), nodes[i].kind == "text"))
+            scale.append(trust(nodes[i]) if nodes[i].kind == "text" else 1.0)
             ys.append(y[i])
     names = sorted({f for fs, _ in rows for f in fs})
     number = {f: i for i, f in enumerate(names)}
     flat = np.array([number[f] for fs, _ in rows for f in fs])
     row = np.repeat(np.arange(len(rows)), [len(fs) for fs, _ in rows])
-    leaf, y = np.array([t for _, t in rows], float), np.array(ys, float)
+    scale = np.array(scale)
+    leaf, y = np.array([t for _, t in rows], float) * scale, np.array(ys, float)
     beta, offset = np.zeros(len(names)), 0.0
     speed, speed0 = np.full(len(names), 1e-8), 1e-8
     for _ in range(300):
-        z = np.bincount(row, beta[flat], len(rows)) + offset * leaf
+        z = np.bincount(row, beta[flat], len(rows)) * scale + offset * leaf
         g = (y - 1 / (1 + np.exp(-z))) / len(rows)
-        grad = np.bincount(flat, g[row], len(names)) - 1e-4 * beta
+        grad = np.bincount(flat, (g * scale)[row], len(names)) - 1e-4 * beta
         grad0 = float((g * leaf).sum())
         speed += grad**2
         speed0 += grad0**2
         beta += 0.5 * grad / np.sqrt(speed)
         offset += 0.5 * grad0 / math.sqrt(speed0)
-    # a pair's potential is how much likelier child and parent go together than apart; what the child's own features say is not said twice
-    share = {}
-    for k, c in joint.items():
-        rows2 = [c[0] + c[1], c[2] + c[3]]
-        cols = [c[0] + c[2], c[1] + c[3]]
-        total = sum(c)
-        share[k] = [c[2 * a + b] * total / (rows2[a] * cols[b]) for a in (0, 1) for b in (0, 1)]
-    return TreeModel({f: float(b) for f, b in zip(names, beta, strict=True)}, share, math.log(roots[1] / roots[0]), offset)
+    # a pair's potential is how likely the child's state is under the parent's, so a kind that was only seen in one of them says nothing of the other;
+    # what texts say for themselves is counted over what is usual for texts
+    share = {k: [c[2 * a + b] / (c[2 * a] + c[2 * a + 1]) for a in (0, 1) for b in (0, 1)] for k, c in joint.items()}
+    said = y[np.array([t for _, t in rows])]
+    return TreeModel({f: float(b) for f, b in zip(names, beta, strict=True)}, share, math.log(roots[1] / roots[0]), offset, math.log((said.sum() + 1) / (len(said) - said.sum() + 1)))
 
 
 def default_model(pages: int = 500, seed: int = 17) -> TreeModel:

@@ -61,6 +61,15 @@ BY_HAND = [
     ("<article><p>A list of options that is never closed.</p><option>one<p>It must not swallow what comes after it.</p></article>", "A list of options that is never closed.\none\nIt must not swallow what comes after it."),
     ("<article><svg><p>An unclosed picture hides nothing at all.</p></article>", "An unclosed picture hides nothing at all."),
     ("<article><p>If a < b and b > c, then it's don't know.</p><p don't>Quotes in odd places, like this one.</p></article>", "If a < b and b > c, then it's don't know.\nQuotes in odd places, like this one."),
+    ("<article><h1>Sales of the year</h1><p>The first paragraph tells of the sales of the year, at length.</p><p>The second one goes on, and says what came of them.</p><p>The third one ends with what is planned for the next year.</p><table><tr><td>North</td><td>12</td></tr><tr><td>South</td><td>7</td></tr></table></article>", "Sales of the year\nThe first paragraph tells of the sales of the year, at length.\nThe second one goes on, and says what came of them.\nThe third one ends with what is planned for the next year.\nNorth\n12\nSouth\n7"),
+    ("<main><p>A page with a table, and a sentence before it.</p><table><tr><th>Name</th><th>Size</th></tr><tr><td>Alpha</td><td>3</td></tr></table></main>", "A page with a table, and a sentence before it.\nName\nSize\nAlpha\n3"),
+    ("<article><p>Research &amp; Development &copy; D, which was founded in the spring, has grown since.</p></article>", "Research & Development © D, which was founded in the spring, has grown since."),
+    ("<article><h1>News of the day</h1><p>One paragraph of the news, which is not very long.</p><p>Photo © Acme Agency, 2024.</p></article>", "News of the day\nOne paragraph of the news, which is not very long.\nPhoto © Acme Agency, 2024."),
+    ("<nav><a href=/>Home</a></nav><article><header><h1>The title of it</h1><p>A lead paragraph that says what the article is about.</p></header><p>Then comes the article, which has more to say about it.</p></article><footer>© 2024 Acme</footer>", "The title of it\nA lead paragraph that says what the article is about.\nThen comes the article, which has more to say about it."),
+    ("<article><p>A paragraph that stands before the link, and is long enough.</p><p>Read the full <a href=/r>report here</a></p><p>A paragraph that stands after the link, and is long enough.</p></article>", "A paragraph that stands before the link, and is long enough.\nRead the full report here\nA paragraph that stands after the link, and is long enough."),
+    ("<article><p>A sentence that everybody can see, as it is shown.</p><p hidden>Nobody sees this.</p><div style='color:red; display: none'>Nor <div>any</div> of this.</div><p>Another sentence that everybody can see.</p></article>", "A sentence that everybody can see, as it is shown.\nAnother sentence that everybody can see."),
+    ("<article><p>Pictures have words too, but not in the text.</p><Svg><text>leak</text></Svg></article>", "Pictures have words too, but not in the text."),
+    ("<article><p>The article itself, which has a paragraph or two.</p><p>This is the second of them, and the last one.</p></article><section class=user-remarks><h3>Remarks</h3><p>I like this article a lot, thanks for it.</p></section>", "The article itself, which has a paragraph or two.\nThis is the second of them, and the last one."),
     ("<BODY><NAV><A HREF='/'>Home</A></NAV><ARTICLE><P>Capital letters in tags, as in old pages.</P></ARTICLE><SCRIPT>if (a<b) x('</p>')</SCRIPT></BODY>", "Capital letters in tags, as in old pages."),
 ]
 
