@@ -211,8 +211,9 @@ def structural_holes(edges: DataFrame) -> DataFrame:
 
     A node's share in a neighbour is their weight, both ways, over all of its
     weights; its constraint sums (direct share + shares by way of common
-    neighbours) squared. A broker has a constraint under 0.5 and an effective
-    size (neighbours less the mean number of links among them) over 1.5.
+    neighbours) squared. A broker has three edges or more, either way, a
+    constraint under 0.5 and an effective size (neighbours less the mean number of links
+    among them) over 1.5.
     """
     both = edges.filter("source_id <> target_id").select(F.inline(F.array(F.struct(F.col("source_id").alias("u"), F.col("target_id").alias("v"), "weight"), F.struct(F.col("target_id").alias("u"), F.col("source_id").alias("v"), "weight"))))
     both = both.groupBy("u", "v").agg(F.sum("weight").alias("w"))
@@ -221,7 +222,15 @@ def structural_holes(edges: DataFrame) -> DataFrame:
     by = p.select("u", F.col("v").alias("q"), F.col("p").alias("p1")).join(p.select(F.col("u").alias("q"), "v", F.col("p").alias("p2")), "q").filter("u <> v").groupBy("u", "v").agg(F.sum(F.col("p1") * F.col("p2")).alias("by"), F.count(F.lit(1)).alias("common"))
     local = p.join(by, ["u", "v"], "left")
     out = local.groupBy(F.col("u").alias("id")).agg(F.sum(F.pow(F.col("p") + F.coalesce("by", F.lit(0.0)), 2)).alias("constraint"), (F.max("n") - F.coalesce(F.sum("common"), F.lit(0)) / F.max("n")).alias("effective_size"))
-    return out.withColumn("is_broker", (F.col("constraint") < 0.5) & (F.col("effective_size") > 1.5))
+    ends = degree(edges.select("source_id", "target_id").distinct()).select("id", "degree")
+    return out.join(ends, "id").withColumn("is_broker", (F.col("degree") >= 3) & (F.col("constraint") < 0.5) & (F.col("effective_size") > 1.5)).drop("degree")
+
+
+def brokers(edges: DataFrame, top: int = 20) -> DataFrame:
+    """rank, id, constraint (to 6 places), effective_size (to 4), is_broker of the top nodes of least constraint, of equal ones the smallest id."""
+    rounded = structural_holes(edges).withColumn("constraint", F.round("constraint", 6)).withColumn("effective_size", F.round("effective_size", 4))
+    first = rounded.orderBy("constraint", "id").limit(top)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("constraint", "id")))
 
 
 def shared_entity_links(edges: DataFrame, most: int = 10) -> DataFrame:

@@ -394,7 +394,7 @@ _LOCATED = "SELECT 'C' || c_custkey AS s, 'N' || c_nationkey AS t, 1.0 + c_custk
     f"""WITH e AS ({_LOCATED}), b AS (SELECT u, v, sum(w) AS w FROM (SELECT s AS u, t AS v, w FROM e UNION ALL SELECT t, s, w FROM e) GROUP BY 1, 2),
     q AS (SELECT u, v, w / sum(w) OVER (PARTITION BY u) AS p, count(*) OVER (PARTITION BY u) AS n FROM b),
     h AS (SELECT a.u, c.v, sum(a.p * c.p) AS way, count(*) AS common FROM q a JOIN q c ON a.v = c.u GROUP BY 1, 2), l AS (SELECT q.u, q.v, q.n, q.p, h.way, coalesce(h.common, 0) AS common FROM q LEFT JOIN h ON h.u = q.u AND h.v = q.v)
-    SELECT u AS id, round(sum((p + coalesce(way, 0)) ** 2), 9) AS "constraint", round(max(n) - sum(common) / max(n), 9) AS effective_size, sum((p + coalesce(way, 0)) ** 2) < 0.5 AND max(n) - sum(common) / max(n) > 1.5 AS is_broker FROM l GROUP BY 1""",
+    SELECT u AS id, round(sum((p + coalesce(way, 0)) ** 2), 9) AS "constraint", round(max(n) - sum(common) / max(n), 9) AS effective_size, sum((p + coalesce(way, 0)) ** 2) < 0.5 AND max(n) - sum(common) / max(n) > 1.5 AND max(n) >= 3 AS is_broker FROM l GROUP BY 1""",
 )
 def g9(spark, d):
     t = lambda n, a, x, b, y, w: table(spark, d, n).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("source_id"), F.concat(F.lit(b), F.col(y).cast("string")).alias("target_id"), w.cast("double").alias("weight"))

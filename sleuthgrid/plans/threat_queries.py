@@ -30,6 +30,16 @@ def j7(spark, d):
     return rs.resolve(asked, existing).drop("score")
 
 
+@query("x3_batch_merge")
+def x3(spark, d):
+    """Variants of product names as a batch, against the names of every third product. No SQL; tests/test_resolution.py holds the operators against all pairs."""
+    p = table(spark, d, "part")
+    kind = F.when(F.col("p_partkey") % 6 == 0, "Date").when(F.col("p_partkey") % 6 == 1, "Ship").otherwise("Person")
+    batch = p.select(F.col("p_partkey").alias("position"), F.expr(_ASKED).alias("name"), kind.alias("entity_type"), (F.col("p_partkey") % 50 == 3).alias("filtered"), (F.col("p_partkey") % 4 == 0).alias("absorbed"))
+    graph = p.filter("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("position")).select("name", F.lit("Person").alias("entity_type"), "position", F.concat(F.lit("P"), F.col("position").cast("string")).alias("id"))
+    return rs.merge_batch(batch, graph)
+
+
 _OBSERVED = "SELECT l_partkey AS t, CASE l_returnflag WHEN 'R' THEN 'regex' WHEN 'A' THEN 'model' ELSE 'tcode' END AS m FROM lineitem WHERE l_quantity >= 45"
 
 
