@@ -9,14 +9,3 @@ from pyspark.sql import functions as F
 def windowed_counts(events: DataFrame, at: str, kind: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events of each kind in tumbling windows; events later than late are dropped."""
     return events.withWatermark(at, late).groupBy(F.window(at, length).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
-
-
-def rate(events: DataFrame, client: str, at: str, length: str = "60 seconds", step: str = "10 seconds", late: str = "120 seconds") -> DataFrame:
-    """Requests of each client in sliding windows."""
-    return events.withWatermark(at, late).groupBy(client, F.window(at, length, step).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(client, F.col("w.end").alias("until"), "n")
-
-
-def run_states(events: DataFrame, plan: str, event: str, at: str, final: tuple[str, ...] = ("completed", "failed")) -> DataFrame:
-    """The last event of each plan and whether it is final, as a stream in update mode."""
-    last = events.groupBy(plan).agg(F.max_by(event, at).alias("last_event"), F.max(at).alias("last_at"))
-    return last.withColumn("done", F.col("last_event").isin(*final))
