@@ -134,7 +134,10 @@ def f15(spark, d):
     return table(spark, d, "part").select("p_partkey", ql.type_hint(F.expr(_TYPED_NAME), F.expr(_TYPE)).alias("kind"))
 
 
-_SEEN = """concat(text, ' CVE-2024-', 1000 + doc_id % 50, ' CVE-2024-', 1000 + doc_id % 50, ' T1', 100 + doc_id % 30, '.00', doc_id % 10, ' Type 0', doc_id % 90 + 10, 'D on Q', doc_id % 4 + 1, ' 2024, May ', doc_id % 28 + 1, ', 2023 and 2024-02-1', doc_id % 10, ' at 999.1.1.1 or 8.8.', doc_id % 200, '.4')"""
+_SEEN = """concat(text, ' CVE-2024-', 1000 + doc_id % 50, ' CVE-2024-', 1000 + doc_id % 50, ' T1', 100 + doc_id % 30, '.00', doc_id % 10, ' Type 0', doc_id % 90 + 10, 'D on Q', doc_id % 4 + 1, ' 2024, May ', doc_id % 28 + 1, ', 2023 and 2024-02-1', doc_id % 10, ' at 999.1.1.1 or 8.8.', doc_id % 200, '.4 by Host', doc_id % 9, '.Example.co, https://x', doc_id % 7, '.example.jp/a; User', doc_id % 5, '@mail.example.in with ', md5(cast(doc_id % 40 AS string)), ' hash')"""
+
+
+_ENDINGS = "|".join(sorted(ind.ENDINGS, key=lambda e: (-len(e), e)))
 
 
 @query(
@@ -143,12 +146,18 @@ _SEEN = """concat(text, ' CVE-2024-', 1000 + doc_id % 50, ' CVE-2024-', 1000 + d
     SELECT doc_id, unnest(regexp_extract_all(t, '\bCVE-\d{{4}}-\d{{4,}}\b')) AS name, 'Vulnerability' AS entity_type, 0.95 AS confidence FROM t
     UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '\bT\d{{4}}(?:\.\d{{3}})?\b')), 'TTP', 0.9 FROM t UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '\bType[- ]?\d{{2,4}}[A-Z]?\b')), 'EquipmentType', 0.85 FROM t
     UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '\b{ind.MONTH}\s+\d{{1,2}},?\s+\d{{4}}\b|\b{ind.MONTH}\s+\d{{4}}\b|\b\d{{4}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b|\bQ[1-4]\s+\d{{4}}\b')), 'Date', 0.95 FROM t
+    UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(t, '\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{{0,61}}[a-zA-Z0-9])?\.)+(?:{_ENDINGS})\b'))), 'Domain', 0.9 FROM t
+    UNION ALL SELECT doc_id, rtrim(unnest(regexp_extract_all(t, '(?i)https?://[^\s<>"'')\]}}]+')), '.,;:!?)]}}''"'), 'URL', 0.9 FROM t
+    UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(t, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}\b'))), 'EmailAddress', 0.9 FROM t
+    UNION ALL SELECT doc_id, lower(raw), 'Hash', round(CASE WHEN length(raw) = 64 THEN 0.7 ELSE 0.6 END + CASE WHEN NOT regexp_matches(substr(t, greatest(1, instr(t, raw) - 200), length(raw) + 200 + least(200, instr(t, raw) - 1)),
+      '(?i)\b(?:hash|md5|sha1|sha256|sha-1|sha-256|checksum|ioc|indicator|malware|sample|binary|payload|artifact)\b') THEN 0 WHEN length(raw) = 64 THEN 0.25 ELSE 0.3 END, 2)
+    FROM (SELECT doc_id, t, unnest(list_distinct(regexp_extract_all(t, '\b(?:[a-fA-F0-9]{{64}}|[a-fA-F0-9]{{40}}|[a-fA-F0-9]{{32}})\b'))) AS raw FROM t)
     UNION ALL SELECT doc_id, a, 'IPAddress', 0.95 FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b')) AS a FROM t) WHERE list_max(list_transform(string_split(a, '.'), lambda x: x::INTEGER)) <= 255)
     SELECT DISTINCT doc_id, name, entity_type, CAST(confidence AS DOUBLE) AS confidence FROM w""",
 )
 def f13(spark, d):
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.expr(_SEEN).alias("text"))
-    return ind.indicators(docs, "doc_id").filter(F.col("entity_type").isin("Vulnerability", "TTP", "EquipmentType", "Date", "IPAddress"))
+    return ind.indicators(docs, "doc_id")
 
 
 _PLACED = "concat(lang, ' at ', doc_id % 120, '.5N, ', doc_id % 200, '.25°W and 34°0', doc_id % 10, '′12″S 118°15′30″E; again ', doc_id % 120, '.5N, ', doc_id % 200, '.25°W.')"

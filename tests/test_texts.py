@@ -27,6 +27,12 @@ def test_indicators(spark):
         ("T1059.001", "TTP"): 0.9, ("Type 052D", "EquipmentType"): 0.85, ("May 7, 2021", "Date"): 0.95, ("Q3 2021", "Date"): 0.95,
     }
     assert got == want
+    uuid = "0123abcd-0123-4567-89ab-0123456789ab"
+    more = f"id {uuid} and {uuid.replace('-', '')} at a.co, b.co.jp, c.example.in, d.nosuchending, e.lan"
+    found = {(r.name, r.entity_type) for r in indicators.indicators(spark.createDataFrame([(1, more)], "k int, text string"), "k").collect()}
+    assert found == {("a.co", "Domain"), ("b.co.jp", "Domain"), ("c.example.in", "Domain")}
+    lan = indicators.indicators(spark.createDataFrame([(1, "e.lan a.co")], "k int, text string"), "k", endings=("lan",)).collect()
+    assert [r.name for r in lan] == ["e.lan"]
 
 
 def test_passages(spark):
