@@ -403,7 +403,10 @@ def g9(spark, d):
     return g.structural_holes(edges).withColumn("constraint", F.round("constraint", 9)).withColumn("effective_size", F.round("effective_size", 9))
 
 
-@query("g10_ego", f"{WITH}, h1 AS (SELECT DISTINCT other AS id FROM und WHERE anchor = 'N3' UNION SELECT 'N3'), h2 AS (SELECT DISTINCT other AS id FROM und JOIN h1 ON anchor = h1.id UNION SELECT id FROM h1) SELECT * FROM rel WHERE source_id IN (SELECT id FROM h2) AND target_id IN (SELECT id FROM h2)")
+_ONCE = WITH.replace("rel AS (", "rel AS MATERIALIZED (").replace("und AS (", "und AS MATERIALIZED (")
+
+
+@query("g10_ego", f"{_ONCE}, h1 AS MATERIALIZED (SELECT other AS id FROM und WHERE anchor = 'N3' UNION SELECT 'N3'), h2 AS MATERIALIZED (SELECT other AS id FROM und JOIN h1 ON anchor = h1.id UNION SELECT id FROM h1) SELECT rel.* FROM rel JOIN h2 s ON source_id = s.id JOIN h2 t ON target_id = t.id")
 def g10(spark, d):
     return g.ego(relationships(spark, d), "N3", 2)[1]
 
