@@ -136,3 +136,28 @@ def f25(spark, d):
 @query("f26_file_names", r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}_\-.]', '_', 'g') AS file FROM pages")
 def f26(spark, d):
     return table(spark, d, "pages").select("page_id", tx.file_name(F.col("url")).alias("file"))
+
+
+def _placed(spark, d):
+    """Who is in which nation, and which nation in which region, all directed upwards; and all their ends."""
+    named = lambda t, p, c, q, k: table(spark, d, t).select(F.concat(F.lit(p), F.col(c).cast("string")).alias("source_id"), F.concat(F.lit(q), F.col(k).cast("string")).alias("target_id"))
+    edges = named("customer", "C", "c_custkey", "N", "c_nationkey").unionByName(named("supplier", "S", "s_suppkey", "N", "s_nationkey")).unionByName(named("nation", "N", "n_nationkey", "R", "n_regionkey"))
+    return edges, edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+
+
+_PLACES = """e AS (SELECT 'C' || c_custkey AS s, 'N' || c_nationkey AS t FROM customer UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation),
+n AS (SELECT s AS id FROM e UNION SELECT t FROM e)"""
+
+
+@query("g3_betweenness", f"WITH {_PLACES} SELECT n.id, round((SELECT count(*) FROM e WHERE t = n.id) * (SELECT count(*) FROM e WHERE s = n.id) / ((SELECT count(*) FROM n) - 1.0) / ((SELECT count(*) FROM n) - 2.0), 9) AS betweenness FROM n")
+def g3(spark, d):
+    return g.betweenness(*_placed(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
+
+
+@query(
+    "g6_closeness",
+    f"""WITH {_PLACES}, p AS (SELECT s, t, 1 AS hop FROM e UNION ALL SELECT a.s, b.t, 2 FROM e a JOIN e b ON a.t = b.s), r AS (SELECT t AS id, count(*) AS k, sum(hop) AS far FROM p GROUP BY 1)
+    SELECT n.id, round(coalesce(k / far * k / ((SELECT count(*) FROM n) - 1.0), 0), 9) AS closeness FROM n LEFT JOIN r ON r.id = n.id""",
+)
+def g6(spark, d):
+    return g.closeness(*_placed(spark, d)).withColumn("closeness", F.round("closeness", 9))
