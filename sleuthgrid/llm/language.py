@@ -2,7 +2,9 @@
 
 Each language gives every piece of a public vocabulary a probability. A word's
 likelihood is the sum, over all ways to cut it into pieces, of the product of
-their probabilities: the forward algorithm adds it up in one pass. The
+their probabilities: the forward algorithm adds it up in one pass, for sorted
+words once for each beginning that they share, with an automaton that names
+the pieces that end at a character. The
 probabilities are learned by expectation-maximisation over the same cuts. A
 character outside the vocabulary is a piece of its own with a small fixed
 probability. Sums are kept in range by a factor for each character, which the
@@ -72,6 +74,25 @@ class Vocabulary:
         self.starts: dict[str, int | None] = {p[:i]: None for p in pieces for i in range(1, len(p))} | pieces
         #: FACTOR for each character of a piece; the last is for a character that is none
         self.factors = FACTOR ** np.array([*[len(p) for p in pieces], 1.0])
+        #: states of the automaton: after some characters, the longest end of them that is a start
+        self.names = ["", *self.starts]
+        self.states = {s: i for i, s in enumerate(self.names)}
+        ends = [self._ends(s) for s in self.names]
+        #: how many pieces end at a state's last character, where they begin in length and piece, and these
+        self.n_ends = np.array([len(x) for x in ends])
+        self.at_ends = np.cumsum(self.n_ends) - self.n_ends
+        self.length, self.piece = np.array([y for x in ends for y in x], np.int32).T
+
+    def _ends(self, s: str) -> list[tuple[int, int]]:
+        """Length and number of all pieces that end s; a last character that isn't a piece is number -1."""
+        found = [(len(s) - i, self.pieces[s[i:]]) for i in range(len(s)) if s[i:] in self.pieces]
+        return found if found and found[-1][0] == 1 else [*found, (1, -1)]
+
+    def follow(self, state: int, character: str) -> int:
+        s = self.names[state] + character
+        while s not in self.states:
+            s = s[1:]
+        return self.states[s]
 
     def lattice(self, parts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces inside parts of n characters: place (start * (n + 1) + end) in order, row, number (-1 for a character that isn't a piece)."""
@@ -110,24 +131,69 @@ def forward(lattice, rows: int, n: int, table: np.ndarray) -> np.ndarray:
     return ahead
 
 
+class _Steps(dict):
+    """State after a state and a character (state * 0x110000 + code point), found when first asked for."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+
+    def __missing__(self, key: int) -> int:
+        self[key] = self.vocab.follow(key // 0x110000, chr(key % 0x110000))
+        return self[key]
+
+
+def ends_of(parts: list[str], vocab: Vocabulary, steps: _Steps, table: np.ndarray) -> np.ndarray:
+    """Sums over all ways to cut each of some sorted parts: [part, language]. Beginnings that neighbours share are summed once."""
+    sizes = np.array([len(p) for p in parts])
+    rows, n = len(parts), int(sizes.max())
+    codes = np.array(parts, f"<U{n}").view("<u4").reshape(rows, n)
+    fresh = np.ones((rows, n), bool)
+    fresh[1:] = ~np.logical_and.accumulate(codes[1:] == codes[:-1], axis=1)
+    fresh &= np.arange(n) < sizes[:, None]
+    # the beginnings of each length are numbered in order, after those of lengths before it; the first is the empty one
+    count = np.array([1, *fresh.sum(axis=0).tolist()])
+    base = np.cumsum(count) - count
+    number = np.zeros((rows, n + 1), np.int64)
+    number[:, 1:] = np.cumsum(fresh, axis=0) - 1 + base[1:]
+    ahead, state = np.empty((int(count.sum()), table.shape[1])), np.zeros(int(count.sum()), np.int64)
+    ahead[0] = 1.0
+    for d in range(n):
+        row = np.flatnonzero(fresh[:, d])
+        keys = state[number[row, d]] * 0x110000 + codes[row, d]
+        now = np.array(list(map(steps.__getitem__, keys.tolist())), np.int64)
+        many = vocab.n_ends[now]
+        first = np.cumsum(many) - many
+        flat = np.arange(int(many.sum())) + np.repeat(vocab.at_ends[now] - first, many)
+        before = number[np.repeat(row, many), d + 1 - vocab.length[flat]]
+        own = slice(base[d + 1], base[d + 1] + len(row))
+        state[own] = now
+        ahead[own] = np.add.reduceat(ahead[before] * table[vocab.piece[flat]], first, axis=0)
+    return ahead[number[np.arange(rows), sizes]]
+
+
 class LanguageModel:
     def __init__(self, vocab: Vocabulary, languages: list[str], table: np.ndarray, prior: np.ndarray):
         self.vocab, self.languages, self.table, self.prior = vocab, languages, table, prior
         self.scaled = table * vocab.factors[:, None]
+        self.steps = _Steps(vocab)
+
+    def __reduce__(self):
+        return LanguageModel, (self.vocab, self.languages, self.table, self.prior)
 
     def word(self, word: str) -> list[float]:
         """Log-likelihood of a word in each language."""
         return self.words([word])[0].tolist()
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood of each word in each language: the forward sum, over parts of one length at a time."""
+        """Log-likelihood of each word in each language: the forward sum, over the sorted parts of all words."""
+        own = [(part, at) for at, w in enumerate(words) for part in parts_of(w)]
+        own.sort()
         total = np.zeros((len(words), len(self.languages)))
-        for n, group in _by_length(words).items():
-            step = max(1, 2_000_000 // ((n + 1) * max(1, len(self.languages))))
-            for first in range(0, len(group), step):
-                some = group[first : first + step]
-                ahead = forward(self.vocab.lattice([part for _, part in some], n), len(some), n, self.scaled)
-                np.add.at(total, [at for at, _ in some], np.log(ahead[n]) - n * math.log(FACTOR))
+        step = max(1, 8_000_000 // ((LONGEST + 1) * max(1, len(self.languages))))
+        for first in range(0, len(own), step):
+            parts, at = zip(*own[first : first + step], strict=True)
+            found = np.log(ends_of(parts, self.vocab, self.steps, self.scaled))
+            np.add.at(total, list(at), found - np.array([[len(p)] for p in parts]) * math.log(FACTOR))
         return total
 
 
@@ -211,47 +277,81 @@ def fit(docs: DataFrame, model_path: str, held_out: int = 1) -> LanguageModel:
     return LanguageModel(vocab, languages, table, prior)
 
 
-def _predict(model: LanguageModel, most: int = 200_000, run_length: int = 200_000):
-    """Words are numbered as they come; new ones are scored together, after texts of run_length words."""
+def _predict(model: LanguageModel, most: int = 1_000_000, run_length: int = 200_000):
+    """Runs between white space are numbered as they come; new ones are scored together, after texts of run_length runs.
+
+    No word crosses white space, and no letter's lower case depends on what is
+    behind it. The memory of runs and words is emptied when it holds more than
+    most of them, or 32 characters for each.
+    """
 
     def run(batches):
-        known: dict[str, int] = {}
-        table = np.zeros((1024, len(model.languages)))
+        runs: dict[str, int] = {}
+        words: dict[str, int] = {}
+        size = 0
+        # of each run, how many words it has and their sum in each language; of each word, its likelihoods
+        run_table, word_table = np.zeros((1024, 1 + len(model.languages))), np.zeros((1024, len(model.languages)))
+
+        def learn(new: list[str]) -> int:
+            nonlocal run_table, word_table
+            found = [words_of(x) for x in new]
+            fresh = list({w for x in found for w in x}.difference(words))
+            at = len(words)
+            words.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            word_table = _longer(word_table, len(words))
+            if fresh:
+                word_table[at : len(words)] = model.words(fresh)
+            at = len(runs)
+            runs.update(zip(new, range(at, at + len(new)), strict=True))
+            run_table = _longer(run_table, len(runs))
+            n = np.array([len(x) for x in found])
+            own = np.zeros((len(new), run_table.shape[1]))
+            own[:, 0] = n
+            have = np.flatnonzero(n)
+            if len(have):
+                own[have, 1:] = np.add.reduceat(word_table[[words[w] for x in found for w in x]], (np.cumsum(n) - n)[have], axis=0)
+            run_table[at : len(runs)] = own
+            return sum(map(len, new)) + sum(map(len, fresh))
+
         for batch in batches:
             pred, score = ["und"] * len(batch), [0.0] * len(batch)
-            new: list[str] = []
-            waiting: list[tuple[int, np.ndarray]] = []
+            waiting: list[tuple[int, list[str]]] = []
             n_waiting = 0
             for at, text in enumerate(texts(batch, "text")):
-                words = words_of(text.decode()) if model.languages else []
-                for w in set(words):
-                    if w not in known:
-                        known[w] = len(known)
-                        new.append(w)
-                if words:
-                    waiting.append((at, np.array([known[w] for w in words], np.int32)))
-                    n_waiting += len(words)
+                own = text.decode().split() if model.languages else []
+                if own:
+                    waiting.append((at, own))
+                    n_waiting += len(own)
                 if n_waiting < run_length and at < len(batch) - 1:
                     continue
-                if len(known) > len(table):
-                    table = np.concatenate([table, np.zeros((max(len(table), len(known) - len(table)), table.shape[1]))])
+                new = list(set().union(*[x for _, x in waiting]).difference(runs))
                 if new:
-                    table[len(known) - len(new) : len(known)] = model.words(new)
+                    size += learn(new)
                 for i, own in waiting:
-                    total = model.prior + table[own].sum(axis=0)
+                    total = run_table[np.array(list(map(runs.__getitem__, own)), np.int64)].sum(axis=0)
+                    if not total[0]:
+                        continue
+                    total = model.prior + total[1:]
                     total = np.exp(total - total.max())
                     total /= total.sum()
                     best = int(total.argmax())
                     pred[i], score[i] = model.languages[best], float(total[best])
-                new, waiting, n_waiting = [], [], 0
-                if len(known) > most:
-                    known.clear()
+                waiting, n_waiting = [], 0
+                if len(runs) + len(words) > most or size > 32 * most:
+                    runs.clear()
+                    words.clear()
+                    size = 0
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([*[batch.column(c) for c in names], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return released(run)
 
 
+def _longer(table: np.ndarray, n: int) -> np.ndarray:
+    """table with at least n rows, at least doubled where it is too short."""
+    return table if n <= len(table) else np.concatenate([table, np.zeros((max(len(table), n - len(table)), table.shape[1]))])
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score (posterior of the predicted language).
 

@@ -152,3 +152,35 @@ def test_signs_are_no_letters():
 
     assert words_of("½ 12 ² ① Ⅷ _ 3") == []
     assert words_of("Aé½b x² Ⅷth ßÜ 漢字1") == ["aé", "b", "x", "th", "ßü", "漢字"]
+
+
+def test_runs_are_scored_once_as_whole_texts(monkeypatch):
+    """Sums over shared beginnings equal those over each word's own lattice, runs between white space hold the words of the text, and a run is cut once."""
+    pa = pytest.importorskip("pyarrow")
+    rng = random.Random(11)
+    pieces = {x: i for i, x in enumerate(["▁", "▁a", "▁ab", "a", "b", "ab", "bab", "ς", "σ", "ba", "é", "baba"])}
+    vocab = language.Vocabulary(pieces)
+    table = np.random.default_rng(5).random((len(pieces) + 1, 3)) / 4
+    table[-1] = language.RARE
+    m = language.LanguageModel(vocab, ["x", "y", "z"], table, np.log(np.array([0.5, 0.3, 0.2])))
+    some = ["".join(rng.choice("aabbéq\U00010330") for _ in range(rng.randrange(1, 12) if i % 9 else 95)) for i in range(300)]
+    got = m.words(some)
+    for word, own in zip(some, got):
+        want = sum(np.log(language.forward(vocab.lattice([p], len(p)), 1, len(p), m.scaled)[-1, 0]) - len(p) * math.log(language.FACTOR) for p in language.parts_of(word))
+        assert np.allclose(own, want, rtol=1e-12)
+    gaps = [" ", "\n", "\x1c", "\x85", "　", "\xa0", " ", "\t ", "-", "​", "·"]
+    texts = ["".join(rng.choice(["ab", "ΑΣ", "Σ", "baBa", "é½b", "12", "İ", "a_b"]) + rng.choice(gaps) for _ in range(40)) for _ in range(50)] + ["", None, "12 ½ _", "ab"]
+    texts += texts
+    cut = []
+    whole = language.words_of
+    monkeypatch.setattr(language, "words_of", lambda x: cut.append(x) or whole(x))
+    for most in (1_000_000, 20):
+        cut.clear()
+        batches = [pa.record_batch([pa.array(texts[i : i + 30])], names=["text"]) for i in range(0, len(texts), 30)]
+        rows = [r for b in language._predict(m, most=most, run_length=50)(iter(batches)) for r in b.to_pylist()]
+        assert len(cut) == len(set(cut)) or most == 20
+        for text, r in zip(texts, rows, strict=True):
+            words = whole(text or "")
+            total = m.prior + m.words(words).sum(axis=0)
+            assert r["lang_pred"] == (m.languages[int(total.argmax())] if words else "und")
+            assert math.isclose(r["score"], 1 / np.exp(total - total.max()).sum() if words else 0, rel_tol=1e-9)
