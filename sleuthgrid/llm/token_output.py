@@ -151,16 +151,49 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(others)} | {0x20: 0x20}
 
 
+def _symbol(byte: int, final: bool) -> str:
+    """A character for a byte of a piece, another one for its last byte: small letters stay and end a piece as capitals, as pieces have none."""
+    if 0x61 <= byte <= 0x7A:
+        return chr(byte - 0x20 if final else byte)
+    return chr((0x200 if final else 0x100) + byte)
+
+
+def _ranks(says: dict, letters: dict[int, int], suffix: str):
+    """The file's merges by ranks of symbols, or None if it isn't of the kind: bytes, bytes that end a word, then the merges in their order."""
+    import tiktoken
+
+    vocab, special = says["model"]["vocab"], {t["content"] for t in says["added_tokens"]}
+    back = {chr(letter): byte for byte, letter in letters.items() if byte != 0x20} | {chr(256 + 0x20): 0x20}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in says["model"]["merges"]]
+    own = {t: i for t, i in vocab.items() if t not in special}
+    single = {c + end for c in back for end in ("", suffix)}
+    if len(own) != 512 + len(merged) or any(own.get(m) != 512 + i for i, m in enumerate(merged)) or single != {t for t, i in own.items() if i < 512}:
+        return None
+    if says["model"].get("unk_token") or says["model"].get("dropout") or says["model"].get("ignore_merges") or says["model"].get("continuing_subword_prefix"):
+        return None
+    ranks = {}
+    for t, i in own.items():
+        text = t.removesuffix(suffix)
+        cut = len(text) - (text != t)
+        ranks["".join([_symbol(back[c], k >= cut) for k, c in enumerate(text)]).encode()] = i
+    # a byte alone is no symbol if it begins or goes on with one; it only needs a number
+    ranks |= {bytes([b]): len(vocab) + b for b in range(256) if bytes([b]) not in ranks}
+    return tiktoken.Encoding("symbols", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={})
+
+
 def word_encoder(path: str, end_id: int, most: int = 1_000_000) -> Callable[[list[str]], Iterator[np.ndarray]]:
     """Encodes texts with a tokenizers file whose tokens never cross white space: each run between is encoded once.
 
     New runs of Latin letters, which normalisation only turns into lower case,
     are cut all at once as the file's own pattern cuts them, and their different
     pieces go through the file's merges many at a time, told apart by the mark
-    of a word's end; all other runs go through the whole file one by one. The
+    of a word's end; all other runs, and those of over 1,000 characters, go
+    through the whole file one by one. Merges are done by ranks (the ids, if
+    the file lists its merges in their order), else by the library. The
     memory of runs is emptied when it holds more than most.
     """
     import os
+    import re
 
     import regex
 
@@ -179,10 +212,12 @@ def word_encoder(path: str, end_id: int, most: int = 1_000_000) -> Callable[[lis
     cut = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and before[0]["pattern"] == {"Regex": own} and not before[1]["use_regex"] and not before[1]["add_prefix_space"]
     merges = Tokenizer.from_str(json.dumps(says | {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": []}))
     letters = _byte_letters()
+    fast = _ranks(says, letters, suffix) if cut else None
+    inner, final = ({b: _symbol(b, is_final) for b in range(256)} for is_final in (False, True))
     ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
     if suffix:
         ends[[k for t, k in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-    odd = regex.compile("[^\x00-\u024f]|[\x1c-\x1f\x85\u0130]|<\\|")
+    rare_letter = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]")
     known: dict[str, bytes] = {}
     white = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
     end = struct.pack("<I", end_id)
@@ -191,14 +226,27 @@ def word_encoder(path: str, end_id: int, most: int = 1_000_000) -> Callable[[lis
         for run, enc in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[run] = np.array(enc.ids, "<u4").tobytes()
 
-    def together(new: list[str], step: int = 3000) -> bool:
+    def odd(run: str) -> bool:
+        return "<|" in run or rare_letter.search(run) is not None
+
+    def merged(pieces: list[str], step: int = 3000) -> np.ndarray:
+        """The ids of all pieces."""
+        if fast is not None:
+            coded = [p.encode().decode("latin-1") for p in pieces]
+            ends_ = "".join([c[-1] for c in coded]).translate(final)
+            # no symbol is a line break, so what is between two is a piece
+            starts_ = "\n".join([c[:-1] for c in coded]).translate(inner | {0x0A: "\n"}).split("\n")
+            return np.array(fast.encode_ordinary("\n".join(map(str.__add__, starts_, ends_))), "<u4")
+        groups = [pieces[i : i + step] for i in range(0, len(pieces), step)]
+        coded = merges.encode_batch_fast([" ".join(g).encode().decode("latin-1").translate(letters) for g in groups], add_special_tokens=False)
+        return np.concatenate([np.array(c.ids, "<u4") for c in coded]) if coded else np.empty(0, "<u4")
+
+    def together(new: list[str]) -> bool:
         """False if pieces and ids can't be matched."""
         found = pattern.findall("\n".join(new).lower())
         number = {piece: i for i, piece in enumerate(dict.fromkeys([*found, "\n"]))}
         pieces = [piece for piece in number if piece != "\n"]
-        groups = [pieces[i : i + step] for i in range(0, len(pieces), step)]
-        coded = merges.encode_batch_fast([" ".join(g).encode().decode("latin-1").translate(letters) for g in groups], add_special_tokens=False)
-        ids = np.concatenate([np.array(c.ids, "<u4") for c in coded]) if coded else np.empty(0, "<u4")
+        ids = merged(pieces)
         stop = np.flatnonzero(ends[ids]) + 1
         if len(stop) != len(pieces):
             return False
@@ -213,8 +261,8 @@ def word_encoder(path: str, end_id: int, most: int = 1_000_000) -> Callable[[lis
         return True
 
     def learn(new: list[str]) -> None:
-        rare = [run for run in new if odd.search(run)] if not cut or odd.search("\n".join(new)) else []
-        plain = new if not rare else [run for run in new if not odd.search(run)]
+        rare = [run for run in new if len(run) > 1000 or odd(run)] if not cut or max(map(len, new)) > 1000 or odd("\n".join(new)) else []
+        plain = new if not rare else list(set(new).difference(rare))
         if not cut or plain and not together(plain):
             rare = new
         alone(rare)

@@ -100,3 +100,32 @@ def test_character_map_as_the_library():
         norm, places = own.normalize(x.encode())
         assert norm.decode() == lib.normalize(x), repr(x)
         assert len(places) == len(norm) + 1 and (np.diff(places) >= 0).all()
+
+
+def test_words_by_ranks_as_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from sleuthgrid.llm import token_output
+
+    path = tokens.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        says = json.load(f)
+    vocab = says["model"]["vocab"]
+    assert token_output._ranks(says, token_output._byte_letters(), "</w>") is not None
+    # a file whose ids aren't in the order of its merges goes through the library's merges
+    a, b = ("".join(m.split(" ") if isinstance(m, str) else m) for m in says["model"]["merges"][7:9])
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(says))
+    assert token_output._ranks(says, token_output._byte_letters(), "</w>") is None
+    rng = random.Random(6)
+    some = [x.removesuffix("</w>") for x in rng.sample(sorted(vocab), 8000) if x.isascii()]
+    some += ["".join(rng.choice(some) for _ in range(rng.randrange(1, 6))) for _ in range(4000)]
+    some += ["".join(rng.choice("eéßñŁłÀÿɏȺaQz½²³ºª_-'.,;:()\x00\x7f$€") for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    some += ["aaaa" * n for n in range(1, 30)] + ["the" * 333 + "a", "the" * 334, "thing" * 20_000, "é" * 999, "", "\n"]
+    for file in (path, str(other)):
+        lib = Tokenizer.from_file(file)
+        for x, ids in zip(some, word_encoder(file, 2)(some), strict=True):
+            assert ids.tolist() == [*lib.encode(x, add_special_tokens=False).ids, 2], repr(x[:80])
