@@ -46,11 +46,10 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of every word."""
-    raw = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_SEPARATOR[raw]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    between = np.flatnonzero(_SEPARATOR[np.frombuffer(data, np.uint8)])
+    before, after = np.append(-1, between) + 1, np.append(between, len(data))
+    some = before < after
+    return before[some], after[some]
 
 
 #: Places of a word that have random numbers of their own in a table; later ones mix in how often they went round it.
@@ -67,30 +66,34 @@ def _place_table(seed: int) -> np.ndarray:
     return _TABLES[seed]
 
 
-def word_hashes(data: bytes, seed: int = 1) -> np.ndarray:
-    """A hash of each word, in order, by tabulation; long texts are worked in blocks."""
+def word_hashes(data: bytes, seed: int = 1, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A hash of each word, in order, by tabulation; long texts are worked in blocks. bounds: those of the words, if known."""
+    if bounds is not None and len(data) <= BLOCK:
+        return _hashes(data, *bounds, _place_table(seed))
     out, at, n = [], 0, len(data)
-    table = _place_table(seed)
     while at < n:
         end = min(n, at + BLOCK)
         while end < n and not _SEPARATOR[data[end]]:
             end += 1
         part = data[at:end]
         at = end
-        starts, ends = word_bounds(part)
-        if not len(starts):
-            continue
-        raw = np.frombuffer(part, np.uint8)[starts[0] :]
-        spans = np.diff(np.append(starts - starts[0], len(raw)))
-        place = np.arange(len(raw), dtype=np.int64) - np.repeat(starts - starts[0], spans)
-        values = table[(place % PLACES << 8) | raw]
-        far = np.flatnonzero((place >= PLACES) & ~_SEPARATOR[raw])
-        if len(far):
-            values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        out.append(mix(np.add.reduceat(values, starts - starts[0]) + (ends - starts).astype(np.uint64)))
+        out.append(_hashes(part, *word_bounds(part), _place_table(seed)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _hashes(part: bytes, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    raw = np.frombuffer(part, np.uint8)[starts[0] :]
+    spans = np.diff(np.append(starts - starts[0], len(raw)))
+    place = np.arange(len(raw), dtype=np.int64) - np.repeat(starts - starts[0], spans)
+    values = table[(place % PLACES << 8) | raw]
+    if (ends - starts).max() > PLACES:
+        far = np.flatnonzero((place >= PLACES) & ~_SEPARATOR[raw])
+        values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(np.add.reduceat(values, starts - starts[0]) + (ends - starts).astype(np.uint64))
+
+
 def window_hashes(words: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
     """A hash of each run of size consecutive words."""
     n = len(words) - size + 1

@@ -4,7 +4,7 @@ The index is a list of immutable runs, each a Parquet table sorted by
 fingerprint. A batch of documents is sketched, its fingerprints are
 merge-joined with the runs of all batches before it, repeated windows are
 verified, and what the batch adds is appended as a run; runs are compacted
-when there are too many.
+when there are too many and another batch comes.
 
 A window's fingerprint is the smallest hash among the short word sequences
 inside it, so equal windows always have the same one at the same place, and
@@ -34,8 +34,6 @@ from .hashing import window_hashes, word_bounds, word_hashes
 SHORT = 6
 #: Stands for a null doc_id: it comes before all others.
 NULL_ID = -(2**63)
-#: All bytes but tabs and line breaks. bytes.split() parts words at these and spaces, as word_bounds does.
-_BUT_BREAKS = bytes(x for x in range(256) if not 0x09 <= x <= 0x0D)
 #: Rows that a task holds before it hands them on.
 ROWS_AT_ONCE = 50_000
 
@@ -57,12 +55,9 @@ def window_fingerprints(words: np.ndarray, window: int, short: int = SHORT) -> t
 
 def plain_words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words joined by one space, and the start and end of each."""
-    starts, ends = word_bounds(text)
-    if len(starts) and ends[-1] - starts[0] == (ends - starts).sum() + len(starts) - 1 and not text.translate(None, _BUT_BREAKS):
-        return text, starts, ends
-    sizes = ends - starts
-    after = np.cumsum(sizes + 1) - 1
-    return b" ".join(text.split()), after - sizes, after
+    # bytes.split() parts words at the same bytes as word_bounds
+    data = b" ".join(text.split())
+    return data, *word_bounds(data)
 
 
 def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -91,12 +86,12 @@ def _stretches(window: int):
         for batch in batches:
             ids, keys = batch.column("id").to_numpy(), batch.column("tkey").to_numpy()
             for i, text in enumerate(texts(batch, "text")):
-                best, place = window_fingerprints(word_hashes(text), window)
+                data, starts, ends = plain_words(text)
+                best, place = window_fingerprints(word_hashes(data, bounds=(starts, ends)), window)
                 if not len(best):
                     continue
                 first = np.append(0, np.flatnonzero(np.diff(place)) + 1)
                 count = np.diff(np.append(first, len(place)))
-                data, starts, ends = plain_words(text)
                 d = digests(data, starts[first], ends[first + count + window - 2])
                 n = len(first)
                 yield best[first].view(np.int64), d[:, 0], d[:, 1], np.full(n, ids[i]), np.full(n, keys[i]), first.astype(np.int32), count.astype(np.int32)
@@ -112,7 +107,8 @@ def _windows(window: int):
             ids, keys, new = (batch.column(c).to_pylist() for c in ("id", "tkey", "is_new"))
             for i, text in enumerate(texts(batch, "text")):
                 data, starts, ends = plain_words(text)
-                at = np.unique(np.concatenate([np.arange(p["pos"], p["pos"] + p["n_windows"]) for p in batch.column("places")[i].as_py()]))
+                first, count = (batch.column("places")[i].values.field(c).to_numpy().astype(np.int64) for c in ("pos", "n_windows"))
+                at = np.unique(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()))
                 d, n = digests(data, starts[at], ends[at + window - 1]), len(at)
                 yield d[:, 0], d[:, 1], np.full(n, ids[i]), np.full(n, keys[i]), at.astype(np.int32), np.full(n, new[i])
 
@@ -160,7 +156,8 @@ def _keep(window: int, with_text: bool):
 class FingerprintIndex:
     """Sorted immutable runs of the first stretch of each class in all batches so far.
 
-    Runs are compacted into one when there are more than fanout.
+    Runs are compacted into one when there are more than fanout and a batch is
+    added to them.
     """
 
     def __init__(self, spark: SparkSession, window: int = 20, fanout: int = 2):
@@ -174,8 +171,6 @@ class FingerprintIndex:
         self.made += 1
         name = f"run-{self.made}"
         self.runs.append((name, self.ws.write(run.sortWithinPartitions("m", "d1", "d2"), name)))
-        if len(self.runs) > self.fanout:
-            self.compact()
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -190,13 +185,16 @@ class FingerprintIndex:
             out = run if out is None else out.unionByName(run)
         return out
 
-    def add(self, batch: DataFrame, so_far: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame, so_far: DataFrame, last: bool = False) -> DataFrame:
         """Find the repeated windows of batch (id, text, tkey) and add it: id, tkey, gone (stretches of windows to remove).
 
         so_far: the documents of this batch and those before it, from which
         windows are read again. Every id of batch must be greater than those of
-        earlier batches.
+        earlier batches. last: no batch follows, so what this one adds isn't
+        written.
         """
+        if len(self.runs) > self.fanout:
+            self.compact()
         ws, k, key = self.ws, self.made, ["m", "d1", "d2"]
         rows = ws.write(batch.select("id", "tkey", "text").mapInArrow(_stretches(self.window), schema_of("m long, d1 long, d2 long, id long, tkey long, pos int, n_windows int")), f"stretches-{k}")
         classes = rows.groupBy(*key).agg(F.min(F.struct("id", "pos", "tkey", "n_windows")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -230,7 +228,8 @@ class FingerprintIndex:
         single = spread_join(windows.filter("is_new"), least, ["d1", "d2"], "n").filter(later).select("id", "tkey", "pos", F.lit(1).alias("n_windows"))
         gone = hits.filter("later").select("id", "tkey", "pos", "n_windows").unionByName(single)
         gone = ws.write(gone.groupBy("id", "tkey").agg(F.collect_set(F.struct("pos", "n_windows")).alias("gone")), f"gone-{k}")
-        self._append(classes.filter("not known").select(*key, "first.*"))
+        if not last:
+            self._append(classes.filter("not known").select(*key, "first.*"))
         ws.drop(f"classes-{k}", f"mixed-{k}", f"hits-{k}", f"windows-{k}", f"least-{k}")
         return gone
 
@@ -258,7 +257,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, batches: int = 3, with_tex
     found = None
     for i, low in enumerate(cuts):
         so_far = plain.filter(F.col("id") < cuts[i + 1]) if i + 1 < len(cuts) else plain
-        gone = index.add(so_far.filter(F.col("id") >= low), so_far)
+        gone = index.add(so_far.filter(F.col("id") >= low), so_far, last=i + 1 == len(cuts))
         found = gone if found is None else found.unionByName(gone)
     whole = whole.withColumn("gone", F.lit(None).cast("array<struct<pos:int,n_windows:int>>")) if found is None else whole.join(found.hint("shuffle_hash"), ["id", "tkey"], "left")
     made = schema_of("n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -78,3 +78,41 @@ def test_hot_passage_by_broadcast(spark):
     plain = left.join(right, "k")
     got = common.spread_join(left, right, ["k"], "count", most=5, least=10)
     assert sorted(map(tuple, got.select("k", "v", "count").collect())) == sorted(map(tuple, plain.select("k", "v", "count").collect()))
+
+
+def test_last_batch_writes_no_run(spark, monkeypatch):
+    """What the last batch adds is read by none; runs are compacted when another batch comes to more than fanout."""
+    from sleuthgrid.llm import substring_dedup as module
+
+    made, compacted = [], []
+    append, compact = module.FingerprintIndex._append, module.FingerprintIndex.compact
+    monkeypatch.setattr(module.FingerprintIndex, "_append", lambda self, run: made.append(1) or append(self, run))
+    monkeypatch.setattr(module.FingerprintIndex, "compact", lambda self: compacted.append(1) or compact(self))
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(40)]
+    passage = [rng.choice(vocab) for _ in range(45)]
+    rows = []
+    for i in range(40):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(0, 60))]
+        w[5:5] = passage[i % 5 : 24 + i % 20] if i % 2 else []
+        rows.append((i, rng.choice([" ", "\n ", "  "]).join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches, runs, merges in ((3, 2, 0), (4, 3, 1)):
+        made.clear(), compacted.clear()
+        got = remove_repeats(df, batches=batches).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got)) == brute(rows, 20)
+        assert (len(made), len(compacted)) == (runs, merges)
+
+
+def test_words_and_hashes_of_any_white_space():
+    from sleuthgrid.llm.hashing import word_bounds, word_hashes
+    from sleuthgrid.llm.substring_dedup import plain_words
+
+    rng = random.Random(12)
+    for n in [*range(60), 300, 2000]:
+        text = bytes(rng.choice(b"  \t\n\x0b\x0c\r\x1c\x85\xa0abc\x00") for _ in range(n)) + rng.choice([b"", b"x" * 90])
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+        assert [text[a:b] for a, b in zip(*word_bounds(text))] == words
+        data, starts, ends = plain_words(text)
+        assert data == b" ".join(words) and [data[a:b] for a, b in zip(starts, ends)] == words
+        assert word_hashes(data, bounds=(starts, ends)).tolist() == word_hashes(text).tolist() == [int(word_hashes(w)[0]) for w in words]
