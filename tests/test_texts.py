@@ -74,3 +74,18 @@ def test_resolution(spark):
         ("Putin", "Person"): ("Vladimir Putin", "part"), ("MV Northern Star strike", "Event"): (None, None), ("evil.con", "Domain"): (None, None), ("EVIL.com ", "Domain"): ("evil.com", "exact"),
         ("acme corporation", "Organization"): ("Acme Corporation", "exact"), ("Acme Corporations", "Organization"): ("Acme Corporation", "fuzzy"), ("Acme Corporations", "Company"): ("Acme Corporation", "fuzzy"), ("Nobody", ""): (None, None),
     }
+
+
+def test_sentences_trim_white_space_alone(spark, tmp_path):
+    """Digits at the ends stay, tabs and line ends go, and the SQL says the same."""
+    import duckdb
+
+    from sleuthgrid.plans import catalog, text_queries  # noqa: F401  registers the queries
+
+    rows = ["0 begins and ends with 0", "This is number one here.  1 is at its place 1\t\n", "\n A line before it all, and\x0bone more of them.\x0b After it all", "Twenty characters ar", "a\x01Twenty characters are one part", None, ""]
+    assert one(spark, rows[:2], text.sentences(F.col("v"))) == [["0 begins and ends with 0"], ["This is number one here."]]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(catalog.ORACLES["f8_sentences"]).fetchall()
+    assert sorted(tuple(r) for r in catalog.QUERIES["f8_sentences"](spark, str(tmp_path)).collect()) == sorted(want)
