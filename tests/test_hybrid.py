@@ -5,6 +5,7 @@ import random
 import pytest
 
 from sleuthgrid.operators import cascade, hybrid
+from tests.plan_rows import most_rows
 
 HIT = "requirement int, element int, rank int, document_id string, similarity double, text string"
 
@@ -80,3 +81,31 @@ def test_cascades(spark):
     assert set(got) == set(want)
     for k, (step, share) in want.items():
         assert got[k][0] == step and abs(got[k][1] - share) < 4 * (share * (1 - share) / runs) ** 0.5 + 1e-12
+
+
+def test_searches_are_done_once(spark):
+    """Many questions with the same words over many like names: what the rules give one by one, without all pairs."""
+    words = ["large", "hot", "ring", "bolt"]
+    named = [(f"P{i}", f"{words[i % 2]} {words[2 + i // 2 % 2]}") for i in range(800)] + [(f"S{i}", f"Supplier#{i:09d}") for i in range(30)] + [("none", None)]
+    entities = spark.createDataFrame(named, "id string, name string")
+    texts = [f"Who supplies {words[i % 2]} {words[2 + i % 2]} or Supplier#{i % 3:09d}?" for i in range(600)] + ["zzz", ""]
+    found = []
+    most = most_rows(spark, lambda: found.extend(hybrid.understand(entities, spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts)], "question string, text string")).collect()))
+    got = {}
+    for r in sorted(found, key=lambda r: r["place"]):
+        got.setdefault(r["question"], []).append(r["id"])
+    names = sorted((n, i) for i, n in named if n)
+    hit = lambda s, most: [i for n, i in names if all(t in n.lower() for t in s.lower().split())][:most]
+    for i, t in enumerate(texts):
+        w = t.split()
+        whole, runs, single = hit(t, 10) if w else [], [], []
+        for n in (3, 2):
+            runs += [x for k in range(len(w) - n + 1) for x in hit(" ".join(w[k : k + n]), 5)]
+        for x in w:
+            x = x.lower().strip("?.,!;:'\"")
+            single += hit(x, 5) if len(x) >= 3 and x not in hybrid.ASKING else []
+        want = list(dict.fromkeys(whole))
+        want += [x for x in dict.fromkeys(runs) if x not in want] if len(want) < 10 else []
+        want += [x for x in dict.fromkeys(single) if x not in want] if len(want) < 10 else []
+        assert got[f"q{i}"] == (want[:15] or ["none"] + [i for _, i in names][:14])
+    assert most < 50_000
