@@ -109,3 +109,35 @@ def test_searches_are_done_once(spark):
         want += [x for x in dict.fromkeys(single) if x not in want] if len(want) < 10 else []
         assert got[f"q{i}"] == (want[:15] or ["none"] + [i for _, i in names][:14])
     assert most < 50_000
+
+
+def test_over_a_thousand_questions(spark):
+    """The nearest vectors of 1,200 questions, held against all pairs; vectors of other widths, of no length and null ones have no likeness."""
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(-3, 4) + 0.0 for _ in range(4)]) for i in range(60)] + [(60, [1.0]), (61, None), (62, [0.0] * 4), (63, [2.0, 1.0, 0.0, 0.0]), (64, [2.0, 1.0, 0.0, 0.0])]
+    asked = [(f"q{i}", rows[i % 40][1]) for i in range(1200)] + [("null", None), ("short", [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in hybrid.nearest_vectors(vectors, spark.createDataFrame(asked, "question string, embedding array<float>"), 5, 0.3).collect():
+        got.setdefault(r["question"], []).append((r["rank"], r["vec_id"], r["similarity"]))
+    for name, v in asked:
+        like = []
+        for i, x in rows:
+            if v and x and len(v) == len(x) and any(x):
+                size = max(float(np.linalg.norm(v)) * float(np.linalg.norm(x)), 1e-300)
+                like.append((-round(float(np.dot(v, x)) / size, 9), i))
+        want = [(k, i, -s) for k, (s, i) in enumerate(sorted(like)[:5], 1) if -s >= 0.3]
+        assert sorted(got.get(name, [])) == want
+
+
+def test_documents_by_steps(spark):
+    """Documents handed from node to node come as from all nodes of each question."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", "R") for _ in range(60)], "source_id string, target_id string, rel_type string")
+    entities = spark.createDataFrame([(f"n{i}", f"name {i % 7}", "T", rng.choice([None, 1, 2, 3, 4, 5])) for i in range(42)], "id string, name string, entity_type string, source_doc_id long")
+    about = spark.createDataFrame([(f"q{q}", f"n{i}", p) for q in range(12) for p, i in enumerate(rng.sample(range(42), 3), 1)], "question string, id string, place int")
+    for hops in (1, 2, 3):
+        want = hybrid.graph_documents(hybrid.surroundings(edges, about, hops), entities).collect()
+        assert sorted(map(tuple, hybrid.nearest_documents(edges, about, entities, hops).collect())) == sorted(map(tuple, want))
