@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sleuthgrid.functions import dates
 from sleuthgrid.operators import fulltext, ranges
 from sleuthgrid.sources import versions
+from tests.plan_rows import most_rows
 
 
 def test_index_skips_blocks_and_is_kept(spark, monkeypatch, tmp_path):
@@ -122,3 +123,15 @@ def test_absorbing_turns_and_makes(spark):
     assert {(r["name"], r["date_text"], r["made"]) for r in found.collect()} == {("strike", "12 March 2026", False), ("raid", "2024", True)}
     assert {(r["position"], r["source_name"], r["target_name"]) for r in turned.collect()} == {(1, "strike", "soon"), (2, "strike", "12 March 2026"), (3, "strike", "2024"), (4, " raid ", "2024"), (5, "Bob", "2024"), (6, "Bob", "strike")}
     assert {r["name"] for r in gone.collect()} == {"12 March 2026", "2024"}
+
+
+def test_wide_ranges_make_no_pairs(spark):
+    """Numbers that lie in hundreds of ranges each: the narrowest, without a row for each range."""
+    n = 600
+    wide = [(i, i, 2**31 + i * (7 if i % 3 else 1)) for i in range(n)]
+    rows = [(i, i * 1_000_003 % 2**31) for i in range(n)]
+    found = []
+    located = lambda: ranges.locate(spark.createDataFrame(rows, "k int, x long"), "x", spark.createDataFrame(wide, "range_id int, lo long, hi long"))
+    assert most_rows(spark, lambda: found.extend(located().collect())) < 60 * n
+    want = {k: min((hi - lo, i) for i, lo, hi in wide if lo <= x <= hi)[1] for k, x in rows}
+    assert {r["k"]: r["range_id"] for r in found} == want
