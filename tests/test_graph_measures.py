@@ -9,6 +9,7 @@ import pytest
 from sleuthgrid.operators import graph as g
 from sleuthgrid.operators import network as nw
 from sleuthgrid.operators import profile as pf
+from tests.plan_rows import most_rows
 
 NODES = "abcdefghi"
 EDGES = [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 0.5), ("c", "d", 1.0), ("d", "b", 1.5), ("d", "e", 1.0), ("e", "f", 1.0), ("c", "f", 1.0), ("g", "h", 1.0), ("h", "h", 1.0)]
@@ -112,3 +113,39 @@ def test_rejected_requests_do_not_count(spark):
             held[who].append(t)
     got = {r.i: (r.recent, r.rejected) for r in pf.rate_exceeded(df, "who", "at", "i", 60, 5).collect()}
     assert got == want and any(x for _, x in want.values())
+
+
+def test_hubs_make_no_pairs(spark):
+    """Rows of betweenness and of structural holes grow with the links of hubs and not with their square."""
+    n = 400
+    up = [(f"a{i}", "hub") for i in range(n)] + [("hub", "top")]
+    edges = spark.createDataFrame(up, "source_id string, target_id string")
+    nodes = spark.createDataFrame([(x,) for x in sorted({y for e in up for y in e})], "id string")
+    got = {}
+    assert most_rows(spark, lambda: got.update({r["id"]: r["betweenness"] for r in g.betweenness(edges, nodes).collect()})) < 20 * n
+    assert abs(got["hub"] - n / ((n + 1) * n)) < 1e-12 and sum(v > 0 for v in got.values()) == 1
+    tied = spark.createDataFrame([(a, b, 1.0) for a, b in up] + [("a0", "a1", 2.0)], "source_id string, target_id string, weight double")
+    found = []
+    assert most_rows(spark, lambda: found.extend(g.structural_holes(tied).collect())) < 20 * n
+    found = {r["id"]: r for r in found}
+    assert abs(found["a0"]["constraint"] - ((5 / 9) ** 2 + (2 / 3 + 1 / 3 / (n + 1)) ** 2)) < 1e-12 and found["a0"]["effective_size"] == 1.0
+    assert abs(found["hub"]["effective_size"] - (n + 1 - 2 / (n + 1))) < 1e-9 and found["hub"]["is_broker"] and found["a5"]["constraint"] == 1.0
+
+
+def test_structural_holes_are_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}", rng.randrange(1, 5) + 0.0) for _ in range(45)]
+    w = defaultdict(float)
+    for a, b, x in rows:
+        if a != b:
+            w[a, b] += x
+            w[b, a] += x
+    near = defaultdict(set)
+    for a, b in w:
+        near[a].add(b)
+    p = {(a, b): x / sum(w[a, c] for c in near[a]) for (a, b), x in w.items()}
+    got = {r["id"]: (r["constraint"], r["effective_size"]) for r in g.structural_holes(spark.createDataFrame(rows, "source_id string, target_id string, weight double")).collect()}
+    assert set(got) == set(near)
+    for u, (constraint, size) in got.items():
+        assert abs(constraint - sum((p[u, v] + sum(p[u, q] * p[q, v] for q in near[u] & near[v])) ** 2 for v in near[u])) < 1e-12
+        assert abs(size - (len(near[u]) - sum(len(near[u] & near[v]) for v in near[u]) / len(near[u]))) < 1e-12
