@@ -135,3 +135,31 @@ def test_wide_ranges_make_no_pairs(spark):
     assert most_rows(spark, lambda: found.extend(located().collect())) < 60 * n
     want = {k: min((hi - lo, i) for i, lo, hi in wide if lo <= x <= hi)[1] for k, x in rows}
     assert {r["k"]: r["range_id"] for r in found} == want
+
+
+def test_equal_texts_are_scored_once(spark):
+    """Texts and queries with the same words make no pairs, and the best documents are those of scoring all."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(4)
+    kinds = ["red ring", "Ring red", "red bolt", "red red ring", "blue bolt nut", "Supplier#1 nut"]
+    rows = [(i, kinds[i % 6] if i else None) for i in range(900)]
+    asked = [(k, rng.choice(["red ring", "ring, RED", "bolt bolt blue", "zzz nut", "pplier#", "PPLIER#"])) for k in range(700)]
+    docs, queries = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(asked, "query long, text string")
+    found = []
+    assert most_rows(spark, lambda: found.extend(fulltext.lookup(fulltext.build(docs), docs, queries, 20).collect())) <= 700 * 20
+    cut_ = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    tf = {i: Counter(cut_(t)) for i, t in rows}
+    df = Counter(w for x in tf.values() for w in x)
+    mean = sum(sum(x.values()) for x in tf.values()) / len(tf)
+    want = set()
+    for k, q in asked:
+        score = {}
+        for w, times in Counter(cut_(q)).items():
+            for i, x in tf.items():
+                if w in x:
+                    score[i] = score.get(i, 0) + times * math.log(1 + (len(tf) - df[w] + 0.5) / (df[w] + 0.5)) * x[w] * 2.2 / (x[w] + 1.2 * (0.25 + 0.75 * sum(x.values()) / mean))
+        best = sorted(score, key=lambda i: (-round(score[i], 6), i)) or [i for i, t in rows if t and q.lower() in t.lower()]
+        want |= {(k, i, r) for r, i in enumerate(best[:20], 1)}
+    assert {tuple(r) for r in found} == want
