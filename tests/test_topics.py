@@ -116,3 +116,33 @@ def test_equal_vectors_and_few(spark):
     assert two == dict.fromkeys(range(7), 0) | {9: 9}
     assert ward.merges(df.filter("id = 9")).count() == 0 and ward.merges(df.filter("id < 0")).count() == 0
     assert ward.level_counts(500, "detailed") == [30] * 6 and ward.level_counts(10, "medium") == [9, 5, 3, 2]
+
+
+@pytest.mark.parametrize("last", [1, 7, 12_000])
+def test_ward_in_rounds_and_in_one_task(spark, monkeypatch, last):
+    """With ties and with vectors far from 0, whose products lose what tells them apart."""
+    monkeypatch.setattr(ward, "BLOCK", 13)
+    monkeypatch.setattr(ward, "LAST", last)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(25, 3)), 1e8 + rng.integers(0, 40, size=(12, 3)).astype(float)])
+    tree = ward.merges(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>"))
+    got = sorted((r["height"], r["a"], r["b"], r["n"]) for r in tree.collect())
+    want = brute_ward(x)
+    assert len(got) == 36 and {g[1:] for g in got} == {(a, b, n) for a, b, _, n in want}
+    assert [g[0] for g in got] == pytest.approx(sorted(h for *_, h, _ in want))
+
+
+def test_nearest_in_seconds():
+    """6,000 vectors against 6,000: products, and differences only for what can be the nearest."""
+    import time
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(5990, 64)), np.ones((10, 64))])
+    ids = np.arange(6000)
+    start = time.process_time()
+    other, d = ward._closest(ids, x, np.ones(6000), ids, x, np.ones(6000))
+    assert time.process_time() - start < 20
+    for i in [*range(0, 5990, 400), *range(5990, 6000)]:
+        far = ((x - x[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        assert other[i] == far.argmin() and d[i] == far.min()
