@@ -141,3 +141,20 @@ def test_documents_by_steps(spark):
     for hops in (1, 2, 3):
         want = hybrid.graph_documents(hybrid.surroundings(edges, about, hops), entities).collect()
         assert sorted(map(tuple, hybrid.nearest_documents(edges, about, entities, hops).collect())) == sorted(map(tuple, want))
+
+
+def test_contexts_share_surroundings(spark):
+    """Contexts of questions about the same nodes are those of each question by itself, and questions make no rows for each relationship."""
+    rng = random.Random(6)
+    rows = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", rng.choice(["R", "S"])) for _ in range(90)})
+    edges = spark.createDataFrame(rows, "source_id string, target_id string, rel_type string")
+    entities = spark.createDataFrame([(f"n{i}", f"Name {i % 20}", rng.choice(["T", "U"]), rng.choice([None, 1, 2])) for i in range(30)], "id string, name string, entity_type string, source_doc_id long")
+    about = spark.createDataFrame([(f"q{q}", f"n{i}", p) for q in range(8) for p, i in enumerate(rng.sample(range(30), 3), 1)], "question string, id string, place int")
+    docs = spark.createDataFrame([(1, "Name 3 has met name 5 in spring. Nothing else is said of them."), (2, "y")], "document_id long, text string")
+    near = spark.createDataFrame([("q1", 2, 0.5, 1, "near text")], "question string, document_id long, similarity double, rank int, text string")
+    found, around = hybrid.shared_surroundings(edges, about, 1)
+    alone = hybrid.surroundings(edges, about, 1)
+    assert sorted(map(tuple, found.select("question", "id", "place", "hop").collect())) == sorted(map(tuple, alone.select("question", "id", "place", "hop").collect()))
+    want = hybrid.context(alone, entities, edges, hybrid.graph_documents(alone, entities), docs, near).collect()
+    got = hybrid.context(found, entities, edges, hybrid.graph_documents(found, entities), docs, near, about=about, around=around).collect()
+    assert len(want) == 8 and sorted(map(tuple, got)) == sorted(map(tuple, want))
