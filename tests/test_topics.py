@@ -146,3 +146,17 @@ def test_nearest_in_seconds():
         far = ((x - x[i]) ** 2).sum(axis=1)
         far[i] = np.inf
         assert other[i] == far.argmin() and d[i] == far.min()
+
+
+def test_trees_by_tasks_and_by_levels(spark, monkeypatch):
+    """The tree is the same whether clusters are parted by a task each, by levels, or first by levels and then by tasks."""
+    rng = random.Random(12)
+    weights = spark.createDataFrame(rows_of(rng, 40, 5), "doc_id long, term string, weight double")
+    docs = spark.createDataFrame([(i,) for i in range(42)], "doc_id long")
+    ids = spark.range(-3, 40).withColumn("h", F.xxhash64("id", F.lit("1-0-4-2-1-3"), F.lit(42))).collect()
+    assert tp._hashed(np.array([r["id"] for r in ids]), "1-0-4-2-1-3", 42).tolist() == [r["h"] for r in ids]
+    found = []
+    for whole in (tp.WHOLE, 150):
+        monkeypatch.setattr(tp, "WHOLE", whole)
+        found.append(sorted(map(tuple, tp.topic_tree(docs, weights).select("path", "depth", "doc_id", "leaf").collect())))
+    assert found[0] == found[1] and max(r[1] for r in found[0]) > 2
